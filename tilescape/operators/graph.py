@@ -14,10 +14,10 @@ from tilescape.session import cut
 
 
 def label_components(cells: DataFrame, axes: Sequence[str], tile: Sequence[str] = ("tx",)) -> DataFrame:
-    """Add `component`: the smallest run of the face-connected component of each cell.
+    """Add `component`, the smallest run (row, start) of the cell's face-connected component.
 
     Cells are first compressed to runs along the last axis; runs touching along another
-    axis become edges; labels then shrink by neighbour minima and pointer jumping.
+    axis become edges, and the edges are contracted until only roots remain.
     """
     tile, axes = list(tile), list(axes)
     run_axis, others = axes[-1], axes[:-1]
@@ -41,21 +41,27 @@ def label_components(cells: DataFrame, axes: Sequence[str], tile: Sequence[str]
     edges = edges.distinct()
     edges = cut(edges.unionByName(edges.select(*tile, F.col("b").alias("a"), F.col("a").alias("b"))))
 
-    labels = runs.select(*tile, "node").distinct().withColumn("label", F.col("node"))
-    while True:
-        nearby = (edges.join(labels.withColumnRenamed("node", "b"), [*tile, "b"])
-                  .groupBy(*tile, "a").agg(F.min("label").alias("_near")).withColumnRenamed("a", "node"))
-        lower = (labels.join(nearby, [*tile, "node"], "left")
-                 .select(*tile, "node", F.col("label").alias("_old"),
-                         F.least("label", F.coalesce("_near", "label")).alias("label")))
-        roots = lower.select(*tile, F.col("node").alias("label"), F.col("label").alias("_root"))
-        jumped = cut(lower.join(roots, [*tile, "label"])
-                     .select(*tile, "node", "_old", F.least("label", "_root").alias("label")))
-        moved = not jumped.filter(F.col("_old") != F.col("label")).isEmpty()
-        labels = jumped.drop("_old")
-        if not moved:
-            break
-    return runs.join(labels, [*tile, "node"]).withColumnRenamed("label", "component").drop("node")
+    # Contract: hook every node to its smallest neighbour, shorten the pointers, and keep only
+    # the edges between different roots. Edges shrink every round until none is left.
+    steps = []
+    while not edges.isEmpty():
+        parent = edges.groupBy(*tile, F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("root"))
+        for _ in range(2):
+            up = parent.select(*tile, F.col("node").alias("root"), F.col("root").alias("_up"))
+            parent = parent.join(up, [*tile, "root"]).select(*tile, "node", F.col("_up").alias("root"))
+        parent = cut(parent)
+        steps.append(parent)
+        end = lambda c: parent.select(*tile, F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+        edges = cut(edges.join(end("a"), [*tile, "a"]).join(end("b"), [*tile, "b"])
+                    .filter(F.col("_a") != F.col("_b"))
+                    .select(*tile, F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+
+    labelled = runs.withColumn("component", F.col("node")).drop("node")
+    for parent in steps:
+        moved = parent.select(*tile, F.col("node").alias("component"), F.col("root").alias("_root"))
+        labelled = (labelled.join(moved, [*tile, "component"], "left")
+                    .withColumn("component", F.coalesce("_root", "component")).drop("_root"))
+    return labelled
 
 
 def component_stats(cells: DataFrame, value: str, tile: Sequence[str] = ("tx",)) -> DataFrame:

@@ -173,35 +173,38 @@ def focal(cells: DataFrame, value: str, nx: int, ny: int, stats: dict[str, tuple
 
 # -- Sampling -----------------------------------------------------------------
 
-def _corners(fx: Column, fy: Column, size: int) -> Column:
-    """The four pixels around a fractional tile position with their bilinear weights."""
-    def axis(f: Column):
-        p = (f - F.floor(f)) * size - 0.5
-        low = clamp(whole(p), F.lit(0).cast("bigint"), F.lit(size - 2).cast("bigint"))
-        return low, clamp(p - low, 0.0, 1.0)
-    (x0, wx), (y0, wy) = axis(fx), axis(fy)
-    corner = lambda dx, dy: F.struct((x0 + dx).alias("px"), (y0 + dy).alias("py"),
-                                     ((wx if dx else 1 - wx) * (wy if dy else 1 - wy)).alias("w"))
-    return F.array(corner(0, 0), corner(1, 0), corner(0, 1), corner(1, 1))
+def _with_corners(probes: DataFrame, fx: ColumnLike, fy: ColumnLike, size: int) -> DataFrame:
+    """Explode to the four pixels around a fractional tile position with bilinear weights.
+
+    Steps are separate projections, so each expression is evaluated once per row.
+    """
+    edge, zero = F.lit(size - 2).cast("bigint"), F.lit(0).cast("bigint")
+    df = probes.withColumns({"_fx": col(fx), "_fy": col(fy)})
+    df = df.withColumns({"_tx": whole(F.col("_fx")), "_ty": whole(F.col("_fy"))})
+    df = df.withColumns({"_ax": (F.col("_fx") - F.col("_tx")) * size - 0.5, "_ay": (F.col("_fy") - F.col("_ty")) * size - 0.5})
+    df = df.withColumns({"_x0": clamp(whole(F.col("_ax")), zero, edge), "_y0": clamp(whole(F.col("_ay")), zero, edge)})
+    df = df.withColumns({"_wx": clamp(F.col("_ax") - F.col("_x0"), 0.0, 1.0), "_wy": clamp(F.col("_ay") - F.col("_y0"), 0.0, 1.0)})
+    weight = lambda axis, d: F.col(f"_w{axis}") if d else 1 - F.col(f"_w{axis}")
+    corners = F.array(*[F.struct((F.col("_x0") + dx).alias("px"), (F.col("_y0") + dy).alias("py"),
+                                 (weight("x", dx) * weight("y", dy)).alias("w")) for dy in (0, 1) for dx in (0, 1)])
+    return (df.select(*probes.columns, "_tx", "_ty", F.explode(corners).alias("_c"))
+            .select(*probes.columns, "_tx", "_ty", F.col("_c.px").alias("_px"), F.col("_c.py").alias("_py"), F.col("_c.w").alias("_cw")))
 
 
 def sample_bilinear(probes: DataFrame, pixels: DataFrame, fx: ColumnLike, fy: ColumnLike, size: int = 256,
-                    value="value", out="elev", weight: Column | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+                    value="value", out="elev", keep: Sequence[str] | None = None) -> DataFrame:
     """Bilinear value at fractional tile coordinates; 0 where the tile is missing.
 
-    `<out>_covered` tells whether any pixel was found. Probes need a unique row (they are
+    `<out>_covered` tells whether any pixel was found. Probes need unique rows (they are
     regrouped by all of `keep`). One shuffle on (tile, pixel), one on the probe.
     """
     keep = list(keep or probes.columns)
-    points = probes.select("*", whole(col(fx)).alias("_tx"), whole(col(fy)).alias("_ty"),
-                           F.explode(_corners(col(fx), col(fy), size)).alias("_c"))
+    points = _with_corners(probes, fx, fy, size).select(*keep, "_tx", "_ty", "_px", "_py", "_cw")
     grid = pixels.select(F.col("tx").alias("_tx"), F.col("ty").alias("_ty"), F.col("px").alias("_px"),
                          F.col("py").alias("_py"), F.col(value).alias("_v"))
-    points = points.withColumns({"_px": F.col("_c.px"), "_py": F.col("_c.py")})
-    w = F.col("_c.w") if weight is None else F.col("_c.w") * weight
     return (points.join(grid, ["_tx", "_ty", "_px", "_py"], "left")
             .groupBy(*keep)
-            .agg(F.coalesce(F.sum(F.col("_v") * w), F.lit(0.0)).alias(out),
+            .agg(F.coalesce(F.sum(F.col("_v") * F.col("_cw")), F.lit(0.0)).alias(out),
                  (F.count("_v") > 0).alias(f"{out}_covered")))
 
 
@@ -215,11 +218,16 @@ def sample_nearest(probes: DataFrame, pixels: DataFrame, fx: ColumnLike, fy: Col
             .select(*probes.columns, *values))
 
 
-def sample_preferred(probes: DataFrame, fine: DataFrame, coarse: DataFrame, lon: str, lat: str, fine_zoom: int,
-                     coarse_zoom: int, size: int = 256, value="value", out="elev") -> DataFrame:
-    """Fine tile where it covers the probe, coarse elsewhere, 0 where neither does."""
-    near = sample_bilinear(probes, fine, geo.tile_frac_x(lon, fine_zoom), geo.tile_frac_y(lat, fine_zoom), size, value, "_fine")
-    both = sample_bilinear(near, coarse, geo.tile_frac_x(lon, coarse_zoom), geo.tile_frac_y(lat, coarse_zoom), size, value, "_coarse")
+def sample_preferred(probes: DataFrame, fine: DataFrame, coarse: DataFrame, fx: ColumnLike, fy: ColumnLike,
+                     levels: int, size: int = 256, value="value", out="elev") -> DataFrame:
+    """Fine tile where it covers the probe, coarse elsewhere, 0 where neither does.
+
+    `fx`, `fy` are fractions at the coarse zoom; the fine zoom is `levels` deeper.
+    """
+    k = float(1 << levels)
+    at = probes.withColumns({"_pfx": col(fx), "_pfy": col(fy)})
+    near = sample_bilinear(at, fine, F.col("_pfx") * k, F.col("_pfy") * k, size, value, "_fine")
+    both = sample_bilinear(near, coarse, "_pfx", "_pfy", size, value, "_coarse")
     return both.select(*probes.columns,
                        F.when(F.col("_fine_covered"), F.col("_fine")).otherwise(F.col("_coarse")).alias(out),
                        (F.col("_fine_covered") | F.col("_coarse_covered")).alias(f"{out}_covered"))
@@ -230,20 +238,27 @@ def with_lattice_corners(probes: DataFrame, lon: str, lat: str, zoom: int, grid:
 
     Every lattice square is split along fx + fy = 1; the far triangle uses the opposite corner.
     """
-    fx, fy = geo.tile_frac_x(lon, zoom), geo.tile_frac_y(lat, zoom)
-    tx, ty = F.floor(fx), F.floor(fy)
-    west, east = geo.tile_lon(tx, zoom), geo.tile_lon(tx + 1, zoom)
-    north, south = geo.tile_lat(ty, zoom), geo.tile_lat(ty + 1, zoom)
-    gx = (F.col(lon) - west) / (east - west) * grid
-    gy = (F.col(lat) - north) / (south - north) * grid
-    ix, iy = (clamp(F.floor(g), F.lit(0), F.lit(grid - 1)) for g in (gx, gy))
-    rx, ry = clamp(gx - ix, 0.0, 1.0), clamp(gy - iy, 0.0, 1.0)
-    corner = lambda dx, dy, w: F.struct((west + (east - west) * ((ix + dx) / grid)).alias("lon"),
-                                        (north + (south - north) * ((iy + dy) / grid)).alias("lat"), w.alias("w"))
-    near = F.array(corner(0, 0, 1 - rx - ry), corner(1, 0, rx), corner(0, 1, ry))
-    far = F.array(corner(1, 1, rx + ry - 1), corner(0, 1, 1 - rx), corner(1, 0, 1 - ry))
-    return (probes.select("*", F.posexplode(F.when(rx + ry <= 1, near).otherwise(far)).alias("_corner", "_l"))
-            .withColumns({"_lon": F.col("_l.lon"), "_lat": F.col("_l.lat"), "_w": F.col("_l.w")}).drop("_l"))
+    lon_, lat_ = F.col(lon), F.col(lat)
+    df = probes.withColumns({"_tx": F.floor(geo.tile_frac_x(lon_, zoom)), "_ty": F.floor(geo.tile_frac_y(lat_, zoom))})
+    df = df.withColumns({"_west": geo.tile_lon(F.col("_tx"), zoom), "_east": geo.tile_lon(F.col("_tx") + 1, zoom),
+                         "_north": geo.tile_lat(F.col("_ty"), zoom), "_south": geo.tile_lat(F.col("_ty") + 1, zoom)})
+    west, east, north, south = (F.col(c) for c in ("_west", "_east", "_north", "_south"))
+    df = df.withColumns({"_gx": (lon_ - west) / (east - west) * grid, "_gy": (lat_ - north) / (south - north) * grid})
+    last = F.lit(grid - 1).cast("bigint")
+    df = df.withColumns({"_ix": clamp(whole(F.col("_gx")), F.lit(0).cast("bigint"), last),
+                         "_iy": clamp(whole(F.col("_gy")), F.lit(0).cast("bigint"), last)})
+    df = df.withColumns({"_rx": clamp(F.col("_gx") - F.col("_ix"), 0.0, 1.0), "_ry": clamp(F.col("_gy") - F.col("_iy"), 0.0, 1.0)})
+    rx, ry = F.col("_rx"), F.col("_ry")
+    pick = lambda dx, dy, w: F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), w.alias("w"))
+    near = F.array(pick(0, 0, 1 - rx - ry), pick(1, 0, rx), pick(0, 1, ry))
+    far = F.array(pick(1, 1, rx + ry - 1), pick(0, 1, 1 - rx), pick(1, 0, 1 - ry))
+    df = df.withColumn("_l", F.explode(F.when(rx + ry <= 1, near).otherwise(far)))
+    df = df.withColumns({"_gx": F.col("_ix") + F.col("_l.dx"), "_gy": F.col("_iy") + F.col("_l.dy")})
+    inner = geo.tile_frac_y(north + (south - north) * (F.col("_gy") / grid), zoom)
+    # Longitude is linear in the tile; corners on its border keep the exact border fraction.
+    return df.select(*probes.columns, (F.col("_l.dx") * 2 + F.col("_l.dy")).alias("_corner"), F.col("_l.w").alias("_w"),
+                     (F.col("_tx") + F.col("_gx") / grid).alias("_cfx"),
+                     F.when(F.col("_gy") % grid == 0, F.col("_ty") + F.col("_gy") / grid).otherwise(inner).alias("_cfy"))
 
 
 def sample_surface(probes: DataFrame, coarse: DataFrame, lon: str, lat: str, zoom: int, fine: DataFrame | None = None,
@@ -251,10 +266,9 @@ def sample_surface(probes: DataFrame, coarse: DataFrame, lon: str, lat: str, zoo
     """Height of the rendered surface: the fine tile where covered, else the coarse triangle lattice."""
     corners = with_lattice_corners(probes, lon, lat, zoom, grid)
     if fine is None:
-        sampled = sample_bilinear(corners, coarse, geo.tile_frac_x("_lon", zoom), geo.tile_frac_y("_lat", zoom),
-                                  size, value, "_e")
+        sampled = sample_bilinear(corners, coarse, "_cfx", "_cfy", size, value, "_e")
     else:
-        sampled = sample_preferred(corners, fine, coarse, "_lon", "_lat", fine_zoom, zoom, size, value, "_e")
+        sampled = sample_preferred(corners, fine, coarse, "_cfx", "_cfy", fine_zoom - zoom, size, value, "_e")
     lattice = sampled.groupBy(*probes.columns).agg(F.sum(F.col("_e") * F.col("_w")).alias(out))
     if fine is None:
         return lattice

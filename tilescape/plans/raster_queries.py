@@ -15,7 +15,7 @@ from .scalar_queries import micro, milli
 N = 64
 # Thresholds in centimetres, areas sized for 8 m islands.
 RULES = trees.TreeRules(min_height=300, max_height=3500, noise_area=3, small_area=25, medium_area=50,
-                        medium_span=400, large_span=60, floor_radius=1, plateau_span=150)
+                        medium_span=400, large_span=60, floor_radius=1, floor_share=0.1, plateau_span=150)
 
 CELLS = """c as (select tx, x_cm // 100 as cx, 63 - y_cm // 100 as cy, min(case when cls = 2 then z_cm end) as dem,
         max(case when cls not in (2, 9, 17) then z_cm end) as dsm from {fx_points} where cls not in (7, 18) group by 1, 2, 3)"""
@@ -174,7 +174,7 @@ FOCAL = """f as (select a.tx, a.cx, a.cy, a.chm, max(b.chm) as local_max,
 
 @query("wn2_continuity", f"""
     with {CANOPY}, {FOCAL.replace('{src}', 'h')} select tx, cx, cy, chm, local_max, near_max, near_min from f
-    where chm = local_max and chm > 0 and chm between 300 and 3500 and near_min >= chm * 0.5e0 and near_max - near_min >= 150""")
+    where chm = local_max and chm > 0 and chm between 300 and 3500 and near_min >= chm * 0.1e0 and near_max - near_min >= 150""")
 def wn2(spark, sf):
     return trees.continuous_stems(canopy(spark, sf), N, N, RULES)
 
@@ -203,7 +203,7 @@ def wn3(spark, sf):
     with recursive {COMPONENTS}, v as (select h.* from h left join (select k.tx, k.cx, k.cy from k join st using (tx, comp) where {BAD}) x
          on h.tx = x.tx and h.cx = x.cx and h.cy = x.cy where x.tx is null), {FOCAL.replace('{src}', 'v')},
     s as (select tx, cx, cy, chm from f where chm = local_max and chm > 0 and chm between 300 and 3500
-          and near_min >= chm * 0.5e0 and near_max - near_min >= 150), {CROWNS.replace('{stems}', 's').replace('{src}', 'v')}
+          and near_min >= chm * 0.1e0 and near_max - near_min >= 150), {CROWNS.replace('{stems}', 's').replace('{src}', 'v')}
     select tx, cx, cy, chm, crown_r from crown""")
 def trees_per_tile(spark, sf):
     return trees.extract_trees(canopy(spark, sf), N, N, None, RULES)
@@ -227,10 +227,10 @@ W = [raster.gaussian_weights(0.6)[i] for i in (2, 3, 4)]
 
 @query("wn5_gaussian", f"""
     with whole_tiles as (select tx, ty from {{fx_pixels}} group by 1, 2 having count(*) = 4096), p as (select * from {{fx_pixels}} semi join whole_tiles using (tx, ty)),
-         k as (select unnest(generate_series(-2, 2)) as d), w as (select d, case abs(d) when 0 then {W[0]!r} when 1 then {W[1]!r} else {W[2]!r} end as w from k),
-         a as (select p.tx, p.ty, p.px, p.py, sum(q.elev_dm * w) as v from p, w, p q where q.tx = p.tx and q.ty = p.ty and q.px = p.px
+         k as (select unnest(generate_series(-2, 2)) as d), w as (select d, case abs(d) when 0 then {W[0]!r}::double when 1 then {W[1]!r}::double else {W[2]!r}::double end as w from k),
+         a as (select p.tx, p.ty, p.px, p.py, sum(q.elev_dm * cast(w as double)) as v from p, w, p q where q.tx = p.tx and q.ty = p.ty and q.px = p.px
                and q.py = case when p.py + d < 0 then -1 - (p.py + d) when p.py + d > 63 then 127 - (p.py + d) else p.py + d end group by 1, 2, 3, 4),
-         b as (select a.tx, a.ty, a.px, a.py, sum(q.v * w) as v from a, w, a q where q.tx = a.tx and q.ty = a.ty and q.py = a.py
+         b as (select a.tx, a.ty, a.px, a.py, sum(q.v * cast(w as double)) as v from a, w, a q where q.tx = a.tx and q.ty = a.ty and q.py = a.py
                and q.px = case when a.px + d < 0 then -1 - (a.px + d) when a.px + d > 63 then 127 - (a.px + d) else a.px + d end group by 1, 2, 3, 4)
     select tx, ty, px, py, cast(round(v * 100) as bigint) as smooth_mm from b""")
 def wn5(spark, sf):
@@ -285,12 +285,12 @@ LATTICE = """l0 as (select probe_id, fx, fy, floor(fx) as itx, floor(fy) as ity,
         degrees(atan(sinh(pi() * (1 - 2 * floor(fy) / 8)))) as north, degrees(atan(sinh(pi() * (1 - 2 * (floor(fy) + 1) / 8)))) as south from {probes}),
     l1 as (select *, (fx - itx) * {G} as gx, (lat - north) / (south - north) * {G} as gy from l0),
     l2 as (select *, floor(gx) as ix, floor(gy) as iy, gx - floor(gx) as rx, gy - floor(gy) as ry from l1),
-    l3 as (select *, case when rx + ry <= 1 then case when dx = 0 and dy = 0 then 1 - rx - ry when dx = 1 and dy = 0 then rx when dx = 0 then ry else 0 end
-                 else case when dx = 1 and dy = 1 then rx + ry - 1 when dx = 0 and dy = 1 then 1 - rx when dx = 1 then 1 - ry else 0 end end as lw
-           from l2, (select unnest([0, 1]) as dx) d1, (select unnest([0, 1]) as dy) d2),
-    l4 as (select probe_id, dx, dy, lw, itx + (ix + dx) / {G} as fx,
-                  case iy + dy when 0 then ity when {G} then ity + 1 else 8 * (0.5e0 - ln((1 + sin(radians(clat))) / (1 - sin(radians(clat)))) / (4 * pi())) end as fy
-           from (select *, north + (south - north) * ((iy + dy) / {G}) as clat from l3) q where lw <> 0)"""
+    l3 as (select *, case when rx + ry <= 1 then case when ox = 0 and oy = 0 then 1 - rx - ry when ox = 1 and oy = 0 then rx when ox = 0 then ry else 0 end
+                 else case when ox = 1 and oy = 1 then rx + ry - 1 when ox = 0 and oy = 1 then 1 - rx when ox = 1 then 1 - ry else 0 end end as lw
+           from l2, (select unnest([0, 1]) as ox) d1, (select unnest([0, 1]) as oy) d2),
+    l4 as (select probe_id, ox, oy, lw, itx + (ix + ox) / {G} as fx,
+                  case iy + oy when 0 then ity when {G} then ity + 1 else 8 * (0.5e0 - ln((1 + sin(radians(clat))) / (1 - sin(radians(clat)))) / (4 * pi())) end as fy
+           from (select *, north + (south - north) * ((iy + oy) / {G}) as clat from l3) q where lw <> 0)"""
 
 
 def lattice_sql(grid: int, probes: str = "{fx_probes}") -> str:
@@ -298,7 +298,7 @@ def lattice_sql(grid: int, probes: str = "{fx_probes}") -> str:
 
 
 @query("jn8_lattice_sample", f"""
-    with {lattice_sql(64)}, s as ({bilinear_sql('l4', 'probe_id, dx, dy, lw')})
+    with {lattice_sql(64)}, s as ({bilinear_sql('l4', 'probe_id, ox, oy, lw')})
     select probe_id, round(sum(elev * lw), 3) as surface from s group by probe_id""")
 def jn8(spark, sf):
     out = raster.sample_surface(geo_probes(spark, sf), pixels(spark, sf), "lon", "lat", 3, size=N, grid=64)
@@ -312,7 +312,8 @@ def jn8(spark, sf):
     from a join b using (probe_id)""")
 def jn9(spark, sf):
     # The same tiles serve as the fine layer one zoom below.
-    out = raster.sample_preferred(geo_probes(spark, sf), pixels(spark, sf), pixels(spark, sf), "lon", "lat", 4, 3, N)
+    out = raster.sample_preferred(geo_probes(spark, sf), pixels(spark, sf), pixels(spark, sf),
+                                  geo.tile_frac_x("lon", 3), geo.tile_frac_y("lat", 3), 1, N)
     return out.select("probe_id", F.round("elev", 3).alias("elev"), F.col("elev_covered").alias("covered"))
 
 
