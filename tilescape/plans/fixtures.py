@@ -155,6 +155,11 @@ RECIPES: dict[str, str] = {
                           when 3 then 'terrain' else 'wash' end as layer,
                      41856 + o_custkey % 64 + (o_orderkey {D} 15000) * 64 as tx, 101296 + o_orderkey % 48 as ty
               from {orders}) a""",
+    "fx_disk": """
+        select distinct case l_orderkey % 5 when 0 then 'trees' when 1 then 'roofs' when 2 then 'paint'
+                             when 3 then 'terrain' else 'wash' end as layer,
+               41856 + l_partkey % 64 + (l_orderkey {D} 15000) * 64 as tx, 101296 + l_orderkey % 48 as ty
+        from {lineitem}""",
 }
 
 _NAME = re.compile(r"\{(\w{2,})\}")
