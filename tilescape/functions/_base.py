@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 ColumnLike = Column | str
 
@@ -34,3 +34,12 @@ def half_even(value: Column) -> Column:
 def half_up(value: Column) -> Column:
     """Round half towards +infinity, the rounding used by the map client."""
     return F.floor(value + F.lit(0.5)).cast("bigint")
+
+
+def explode_items(df: DataFrame, columns, array: Column, pos: str, item: str) -> DataFrame:
+    """One row per array element with its position.
+
+    The outer form is used and empty rows are dropped afterwards: for the plain form the
+    optimizer infers a filter on the array, which would evaluate a costly array twice.
+    """
+    return (df.select(*columns, F.posexplode_outer(array).alias(pos, item)).filter(F.col(pos).isNotNull()))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._base import ColumnLike, col, num
+from ._base import ColumnLike, col, explode_items, num
 
 
 def ring_of(*xy) -> Column:
@@ -96,28 +96,44 @@ def anchor_in_tile(rings: ColumnLike, extent) -> Column:
                       & (first["y"] >= 0) & (first["y"] < num(extent)), F.lit(False))
 
 
-def point_in_ring(x: ColumnLike, y: ColumnLike, ring: ColumnLike) -> Column:
-    """Even-odd containment."""
-    x, y, ring = col(x), col(y), col(ring)
-    hits = F.zip_with(ring, _next(ring), lambda a, b: F.when(
-        ((a["y"] > y) != (b["y"] > y))
-        & (x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]), 1).otherwise(0))
-    return F.aggregate(hits, F.lit(0), lambda acc, h: acc + h) % 2 == 1
+def flat_edges(ring: ColumnLike) -> Column:
+    """Edges as struct(x0, y0, x1, y1). Compute this once per ring, before joining points to it."""
+    ring = col(ring)
+    return F.zip_with(ring, _next(ring), lambda a, b: F.struct(
+        a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1")))
 
 
-def point_near_ring(x: ColumnLike, y: ColumnLike, ring: ColumnLike, pad: float) -> Column:
+def inside_edges(x: ColumnLike, y: ColumnLike, edges: ColumnLike) -> Column:
+    """Even-odd containment from `flat_edges`."""
+    x, y = col(x).cast("double"), col(y).cast("double")
+    crosses = lambda e: (((e["y0"] > y) != (e["y1"] > y))
+                         & (x < (e["x1"] - e["x0"]) * (y - e["y0"]) / (e["y1"] - e["y0"]) + e["x0"]))
+    return F.aggregate(col(edges), F.lit(False), lambda odd, e: odd != crosses(e))
+
+
+def near_edges(x: ColumnLike, y: ColumnLike, edges: ColumnLike, pad: float) -> Column:
     """Is the point within `pad` of any edge? Compared without divisions, so exact on integers."""
-    x, y, ring = col(x), col(y), col(ring)
+    x, y = col(x).cast("double"), col(y).cast("double")
 
-    def close(a: Column, b: Column) -> Column:
-        ex, ey, px, py = b["x"] - a["x"], b["y"] - a["y"], x - a["x"], y - a["y"]
-        length2, along = ex * ex + ey * ey, px * ex + py * ey
+    def close(e: Column) -> Column:
+        ex, ey, px, py = e["x1"] - e["x0"], e["y1"] - e["y0"], x - e["x0"], y - e["y0"]
+        qx, qy = x - e["x1"], y - e["y1"]
         cross = px * ey - py * ex
-        return (F.when(along <= 0, px * px + py * py <= pad * pad)
-                .when(along >= length2, (x - b["x"]) * (x - b["x"]) + (y - b["y"]) * (y - b["y"]) <= pad * pad)
-                .otherwise(cross * cross <= pad * pad * length2))
+        return (F.when(px * ex + py * ey <= 0, px * px + py * py <= pad * pad)
+                .when(qx * ex + qy * ey >= 0, qx * qx + qy * qy <= pad * pad)
+                .otherwise(cross * cross <= (ex * ex + ey * ey) * (pad * pad)))
+
+    return F.exists(col(edges), close)
 
-    return F.exists(F.zip_with(ring, _next(ring), close), lambda hit: hit)
+
+def point_in_ring(x: ColumnLike, y: ColumnLike, ring: ColumnLike) -> Column:
+    """Even-odd containment."""
+    return inside_edges(x, y, flat_edges(ring))
+
+
+def point_near_ring(x: ColumnLike, y: ColumnLike, ring: ColumnLike, pad: float) -> Column:
+    """Is the point within `pad` of the ring?"""
+    return near_edges(x, y, flat_edges(ring), pad)
 
 
 def point_in_polygon(x: ColumnLike, y: ColumnLike, outer: ColumnLike, holes: ColumnLike) -> Column:
@@ -127,5 +143,5 @@ def point_in_polygon(x: ColumnLike, y: ColumnLike, outer: ColumnLike, holes: Col
 
 def explode_polygons(features: DataFrame, rings="rings") -> DataFrame:
     """One row per polygon of a multi-polygon feature."""
-    return (features.select("*", F.posexplode(assemble_polygons(rings)).alias("polygon_no", "_p"))
+    return (explode_items(features, ["*"], assemble_polygons(rings), "polygon_no", "_p")
             .select(*features.columns, "polygon_no", F.col("_p.outer").alias("outer"), F.col("_p.holes").alias("holes")))

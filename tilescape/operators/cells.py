@@ -53,21 +53,20 @@ def tile_grid_cells(df: DataFrame, min_x: ColumnLike, min_y: ColumnLike, max_x:
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size, x="x", y="y",
                     box=("min_x", "min_y", "max_x", "max_y"), on: Sequence[str] = (), pad=0.0,
-                    how: str = "inner") -> DataFrame:
+                    exact: Column | None = None) -> DataFrame:
     """Points joined to the boxes whose padded extent holds them (closed).
 
-    A point has one cell and a box lists each cell once, so no pair repeats.
+    A point has one cell and a box lists each cell once, so no pair repeats. `exact` is a
+    costlier test on the pair, evaluated only for pairs that pass the box test.
     """
     left = with_point_cell(points, x, y, size).alias("p")
     right = with_box_cells(boxes, *box, size, pad).alias("b")
     keys = [F.col(f"p.{k}") == F.col(f"b.{k}") for k in (*on, CELL_X, CELL_Y)]
     inside = (F.col(f"p.{x}").between(F.col(f"b.{box[0]}") - num(pad), F.col(f"b.{box[2]}") + num(pad))
               & F.col(f"p.{y}").between(F.col(f"b.{box[1]}") - num(pad), F.col(f"b.{box[3]}") + num(pad)))
-    condition = inside
+    condition = inside if exact is None else F.when(inside, exact).otherwise(False)
     for k in keys:
         condition = condition & k
-    joined = left.join(right, condition, how)
-    if how in ("left_semi", "left_anti"):
-        return joined.drop(CELL_X, CELL_Y)
+    joined = left.join(right, condition)
     extra = [F.col(f"b.{c}") for c in boxes.columns if c not in on and c not in points.columns]
     return joined.select(*[F.col(f"p.{c}") for c in points.columns], *extra)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tilescape.functions import rings
 from tilescape.functions._base import ColumnLike, col, num
-from tilescape.functions.classify import lookup, pin_hover
+from tilescape.functions.classify import pin_hover
 
 from . import cells, footprints
 
@@ -39,8 +39,8 @@ def in_oriented_box(x: Column, y: Column) -> Column:
 
 
 def probes_on_decks(probes: DataFrame, decks: DataFrame, cell: float, on: Sequence[str], x="x", y="y") -> DataFrame:
-    near = cells.points_in_boxes(probes, decks, cell, x, y, ("min_x", "min_y", "max_x", "max_y"), on)
-    return near.filter(in_oriented_box(F.col(x), F.col(y)))
+    return cells.points_in_boxes(probes, decks, cell, x, y, ("min_x", "min_y", "max_x", "max_y"), on,
+                                 exact=in_oriented_box(F.col(x), F.col(y)))
 
 
 def ray_down(probes: DataFrame, probe_id: str, prisms: DataFrame, decks: DataFrame | None, terrain: DataFrame | None,
@@ -101,171 +101,171 @@ def spawn_altitude(points: DataFrame, hits: DataFrame, nearest: DataFrame, point
 
 def _contact(t: Column, rank, px: Column, py: Column, pz: Column, nx: Column, ny: Column, nz: Column) -> Column:
     names = ("px", "py", "pz", "nx", "ny", "nz")
-    return F.struct(t.alias("t"), num(rank).cast("int").alias("rank"), *[v.cast("double").alias(n) for v, n in zip((px, py, pz, nx, ny, nz), names)])
-
-
-def _edge_contacts(ring: Column, sign: float, first_rank: Column, s: dict[str, Column]) -> Column:
-    """Contact (or NULL) of a moving sphere with every wall of a ring."""
-    fx, fy, fz, dx, dy, dz, r, base, top = (s[k] for k in ("fx", "fy", "fz", "dx", "dy", "dz", "r", "base", "top"))
-
-    def cap(cx: Column, cz: Column, rank: Column) -> Column:
-        ox, oz = fx - cx, fz - cz
-        a, b, c = dx * dx + dz * dz, (ox * dx + oz * dz) * 2, ox * ox + oz * oz - r * r
-        disc = b * b - a * c * 4
-        t = (-b - F.sqrt(F.greatest(disc, F.lit(0.0)))) / (F.nullif(a, F.lit(0.0)) * 2)
-        y = fy + t * dy
-        nx, nz = fx + t * dx - cx, fz + t * dz - cz
-        size = F.coalesce(F.nullif(F.hypot(nx, nz), F.lit(0.0)), F.lit(1.0))
-        return F.when((a >= 1e-10) & (disc >= 0) & (t >= 0) & (t < 1) & (y + r >= base) & (y - r <= top),
-                      _contact(t, rank, cx, y, cz, nx / size, F.lit(0.0), nz / size))
-
-    def wall(e: Column, i: Column) -> Column:
-        ax, az, bx, bz = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
-        ex, ez = bx - ax, bz - az
-        len2 = ex * ex + ez * ez
-        length = F.sqrt(len2)
-        nx, nz = -ez / length * sign, ex / length * sign
-        rank = first_rank + i
-        gap = (fx - ax) * nx + (fz - az) * nz
-        speed = dx * nx + dz * nz
-        t = (r - gap) / F.nullif(speed, F.lit(0.0))
-        cx, cy, cz = fx + t * dx, fy + t * dy, fz + t * dz
-        along = ((cx - ax) * ex + (cz - az) * ez) / len2
-        face = F.when((cy + r >= base) & (cy - r <= top), _contact(t, rank, cx - nx * r, cy, cz - nz * r, nx, F.lit(0.0), nz))
-        along0 = ((fx - ax) * ex + (fz - az) * ez) / len2
-        graze = F.when((along0 >= 0) & (along0 <= 1) & (fy + r >= base) & (fy - r <= top),
-                       _contact(F.lit(0.0), rank, fx - nx * gap, fy, fz - nz * gap, nx, F.lit(0.0), nz))
-        moving = (F.when((t < 0) | (t >= 1), None).when(along < 0, cap(ax, az, rank)).when(along > 1, cap(bx, bz, rank)).otherwise(face))
-        return F.when(len2 >= 1e-10, F.when((gap >= r) & (speed < 0), moving).when((gap > 0) & (gap < r) & (speed < 0), graze))
-
-    return F.transform(rings.ring_edges(ring), wall)
-
-
-def _exit_edges(ring: Column, sign: float, first_rank: Column, s: dict[str, Column]) -> Column:
-    """Distance and direction from an inside position to every wall."""
-    fx, fz = s["fx"], s["fz"]
-
-    def wall(e: Column, i: Column) -> Column:
-        ax, az = e["a"]["x"], e["a"]["y"]
-        ex, ez = e["b"]["x"] - ax, e["b"]["y"] - az
-        len2 = ex * ex + ez * ez
-        k = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((fx - ax) * ex + (fz - az) * ez) / len2))
-        dx, dz = ax + k * ex - fx, az + k * ez - fz
-        d = F.hypot(dx, dz)
-        length = F.sqrt(len2)
-        pick = lambda v, edge: F.when(d > 1e-6, v / F.nullif(d, F.lit(0.0))).otherwise(edge / length * sign)
-        return F.when(len2 >= 1e-10, F.struct(d.alias("d"), (first_rank + i).cast("int").alias("rank"), pick(dx, -ez).alias("nx"),
-                                              F.lit(0.0).alias("ny"), pick(dz, ex).alias("nz")))
-
-    return F.transform(rings.ring_edges(ring), wall)
-
-
-def _first(values: Column) -> Column:
-    return F.array_min(F.filter(values, lambda v: v.isNotNull()))
-
-
-def sweep_prism_contact(sweep: dict[str, ColumnLike], outer: ColumnLike, holes: ColumnLike, base: ColumnLike, top: ColumnLike) -> Column:
-    """First contact of a moving sphere with a prism as a struct, NULL when it passes.
-
-    `sweep` maps fx, fy, fz, tx, ty, tz, r to columns (y is height). Starting inside gives
-    t = 0 and the shortest way out.
+    return F.struct(t.cast("double").alias("t"), num(rank).cast("int").alias("rank"),
+                    *[v.cast("double").alias(n) for v, n in zip((px, py, pz, nx, ny, nz), names)])
+
+
+def with_sweep_edges(prisms: DataFrame) -> DataFrame:
+    """Add the box and `edges`: all walls of a prism, laid out once, with their sign and order."""
+    def walls(ring: Column, sign: float, first: Column) -> Column:
+        return F.transform(rings.flat_edges(ring), lambda e, i: F.struct(
+            e["x0"].alias("ax"), e["y0"].alias("az"), e["x1"].alias("bx"), e["y1"].alias("bz"),
+            F.lit(sign).alias("sign"), (first + i).cast("int").alias("rank")))
+
+    offset = F.size("outer")
+    holes = F.transform("holes", lambda h, i: walls(h, -1.0, offset + i * 10000))
+    return (with_prism_box(prisms).withColumn("edges", F.concat(walls(F.col("outer"), 1.0, F.lit(0)), F.flatten(holes)))
+            .withColumns({"_outer_edges": rings.flat_edges("outer"), "_hole_edges": F.transform("holes", rings.flat_edges)}))
+
+
+def _in_prism(x: Column, z: Column) -> Column:
+    return rings.inside_edges(x, z, "_outer_edges") & ~F.exists("_hole_edges", lambda h: rings.inside_edges(x, z, h))
+
+
+def prism_contacts(pairs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """First contact per (sweep, prism) pair: columns fx..r (motion), base, top, edges -> struct `c`.
+
+    Walls become rows, and each closed-form step is one generated projection. Starting
+    inside gives t = 0 and the shortest way out.
     """
-    v = {k: col(c).cast("double") for k, c in sweep.items()}
-    outer, holes, base, top = col(outer), col(holes), col(base).cast("double"), col(top).cast("double")
-    s = {**v, "dx": v["tx"] - v["fx"], "dy": v["ty"] - v["fy"], "dz": v["tz"] - v["fz"], "base": base, "top": top}
-    fx, fy, fz, r = v["fx"], v["fy"], v["fz"], v["r"]
-    inside = (fy >= base - r) & (fy <= top + r) & rings.point_in_polygon(fx, fz, outer, holes)
-
-    offset = F.size(outer)
-    hole_rank = lambda i: offset + i * 10000
-    exits = F.concat(
-        F.array(F.struct(F.greatest(F.lit(0.0), top - fy).alias("d"), F.lit(-2).alias("rank"), F.lit(0.0).alias("nx"), F.lit(1.0).alias("ny"), F.lit(0.0).alias("nz")),
-                F.struct(F.greatest(F.lit(0.0), fy - base).alias("d"), F.lit(-1).alias("rank"), F.lit(0.0).alias("nx"), F.lit(-1.0).alias("ny"), F.lit(0.0).alias("nz"))),
-        _exit_edges(outer, 1.0, F.lit(0), s),
-        F.flatten(F.transform(holes, lambda h, i: _exit_edges(h, -1.0, hole_rank(i), s))))
-    out = _first(exits)
-    push = out["d"] + r + SKIN
-    leave = _contact(F.lit(0.0), 0, fx + out["nx"] * push, fy + out["ny"] * push, fz + out["nz"] * push, out["nx"], out["ny"], out["nz"])
-
-    t_top = (top + r - fy) / F.nullif(s["dy"], F.lit(0.0))
-    cx, cz = fx + t_top * s["dx"], fz + t_top * s["dz"]
-    landing = F.when((fy > top) & (s["dy"] < 0) & (t_top > 0) & (t_top < 1) & rings.point_in_polygon(cx, cz, outer, holes),
-                     _contact(t_top, -1, cx, top, cz, F.lit(0.0), F.lit(1.0), F.lit(0.0)))
-    walls = F.concat(F.array(landing), _edge_contacts(outer, 1.0, F.lit(0), s),
-                     F.flatten(F.transform(holes, lambda h, i: _edge_contacts(h, -1.0, hole_rank(i), s))))
-    return F.when(inside, leave).otherwise(_first(walls))
-
-
-def sweep_deck_contact(sweep: dict[str, ColumnLike]) -> Column:
-    """First contact of a moving sphere with an oriented deck box (columns of `lines.oriented_box`)."""
-    v = {k: col(c).cast("double") for k, c in sweep.items()}
-    cx, cz = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2
-    cy = (F.col("top") + F.col("bottom")) / 2
-    ux, uz = F.col("tx_"), F.col("ty_")
-    r = v["r"]
-    local = lambda x, y, z: (x * ux + z * uz, z * ux - x * uz, y)
-    start = local(v["fx"] - cx, v["fy"] - cy, v["fz"] - cz)
-    move = local(v["tx"] - v["fx"], v["ty"] - v["fy"], v["tz"] - v["fz"])
-    half = [F.col("length") / 2, F.col("half_width"), (F.col("top") - F.col("bottom")) / 2]
-
-    slabs = []
-    for axis, (o, d, h) in enumerate(zip(start, move, half)):
-        still = F.abs(d) < 1e-9
-        h = h + r
-        t1, t2 = (-h - o) / d, (h - o) / d
-        enter = F.when(~still, F.least(t1, t2))
-        leave = F.when(~still, F.greatest(t1, t2))
-        blocked = still & (F.abs(o) > h)
-        slabs.append((enter, leave, blocked, F.when(d > 0, -1.0).otherwise(1.0)))
+    c = F.col
+    zero, one = F.lit(0.0), F.lit(1.0)
+    staged = pairs.withColumns({"dx": c("tx") - c("fx"), "dy": c("ty") - c("fy"), "dz": c("tz") - c("fz")})
+    in_height = (c("fy") >= c("base") - c("r")) & (c("fy") <= c("top") + c("r"))
+    t_top = F.when((c("fy") > c("top")) & (c("dy") < 0), (c("top") + c("r") - c("fy")) / F.nullif(c("dy"), zero))
+    staged = staged.withColumns({"inside": F.when(in_height, _in_prism(c("fx"), c("fz"))).otherwise(False), "t_top": t_top})
+    lands = F.when((c("t_top") > 0) & (c("t_top") < 1),
+                   _in_prism(c("fx") + c("t_top") * c("dx"), c("fz") + c("t_top") * c("dz"))).otherwise(False)
+    staged = staged.withColumn("lands", lands).drop("_outer_edges", "_hole_edges", "outer", "holes")
+
+    # One row per wall plus one row (rank NULL) for the horizontal planes. No filter follows until
+    # the aggregate: a filter would be pushed down with every step above inlined into it.
+    candidate = lambda key, contact: F.struct(key.cast("double").alias("key"), contact.alias("c"))
+    nothing = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("ax", "double"), ("az", "double"), ("bx", "double"), ("bz", "double"),
+                                                                   ("sign", "double"), ("rank", "int"))])
+    e = staged.select(*keep, "fx", "fy", "fz", "dx", "dy", "dz", "r", "base", "top", "inside", "lands", "t_top",
+                      F.explode_outer(F.concat(F.array(nothing), c("edges"))).alias("e"))
+    e = e.select("*", "e.*").drop("e")
+    e = e.withColumns({"ex": c("bx") - c("ax"), "ez": c("bz") - c("az")})
+    e = e.withColumn("len2", c("ex") * c("ex") + c("ez") * c("ez"))
+    e = e.withColumn("len2", F.when(c("len2") >= 1e-10, c("len2")))
+    e = e.withColumn("len", F.sqrt("len2"))
+    e = e.withColumns({"wx": -c("ez") / c("len") * c("sign"), "wz": c("ex") / c("len") * c("sign"),
+                       "along0": ((c("fx") - c("ax")) * c("ex") + (c("fz") - c("az")) * c("ez")) / c("len2")})
+    e = e.withColumns({"gap": (c("fx") - c("ax")) * c("wx") + (c("fz") - c("az")) * c("wz"), "speed": c("dx") * c("wx") + c("dz") * c("wz"),
+                       "k": F.greatest(zero, F.least(one, c("along0")))})
+
+    # Ways out of the prism: up, down, or through the nearest point of a wall.
+    up, down = F.greatest(zero, c("top") - c("fy")), F.greatest(zero, c("fy") - c("base"))
+    e = e.withColumns({"vy": F.when(down < up, -1.0).otherwise(1.0), "vd": F.least(up, down),
+                       "qx": c("ax") + c("k") * c("ex") - c("fx"), "qz": c("az") + c("k") * c("ez") - c("fz")})
+    e = e.withColumn("d", F.hypot("qx", "qz"))
+    e = e.withColumns({"nx": F.when(c("d") > 1e-6, c("qx") / F.nullif(c("d"), zero)).otherwise(c("wx")),
+                       "nz": F.when(c("d") > 1e-6, c("qz") / F.nullif(c("d"), zero)).otherwise(c("wz")), "push": c("d") + c("r") + SKIN})
+
+    # Wall planes, their end caps, and the band right at the wall.
+    e = e.withColumn("t", F.when((c("speed") < 0) & (c("gap") >= c("r")), (c("r") - c("gap")) / F.nullif(c("speed"), zero)))
+    at = lambda axis, t: c(f"f{axis}") + c(t) * c(f"d{axis}")
+    e = e.withColumns({"cx": at("x", "t"), "cy": at("y", "t"), "cz": at("z", "t")})
+    e = e.withColumn("along", ((c("cx") - c("ax")) * c("ex") + (c("cz") - c("az")) * c("ez")) / c("len2"))
+    end = lambda axis: F.when(c("along") < 0, c(f"a{axis}")).when(c("along") > 1, c(f"b{axis}"))
+    e = e.withColumns({"lx": end("x"), "lz": end("z")})
+    e = e.withColumns({"ox": c("fx") - c("lx"), "oz": c("fz") - c("lz"), "qa": c("dx") * c("dx") + c("dz") * c("dz")})
+    e = e.withColumns({"qb": (c("ox") * c("dx") + c("oz") * c("dz")) * 2, "qc": c("ox") * c("ox") + c("oz") * c("oz") - c("r") * c("r")})
+    e = e.withColumn("disc", c("qb") * c("qb") - c("qa") * c("qc") * 4)
+    e = e.withColumn("tc", F.when((c("qa") >= 1e-10) & (c("disc") >= 0), (-c("qb") - F.sqrt(F.greatest(c("disc"), zero))) / (F.nullif(c("qa"), zero) * 2)))
+    e = e.withColumns({"my": at("y", "tc"), "mx": at("x", "tc") - c("lx"), "mz": at("z", "tc") - c("lz")})
+    e = e.withColumn("mag", F.coalesce(F.nullif(F.hypot("mx", "mz"), zero), one))
+    level = lambda y: (c(y) + c("r") >= c("base")) & (c(y) - c("r") <= c("top"))
+    plane_ok = (c("t") >= 0) & (c("t") < 1)
+    cap_ok = (c("tc") >= 0) & (c("tc") < 1) & level("my")
+    case = (F.when(c("rank").isNull(), F.when(c("inside"), "vertical").when(c("lands"), "landing"))
+            .when(c("len2").isNull(), None)
+            .when(c("inside"), "exit")
+            .when((c("speed") < 0) & (c("gap") > 0) & (c("gap") < c("r")), F.when(c("along0").between(0, 1) & level("fy"), "graze"))
+            .when(plane_ok & c("lx").isNotNull(), F.when(cap_ok, "cap"))
+            .when(plane_ok & level("cy"), "face"))
+    e = e.withColumn("case", case)
+    pick = lambda **by_case: _by_case(c("case"), by_case)
+    time = pick(landing=c("t_top"), face=c("t"), cap=c("tc"), vertical=zero, exit=zero, graze=zero)
+    e = e.withColumns({
+        "key": pick(vertical=c("vd"), exit=c("d"), landing=c("t_top"), face=c("t"), cap=c("tc"), graze=zero), "time": time,
+        "order": F.coalesce("rank", F.lit(-1)),
+        "px": pick(vertical=c("fx"), exit=c("fx") + c("nx") * c("push"), landing=at("x", "t_top"), face=c("cx") - c("wx") * c("r"), cap=c("lx"), graze=c("fx") - c("wx") * c("gap")),
+        "py": pick(vertical=c("fy") + (c("vd") + c("r") + SKIN) * c("vy"), exit=c("fy"), landing=c("top"), face=c("cy"), cap=c("my"), graze=c("fy")),
+        "pz": pick(vertical=c("fz"), exit=c("fz") + c("nz") * c("push"), landing=at("z", "t_top"), face=c("cz") - c("wz") * c("r"), cap=c("lz"), graze=c("fz") - c("wz") * c("gap")),
+        "mnx": pick(vertical=zero, exit=c("nx"), landing=zero, face=c("wx"), cap=c("mx") / c("mag"), graze=c("wx")),
+        "mny": pick(vertical=c("vy"), exit=zero, landing=one, face=zero, cap=zero, graze=zero),
+        "mnz": pick(vertical=zero, exit=c("nz"), landing=zero, face=c("wz"), cap=c("mz") / c("mag"), graze=c("wz"))})
+    found = F.when(c("case").isNotNull(), F.struct("key", "order", _contact(c("time"), "order", *[c(n) for n in ("px", "py", "pz", "mnx", "mny", "mnz")]).alias("c")))
+    return (e.groupBy(*keep).agg(F.min(found).alias("_m")).filter(c("_m").isNotNull()).select(*keep, F.col("_m.c").alias("c")))
+
+
+def _by_case(case: Column, values: dict[str, Column]) -> Column:
+    out = None
+    for name, value in values.items():
+        out = F.when(case == name, value) if out is None else out.when(case == name, value)
+    return out
+
+
+def deck_contacts(pairs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """First contact per (sweep, deck) pair with an oriented box, by the slab method in deck axes."""
+    c = F.col
+    zero = F.lit(0.0)
+    d = pairs.withColumns({"mx": (c("ax") + c("bx")) / 2, "mz": (c("ay") + c("by")) / 2, "my": (c("top") + c("bottom")) / 2,
+                           "dx": c("tx") - c("fx"), "dy": c("ty") - c("fy"), "dz": c("tz") - c("fz")})
+    d = d.withColumns({"ou": (c("fx") - c("mx")) * c("tx_") + (c("fz") - c("mz")) * c("ty_"), "ov": (c("fz") - c("mz")) * c("tx_") - (c("fx") - c("mx")) * c("ty_"),
+                       "ow": c("fy") - c("my"), "du": c("dx") * c("tx_") + c("dz") * c("ty_"), "dv": c("dz") * c("tx_") - c("dx") * c("ty_"), "dw": c("dy"),
+                       "hu": c("length") / 2 + c("r"), "hv": c("half_width") + c("r"), "hw": (c("top") - c("bottom")) / 2 + c("r")})
+    blocked = F.lit(False)
+    for a in "uvw":
+        still = F.abs(c(f"d{a}")) < 1e-9
+        t1, t2 = (-c(f"h{a}") - c(f"o{a}")) / c(f"d{a}"), (c(f"h{a}") - c(f"o{a}")) / c(f"d{a}")
+        d = d.withColumns({f"in_{a}": F.when(~still, F.least(t1, t2)), f"out_{a}": F.when(~still, F.greatest(t1, t2))})
+        blocked = blocked | (still & (F.abs(c(f"o{a}")) > c(f"h{a}")))
     # The latest positive entry decides; on equal entries the earlier axis does.
-    entries = F.array(F.struct(F.lit(0.0).alias("t"), F.lit(1).alias("order"), F.lit(-1).alias("axis"), F.lit(0.0).alias("sign")),
-                      *[F.struct(F.coalesce(e, F.lit(-1.0)).alias("t"), F.lit(-a).alias("order"), F.lit(a).alias("axis"), sign.alias("sign"))
-                        for a, (e, _, _, sign) in enumerate(slabs)])
-    entry = F.array_max(entries)
-    exit_t = F.least(F.lit(1.0), *[l for _, l, _, _ in slabs])
-    blocked = slabs[0][2] | slabs[1][2] | slabs[2][2]
-    axis_is = lambda k: F.when(entry["axis"] == k, entry["sign"]).otherwise(0.0)
-    nu, nv, nw = axis_is(0), axis_is(1), axis_is(2)
-    t = entry["t"]
-    at = [o + t * d for o, d in zip(start, move)]
-    world = lambda u, w, h: (cx + u * ux - w * uz, cy + h, cz + u * uz + w * ux)
-    px, py, pz = world(at[0] - nu * r, at[1] - nv * r, at[2] - nw * r)
-    hit = _contact(t, 0, px, py, pz, nu * ux - nv * uz, nw, nu * uz + nv * ux)
-    return F.when(~blocked & (t <= exit_t) & (t < 1), hit)
+    d = d.withColumns({"t": F.greatest(zero, "in_u", "in_v", "in_w"), "t_out": F.least(F.lit(1.0), "out_u", "out_v", "out_w"), "blocked": blocked})
+    axis = F.when(c("t") == 0, F.lit("none")).when(c("in_u") == c("t"), "u").when(c("in_v") == c("t"), "v").otherwise("w")
+    d = d.filter(~c("blocked") & (c("t") <= c("t_out")) & (c("t") < 1)).withColumn("axis", axis)
+    for a in "uvw":
+        d = d.withColumn(f"n{a}", F.when(c("axis") == a, F.when(c(f"d{a}") > 0, -1.0).otherwise(1.0)).otherwise(0.0))
+    for a in "uvw":
+        d = d.withColumn(f"p{a}", c(f"o{a}") + c("t") * c(f"d{a}") - c(f"n{a}") * c("r"))
+    contact = _contact(c("t"), 0, c("mx") + c("pu") * c("tx_") - c("pv") * c("ty_"), c("my") + c("pw"), c("mz") + c("pu") * c("ty_") + c("pv") * c("tx_"),
+                       c("nu") * c("tx_") - c("nv") * c("ty_"), c("nw"), c("nu") * c("ty_") + c("nv") * c("tx_"))
+    return d.select(*keep, contact.alias("c"))
 
 
 def sweep_spheres(sweeps: DataFrame, sweep_id: str, prisms: DataFrame, decks: DataFrame | None, cell: float,
-                  on: Sequence[str] = ("tx",), prism_id="fid", deck_id="deck_id",
-                  names: dict[str, str] | None = None) -> DataFrame:
+                  on: Sequence[str] = ("tile",), prism_id="fid", deck_id="deck_id") -> DataFrame:
     """First contact per sweep over all prisms and decks, sweeps without one left out.
 
-    Sweep boxes and solids meet in cells; a pair sharing several cells is decided in the
-    cell of the larger of their two lower corners only, so it is evaluated once.
+    `sweeps` has fx, fy, fz -> tx, ty, tz and radius r (y is height). Sweep boxes and solids
+    meet in cells; a pair sharing several cells is evaluated in one of them only.
     """
-    k = names or {n: n for n in ("fx", "fy", "fz", "tx", "ty", "tz", "r")}
-    boxed = sweeps.withColumns({
-        "_sx0": F.least(k["fx"], k["tx"]) - F.col(k["r"]), "_sx1": F.greatest(k["fx"], k["tx"]) + F.col(k["r"]),
-        "_sz0": F.least(k["fz"], k["tz"]) - F.col(k["r"]), "_sz1": F.greatest(k["fz"], k["tz"]) + F.col(k["r"]),
-        "_sy0": F.least(k["fy"], k["ty"]) - F.col(k["r"]), "_sy1": F.greatest(k["fy"], k["ty"]) + F.col(k["r"])})
+    motion = ("fx", "fy", "fz", "tx", "ty", "tz", "r")
+    low, high = (lambda a: F.least(f"f{a}", f"t{a}") - F.col("r")), (lambda a: F.greatest(f"f{a}", f"t{a}") + F.col("r"))
+    boxed = sweeps.select(sweep_id, *on, *[F.col(m).cast("double").alias(m) for m in motion]).withColumns(
+        {**{f"_s{a}0": low(a) for a in "xyz"}, **{f"_s{a}1": high(a) for a in "xyz"}})
     left = cells.with_box_cells(boxed, "_sx0", "_sz0", "_sx1", "_sz1", cell)
 
-    def pairs(solids: DataFrame, low: str) -> DataFrame:
+    def pairs(solids: DataFrame, base: str) -> DataFrame:
         right = cells.with_box_cells(solids, "_min_x", "_min_y", "_max_x", "_max_y", cell)
-        joined = left.join(right, [*on, cells.CELL_X, cells.CELL_Y])
         meets = ((F.col("_sx1") >= F.col("_min_x")) & (F.col("_sx0") <= F.col("_max_x")) & (F.col("_sz1") >= F.col("_min_y"))
-                 & (F.col("_sz0") <= F.col("_max_y")) & (F.col("_sy1") >= F.col(low)) & (F.col("_sy0") <= F.col("top")))
+                 & (F.col("_sz0") <= F.col("_max_y")) & (F.col("_sy1") >= F.col(base)) & (F.col("_sy0") <= F.col("top")))
         once = ((F.col(cells.CELL_X) == cells.cell(F.greatest("_sx0", "_min_x"), cell))
                 & (F.col(cells.CELL_Y) == cells.cell(F.greatest("_sz0", "_min_y"), cell)))
-        return joined.filter(meets & once)
+        return left.join(right, [*on, cells.CELL_X, cells.CELL_Y]).filter(meets & once)
 
-    hit = lambda df, contact, kind, rank, ident: (df.withColumn("_c", contact).filter(F.col("_c.t") < 1)
-                                                  .select(sweep_id, F.struct(F.col("_c.t").alias("t"), F.lit(rank).alias("kind_rank"),
-                                                                             F.col(ident).cast("string").alias("solid"), F.lit(kind).alias("kind"), F.col("_c").alias("c")).alias("_h")))
-    hits = hit(pairs(with_prism_box(prisms), "base"), sweep_prism_contact(k, "outer", "holes", "base", "top"), "prism", 0, prism_id)
+    ranked = lambda df, kind, rank, ident: df.select(sweep_id, F.struct(
+        F.col("c.t").alias("t"), F.lit(rank).alias("kind_rank"), F.col(ident).alias("solid"), F.lit(kind).alias("kind"), F.col("c").alias("c")).alias("_h"))
+    number = lambda c: F.col(c).cast("double").alias(c)
+    solid = with_sweep_edges(prisms).select(*on, prism_id, number("base"), number("top"), "edges", "_outer_edges", "_hole_edges", *_BOX)
+    hits = ranked(prism_contacts(pairs(solid, "base"), [sweep_id, prism_id]), "prism", 0, prism_id)
     if decks is not None:
         boxes = decks.withColumnsRenamed({n[1:]: n for n in _BOX})
-        hits = hits.unionByName(hit(pairs(boxes, "bottom"), sweep_deck_contact(k), "deck", 1, deck_id))
-    best = hits.groupBy(sweep_id).agg(F.min("_h").alias("_h"))
+        hits = hits.unionByName(ranked(deck_contacts(pairs(boxes, "bottom"), [sweep_id, deck_id]), "deck", 1, deck_id))
+    best = hits.filter(F.col("_h.t") < 1).groupBy(sweep_id).agg(F.min("_h").alias("_h"))
     return best.select(sweep_id, F.col("_h.t").alias("t"), F.col("_h.kind").alias("kind"), F.col("_h.solid").alias("solid"),
                        *[F.col(f"_h.c.{n}").alias(n) for n in ("px", "py", "pz", "nx", "ny", "nz")])
 

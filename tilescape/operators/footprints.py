@@ -46,20 +46,28 @@ def candidates(footprints: DataFrame, ring="ring", rules: RoofRules = RULES) ->
 def points_in_rings(points: DataFrame, footprints: DataFrame, cell: float, pad: float = 0.0, on: Sequence[str] = ("tx",),
                     x="x", y="y", ring="ring") -> DataFrame:
     """Points joined to the padded rings that hold them: cell equi-join, box test, then the exact test."""
-    boxed = footprints.withColumn("_b", rings.ring_bounds(ring)).select(
-        "*", *[F.col(f"_b.{n}").alias(f"_{n}") for n in ("min_x", "min_y", "max_x", "max_y")]).drop("_b")
-    near = cells.points_in_boxes(points, boxed, cell, x, y, ("_min_x", "_min_y", "_max_x", "_max_y"), on, pad)
-    inside = rings.point_in_ring(x, y, ring)
-    if pad:
-        inside = inside | rings.point_near_ring(x, y, ring, pad)
-    return near.filter(inside)
+    return _points_in(points, footprints, cell, pad, on, x, y, ring, None)
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, on: Sequence[str] = ("tx",), x="x", y="y",
                        outer="outer", holes="holes") -> DataFrame:
     """The same for polygons with holes."""
-    hits = points_in_rings(points, polygons, cell, 0.0, on, x, y, outer)
-    return hits.filter(~F.exists(holes, lambda h: rings.point_in_ring(x, y, h)))
+    return _points_in(points, polygons, cell, 0.0, on, x, y, outer, holes)
+
+
+def _points_in(points, shapes, cell, pad, on, x, y, ring, holes) -> DataFrame:
+    """Edges are laid out once per shape; each pair then folds over them."""
+    b = F.col("_b")
+    boxed = shapes.withColumns({"_b": rings.ring_bounds(ring), "_edges": rings.flat_edges(ring)}).withColumns(
+        {f"_{n}": b[n] for n in ("min_x", "min_y", "max_x", "max_y")}).drop("_b")
+    inside = rings.inside_edges(x, y, "_edges")
+    if pad:
+        inside = inside | rings.near_edges(x, y, "_edges", pad)
+    if holes:
+        boxed = boxed.withColumn("_hole_edges", F.transform(holes, rings.flat_edges))
+        inside = inside & ~F.exists("_hole_edges", lambda h: rings.inside_edges(x, y, h))
+    near = cells.points_in_boxes(points, boxed, cell, x, y, ("_min_x", "_min_y", "_max_x", "_max_y"), on, pad, inside)
+    return near.drop("_edges", "_hole_edges", "_min_x", "_min_y", "_max_x", "_max_y")
 
 
 # -- Roof shapes --------------------------------------------------------------

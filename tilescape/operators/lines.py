@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tilescape.functions import colours, rings, scatter
-from tilescape.functions._base import ColumnLike, clamp, col, half_up, num, whole
+from tilescape.functions._base import ColumnLike, clamp, col, explode_items, half_up, num, whole
 from tilescape.functions.classify import compass_bearing
 
 from . import cells
@@ -57,7 +57,7 @@ def segments(lines: DataFrame, path="path") -> DataFrame:
     """One row per segment: seg, a, b, length, and the length before it."""
     pairs = _pairs(col(path))
     staged = lines.withColumn("_pairs", pairs).withColumn("_len", F.transform("_pairs", _length)).withColumn("_cum", cumulative(F.col("_len")))
-    return (staged.select(*lines.columns, F.posexplode("_pairs").alias("seg", "_s"), "_len", "_cum")
+    return (explode_items(staged, [*lines.columns, "_len", "_cum"], F.col("_pairs"), "seg", "_s")
             .select(*lines.columns, "seg", F.col("_s.a").alias("a"), F.col("_s.b").alias("b"),
                     F.get("_len", F.col("seg")).alias("length"), F.get("_cum", F.col("seg")).alias("before")))
 
@@ -150,10 +150,9 @@ def water_run(path: ColumnLike, terrain: ColumnLike) -> Column:
     return F.aggregate(legs, zero, step, lambda acc: acc["best"])
 
 
-def deck_profile(path: ColumnLike, terrain: ColumnLike) -> Column:
+def deck_profile(terrain: ColumnLike, run: ColumnLike) -> Column:
     """Deck height per vertex before smoothing: clearance over land, more over long water."""
-    terrain = col(terrain)
-    run = water_run(path, terrain)
+    terrain, run = col(terrain), col(run)
     over_water = WATER_CLEARANCE_MIN + F.least(F.lit(1.0), run / WATER_CLEARANCE_RUN) * (WATER_CLEARANCE_MAX - WATER_CLEARANCE_MIN)
     return F.transform(terrain, lambda t: F.when(
         (run > WATER_RUN) & (t <= WATER_ELEVATION), F.greatest(over_water, t + LAND_CLEARANCE)).otherwise(t + LAND_CLEARANCE))
@@ -176,7 +175,7 @@ def smooth_ends(values: ColumnLike, window: int = 5) -> Column:
 
 def with_deck(lines: DataFrame, path="path", terrain="terrain") -> DataFrame:
     """Add `water_run` and the smoothed `deck` array."""
-    return (lines.withColumn("water_run", water_run(path, terrain)).withColumn("_raw", deck_profile(path, terrain))
+    return (lines.withColumn("water_run", water_run(path, terrain)).withColumn("_raw", deck_profile(terrain, "water_run"))
             .withColumn("deck", smooth_ends("_raw")).drop("_raw"))
 
 
@@ -195,8 +194,8 @@ def oriented_box(ax: Column, ay: Column, bx: Column, by: Column, half_width) ->
 
 def deck_boxes(lines: DataFrame, half_width, keep: Sequence[str], path="path") -> DataFrame:
     """One oriented box per deck segment: top is the higher end, bottom the lower end minus the slab."""
-    staged = lines.select(*keep, F.posexplode(F.zip_with(_pairs(col(path)), _pairs(col("deck")), lambda s, d: F.struct(
-        s.alias("s"), d.alias("d")))).alias("seg", "_p"), num(half_width).alias("_hw"))
+    both = F.zip_with(_pairs(col(path)), _pairs(col("deck")), lambda s, d: F.struct(s.alias("s"), d.alias("d")))
+    staged = explode_items(lines, [*keep, num(half_width).alias("_hw")], both, "seg", "_p")
     staged = staged.filter(_length(F.col("_p.s")) >= 1e-4)
     a, b = F.col("_p.s.a"), F.col("_p.s.b")
     return staged.select(*keep, "seg", *oriented_box(a["x"], a["y"], b["x"], b["y"], F.col("_hw")),
@@ -277,7 +276,7 @@ def wall_edges(solids: DataFrame, ring: str, keep: Sequence[str], hole: bool = F
     sign = -1.0 if hole else 1.0
     edges = rings.ring_edges(ring)
     staged = solids.withColumn("_edges", edges).withColumn("_cum", cumulative(F.transform("_edges", _length)))
-    staged = staged.select(*keep, F.posexplode("_edges").alias("edge", "_e"), "_cum").withColumn("length", _length(F.col("_e")))
+    staged = explode_items(staged, [*keep, "_cum"], F.col("_edges"), "edge", "_e").withColumn("length", _length(F.col("_e")))
     a, b = F.col("_e.a"), F.col("_e.b")
     return (staged.filter(F.col("length") >= 1e-4)
             .select(*keep, "edge", a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"), "length",
@@ -334,8 +333,8 @@ def roof_facets(roofs: DataFrame, ring: str, keep: Sequence[str], shape="shape",
     gable = (F.col(shape) == 1) & (F.col("_t1") - F.col("_t0") >= 0.5)
     end = lambda t: _point(c["x"] + F.col("_dx") * F.col(t), c["y"] + F.col("_dy") * F.col(t))
     staged = staged.filter((F.col(shape) != 0) & (F.col(rise) > 0)).withColumns({"_gable": gable, "_r0": end("_t0"), "_r1": end("_t1")})
-    staged = staged.select(*keep, "_gable", "_r0", "_r1", "_c", F.col(eave).alias("eave"), (F.col(eave) + F.col("_rise")).alias("top"),
-                           F.posexplode(rings.ring_edges(ring)).alias("edge", "_e"))
+    staged = explode_items(staged, [*keep, "_gable", "_r0", "_r1", "_c", F.col(eave).alias("eave"), (F.col(eave) + F.col("_rise")).alias("top")],
+                           rings.ring_edges(ring), "edge", "_e")
     mx, my = (F.col("_e.a.x") + F.col("_e.b.x")) / 2, (F.col("_e.a.y") + F.col("_e.b.y")) / 2
     d2 = lambda r: (mx - F.col(f"{r}.x")) * (mx - F.col(f"{r}.x")) + (my - F.col(f"{r}.y")) * (my - F.col(f"{r}.y"))
     apex = F.when(~F.col("_gable"), F.col("_c")).when(d2("_r0") < d2("_r1"), F.col("_r0")).otherwise(F.col("_r1"))
@@ -368,11 +367,17 @@ def park_trees(parks: DataFrame, park_id: str, ring="ring") -> DataFrame:
     b = F.col("_b")
     area = F.greatest((b["max_x"] - b["min_x"]) * (b["max_y"] - b["min_y"]), F.lit(0.0))
     target = F.least(F.lit(PARK_MAX).cast("bigint"), F.greatest(F.lit(1).cast("bigint"), whole(area / PARK_AREA_PER_TREE)))
-    staged = (staged.withColumn("_n", target * 2).withColumn("draw", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))))
-              .withColumn("_s1", scatter.next_seed(colours.hash32(park_id, "draw"))).withColumn("_s2", scatter.next_seed(F.col("_s1"))))
-    staged = staged.withColumns({"x": b["min_x"] + scatter.unit(F.col("_s1")) * (b["max_x"] - b["min_x"]),
-                                 "y": b["min_y"] + scatter.unit(F.col("_s2")) * (b["max_y"] - b["min_y"])})
-    return staged.filter(rings.point_in_ring("x", "y", ring)).select(park_id, "draw", "x", "y")
+    def draw(k: Column) -> Column:
+        first = scatter.next_seed(colours.hash32(park_id, k))
+        return F.struct(k.alias("draw"), first.alias("s1"), scatter.next_seed(first).alias("s2"))
+
+    place = lambda s, low, high: b[low] + scatter.unit(s) * (b[high] - b[low])
+    # Positions are generated before the explode, so the containment test reads plain columns.
+    draws = F.transform(F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("_n")), draw), lambda s: F.struct(
+        s["draw"].alias("draw"), place(s["s1"], "min_x", "max_x").alias("x"), place(s["s2"], "min_y", "max_y").alias("y")))
+    staged = staged.withColumns({"_n": target * 2, "_edges": rings.flat_edges(ring)})
+    staged = staged.select(park_id, "_edges", F.explode_outer(draws).alias("_d")).select(park_id, "_edges", "_d.*")
+    return staged.filter(rings.inside_edges("x", "y", "_edges")).select(park_id, "draw", "x", "y")
 
 
 def first_per_tile(rows: DataFrame, tile: Sequence[str], order: Sequence[str], cap: int) -> DataFrame:

@@ -73,7 +73,7 @@ CLIP = """s as (select line_id, seq, u, v, lead(u) over w - u as du, lead(v) ove
                       count(*) + 1 as vertices from k where kept and t1 > t0 group by 1, 2)
     select line_id, cast(row_number() over (partition by line_id order by piece) - 1 as int) as piece, vertices, round(len, 3) as length, round(x0, 3) as x0, round(y1, 3) as y1 from f""")
 def wn9(spark, sf):
-    d = tile_lines(spark, sf).select("line_id", F.posexplode(lines.clip_to_box("path", 4096.0)).alias("piece", "p"))
+    d = tile_lines(spark, sf).select("line_id", F.posexplode_outer(lines.clip_to_box("path", 4096.0)).alias("piece", "p")).filter("piece is not null")
     total = F.aggregate(F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1),
                                    lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"])), F.lit(0.0), lambda a, v: a + v)
     return d.select("line_id", "piece", F.size("p").cast("bigint").alias("vertices"), F.round(total, 3).alias("length"),
@@ -102,7 +102,7 @@ def wn10(spark, sf):
 
 @query("wn11_deck_profile", f"with {DECK} select road_id, cast(seq as int) as seq, round(deck, 4) as deck from deck")
 def wn11(spark, sf):
-    return (lines.with_deck(bridges(spark, sf)).select("road_id", F.posexplode("deck").alias("seq", "deck"))
+    return (lines.with_deck(bridges(spark, sf)).select("road_id", F.posexplode_outer("deck").alias("seq", "deck"))
             .withColumn("deck", F.round("deck", 4)))
 
 
@@ -141,7 +141,7 @@ def wn13(spark, sf):
            round(u - ty / len * 5.1e0, 4) as edge_x from m""")
 def wn14(spark, sf):
     d = tile_lines(spark, sf).withColumn("s", lines.side_offsets("path", 5.5)).withColumn("e", lines.edge_lines("path", 5.5))
-    d = d.select("line_id", F.posexplode(F.arrays_zip("s", F.col("e.left").alias("el"))).alias("seq", "z"))
+    d = d.select("line_id", F.posexplode_outer(F.arrays_zip("s", F.col("e.left").alias("el"))).alias("seq", "z"))
     return d.select("line_id", "seq", F.round("z.s.left.x", 4).alias("lx"), F.round("z.s.left.y", 4).alias("ly"),
                     F.round("z.s.right.x", 4).alias("rx"), F.round("z.el.x", 4).alias("edge_x"))
 
@@ -154,23 +154,23 @@ def footprint_rings(spark, sf):
 
 
 # The wound rectangle runs (x0,y1) (x1,y1) (x1,y0) (x0,y0).
-WALLS = """w as (select tx, fid, 0 as edge, x0_cm as ax, y0_cm + h_cm as ay, x0_cm + w_cm as bx, y0_cm + h_cm as by from {fx_footprints}
+WALLS = """w as (select tx, fid, 0 as edge, x0_cm as ax, y0_cm + h_cm as ay, x0_cm + w_cm as bx, y0_cm + h_cm as by_ from {fx_footprints}
     union all select tx, fid, 1, x0_cm + w_cm, y0_cm + h_cm, x0_cm + w_cm, y0_cm from {fx_footprints}
     union all select tx, fid, 2, x0_cm + w_cm, y0_cm, x0_cm, y0_cm from {fx_footprints}
     union all select tx, fid, 3, x0_cm, y0_cm, x0_cm, y0_cm + h_cm from {fx_footprints})"""
 
 
 @query("wn15_wall_edges", f"""
-    with {WALLS} select tx, fid, edge, ax, ay, bx, by, cast(-sign(by - ay) as bigint) as nx, cast(sign(bx - ax) as bigint) as ny,
-        cast(abs(bx - ax) + abs(by - ay) as bigint) as length from w""")
+    with {WALLS} select tx, fid, edge, ax, ay, bx, by_, cast(-sign(by_ - ay) as bigint) as nx, cast(sign(bx - ax) as bigint) as ny,
+        cast(abs(bx - ax) + abs(by_ - ay) as bigint) as length from w""")
 def wn15(spark, sf):
     e = lines.wall_edges(footprint_rings(spark, sf), "ring", ["tx", "fid"])
     cm = lambda c: F.round(F.col(c) * 100).cast("bigint").alias(c)
-    return e.select("tx", "fid", "edge", *[cm(c) for c in ("ax", "ay", "bx", "by", "length")], F.round("nx").cast("bigint").alias("nx"), F.round("ny").cast("bigint").alias("ny"))
+    return e.select("tx", "fid", "edge", *[cm(c) for c in ("ax", "ay", "bx", "length")], cm("by").alias("by_"), F.round("nx").cast("bigint").alias("nx"), F.round("ny").cast("bigint").alias("ny"))
 
 
 @query("wn16_party_walls", f"""
-    with {WALLS}, k as (select *, (ax * 4 + 50) // 100 as qax, (ay * 4 + 50) // 100 as qay, (bx * 4 + 50) // 100 as qbx, (by * 4 + 50) // 100 as qby from w),
+    with {WALLS}, k as (select *, (ax * 4 + 50) // 100 as qax, (ay * 4 + 50) // 100 as qay, (bx * 4 + 50) // 100 as qbx, (by_ * 4 + 50) // 100 as qby from w),
          o as (select *, row_number() over (partition by least(row(qax, qay), row(qbx, qby)), greatest(row(qax, qay), row(qbx, qby)) order by tx, fid, edge) as rn from k)
     select tx, fid, edge from o where rn = 1""")
 def wn16(spark, sf):
@@ -191,15 +191,15 @@ def nth(n, s):
 
 
 @query("wn18_street_trees", f"""
-    with s as (select line_id, seq, u as ax, v as ay, lead(u) over w as bx, lead(v) over w as by from {{fx_lines}} window w as (partition by line_id order by seq)),
-         l as (select *, sqrt((bx - ax) ** 2 + (by - ay) ** 2) as len from s where bx is not null),
+    with s as (select line_id, seq, u as ax, v as ay, lead(u) over w as bx, lead(v) over w as by_ from {{fx_lines}} window w as (partition by line_id order by seq)),
+         l as (select *, sqrt((bx - ax) ** 2 + (by_ - ay) ** 2) as len from s where bx is not null),
          c as (select *, coalesce(sum(len) over (partition by line_id order by seq rows between unbounded preceding and 1 preceding), 0) as before from l),
          st as (select *, unnest(generate_series(cast(floor(before / 240) as bigint) + 1, cast(floor((before + len) / 240) as bigint))) as station from c where len >= 1e-3),
          h as (select *, {hash_sql('line_id', 'station')} as h from st),
          r as (select *, {step_sql('h')} as s1 from h), r2 as (select *, {step_sql('s1')} as s2 from r), r3 as (select *, {step_sql('s2')} as s3 from r2),
          a as (select *, greatest(0, least(len, station * 240 - before + (s1 / 4294967296e0 - 0.5e0) * 8)) as along,
                       (case when s2 % 2 = 0 then 1 else -1 end) * (5 + (s3 / 4294967296e0 - 0.5e0) * 2) as side from r3)
-    select line_id, station, round(ax + (bx - ax) / len * along - (by - ay) / len * side, 3) as x, round(ay + (by - ay) / len * along + (bx - ax) / len * side, 3) as y,
+    select line_id, station, round(ax + (bx - ax) / len * along - (by_ - ay) / len * side, 3) as x, round(ay + (by_ - ay) / len * along + (bx - ax) / len * side, 3) as y,
            {step_sql('s3')} & 255 < 100 as conifer from a""")
 def wn18(spark, sf):
     out = lines.street_trees(tile_lines(spark, sf), "line_id", spacing=240.0)
@@ -212,10 +212,10 @@ def wn18(spark, sf):
          d as (select *, unnest(generate_series(1, n)) as draw from n), h as (select *, {hash_sql('line_id', 'draw')} as h from d),
          s1 as (select *, {step_sql('h')} as s1 from h), s2 as (select *, {step_sql('s1')} as s2 from s1),
          q as (select line_id, draw, x0 + s1 / 4294967296e0 * (x1 - x0) as x, y0 + s2 / 4294967296e0 * (y1 - y0) as y from s2),
-         e as (select line_id, u as ax, v as ay, coalesce(lead(u) over w, first_value(u) over w) as bx, coalesce(lead(v) over w, first_value(v) over w) as by
+         e as (select line_id, u as ax, v as ay, coalesce(lead(u) over w, first_value(u) over w) as bx, coalesce(lead(v) over w, first_value(v) over w) as by_
                from {{fx_lines}} window w as (partition by line_id order by seq))
     select q.line_id, draw, round(x, 3) as x, round(y, 3) as y from q join e using (line_id)
-    group by 1, 2, 3, 4 having sum(case when (ay > y) <> (by > y) and x < (bx - ax) * (y - ay) / (by - ay)::double + ax then 1 else 0 end) % 2 = 1""".replace("group by 1, 2, 3, 4 having", "group by q.line_id, draw, q.x, q.y having"))
+    group by 1, 2, 3, 4 having sum(case when (ay > y) <> (by_ > y) and x < (bx - ax) * (y - ay) / (by_ - ay)::double + ax then 1 else 0 end) % 2 = 1""".replace("group by 1, 2, 3, 4 having", "group by q.line_id, draw, q.x, q.y having"))
 def wn19(spark, sf):
     parks = tile_lines(spark, sf).withColumnRenamed("path", "ring")
     return lines.park_trees(parks, "line_id").select("line_id", "draw", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
@@ -239,7 +239,7 @@ def wn29(spark, sf):
          c as (select *, (x0 + x1) / 2 as cx, (y0 + y1) / 2 as cy, sin(radians(deg)) as dx, -cos(radians(deg)) as dy,
                       least(rise, least(x1 - x0, y1 - y0) * 0.5e0, 12) as rise2 from r where shape <> 0 and rise > 0),
          t as (select *, least(case when abs(dx) > 1e-6 then (x1 - x0) / 2 / abs(dx) else 1e9 end, case when abs(dy) > 1e-6 then (y1 - y0) / 2 / abs(dy) else 1e9 end) as t from c),
-         e as (select t.*, w.edge, (w.ax + w.bx) / 200e0 as mx, (w.ay + w.by) / 200e0 as my from t join w using (fid)),
+         e as (select t.*, w.edge, (w.ax + w.bx) / 200e0 as mx, (w.ay + w.by_) / 200e0 as my from t join w using (fid)),
          d as (select *, (mx - (cx - dx * t)) ** 2 + (my - (cy - dy * t)) ** 2 as d0, (mx - (cx + dx * t)) ** 2 + (my - (cy + dy * t)) ** 2 as d1 from e)
     select fid, edge, round(case when shape <> 1 then cx when abs(d0 - d1) < 1e-6 then null when d0 < d1 then cx - dx * t else cx + dx * t end, 4) as apex_x, round(10 + rise2, 4) as top, shape = 1 as gable from d""")
 def wn30(spark, sf):
@@ -252,12 +252,12 @@ def wn30(spark, sf):
 
 
 @query("jn5_road_bearing", """
-    with r as (select road_id, seq, lon_e7 / 1e7 as ax, lat_e7 / 1e7 as ay, lead(lon_e7 / 1e7) over w as bx, lead(lat_e7 / 1e7) over w as by from {fx_roads} window w as (partition by road_id order by seq)),
+    with r as (select road_id, seq, lon_e7 / 1e7 as ax, lat_e7 / 1e7 as ay, lead(lon_e7 / 1e7) over w as bx, lead(lat_e7 / 1e7) over w as by_ from {fx_roads} window w as (partition by road_id order by seq)),
          n as (select node_id, lon_e7 / 1e7 as lon, lat_e7 / 1e7 as lat from {fx_crossings}),
-         t as (select n.*, r.*, bx - ax as vx, by - ay as vy from n cross join r where bx is not null),
+         t as (select n.*, r.*, bx - ax as vx, by_ - ay as vy from n cross join r where bx is not null),
          p as (select *, case when vx * vx + vy * vy = 0 then 0 else greatest(0, least(1, ((lon - ax) * vx + (lat - ay) * vy) / (vx * vx + vy * vy))) end as t from t),
          d as (select node_id, min(row(sqrt(((ax + t * vx - lon) * cos(radians(lat))) ** 2 + (ay + t * vy - lat) ** 2), road_id, seq,
-                   degrees(atan2(vx * cos(radians((ay + by) / 2)), vy)))) as b from p group by 1)
+                   degrees(atan2(vx * cos(radians((ay + by_) / 2)), vy)))) as b from p group by 1)
     select node_id, cast(round((b[4] + 360) * 1000) as bigint) % 360000 as mdeg, round(b[1], 9) as distance from d""")
 def jn5(spark, sf):
     from .scalar_queries import nodes, road_paths

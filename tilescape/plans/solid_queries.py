@@ -50,7 +50,7 @@ def prisms(spark, sf):
 
 
 def rays(spark, sf):
-    return fixture(spark, sf, "fx_rays").select("ray_id", "tx", F.col("x_cm").alias("x"), F.col("y_cm").alias("y"),
+    return fixture(spark, sf, "fx_rays").select("ray_id", "tx", (F.col("x_cm") + 0.37).alias("x"), (F.col("y_cm") + 0.37).alias("y"),
                                                 F.col("from_cm").alias("from_y"), F.col("drop_cm").alias("max_drop"), "ground_cm")
 
 
@@ -206,7 +206,8 @@ def decks_cm(spark, sf):
 
 DECKS = """dk as (select tx, fid as deck_id, x0_cm + w_cm as mx, y0_cm + h_cm / 2e0 as my, w_cm * 2 as dx, h_cm as dy, sqrt((w_cm * 2) ** 2 + h_cm ** 2) as len,
         fid * 53 % 3000 + 300 as top, fid * 53 % 3000 + 150 as bottom from {fx_footprints})"""
-ON_DECK = """r.tx = s.tx and abs((r.x_cm - s.mx) * s.dx + (r.y_cm - s.my) * s.dy) <= s.len * s.len / 2 + 1e-6 and abs((r.y_cm - s.my) * s.dx - (r.x_cm - s.mx) * s.dy) <= 150 * s.len"""
+ON_DECK = """r.tx = s.tx and abs((r.x_cm + 0.37e0 - s.mx) * s.dx + (r.y_cm + 0.37e0 - s.my) * s.dy) <= s.len * s.len / 2
+    and abs((r.y_cm + 0.37e0 - s.my) * s.dx - (r.x_cm + 0.37e0 - s.mx) * s.dy) <= 150 * s.len"""
 
 
 @query("jn21_deck_containment", f"with {DECKS} select ray_id, count(*) as n, min(deck_id) as first_deck from {{fx_rays}} r join dk s on {ON_DECK} group by 1")
@@ -245,21 +246,18 @@ def jn20(spark, sf):
 
 
 def sweeps(spark, sf):
-    r = fixture(spark, sf, "fx_rays")
-    c = lambda e: F.expr(e).cast("double")
-    return r.select("ray_id", "tx", c("x_cm").alias("fx"), c("from_cm").alias("fy"), c("y_cm").alias("fz"),
-                    c("x_cm + (ray_id * 31) % 1200 - 600").alias("tx_"), c("from_cm - drop_cm div 4").alias("ty"),
-                    c("y_cm + (ray_id * 17) % 1200 - 600").alias("tz"), F.lit(40.0).alias("r"))
+    r = fixture(spark, sf, "fx_rays").withColumnRenamed("tx", "tile")
+    c = lambda e, name: F.expr(e).cast("double").alias(name)
+    return r.select("ray_id", "tile", c("x_cm", "fx"), c("from_cm", "fy"), c("y_cm", "fz"),
+                    c("x_cm + (ray_id * 31) % 1200 - 600", "tx"), c("from_cm - drop_cm div 4", "ty"), c("y_cm + (ray_id * 17) % 1200 - 600", "tz"),
+                    F.lit(40.0).alias("r"))
 
 
 # Many-cased geometry: tested against a brute-force solver on a small fixture instead of SQL.
 @query("jn22_swept_sphere")
 def jn22(spark, sf):
-    names = {"fx": "fx", "fy": "fy", "fz": "fz", "tx": "tx_", "ty": "ty", "tz": "tz", "r": "r"}
-    decks = decks_cm(spark, sf).withColumnsRenamed({"tx_": "tx_", "ty_": "ty_"})
-    sw = sweeps(spark, sf).withColumnsRenamed({"tx_": "to_x", "ty": "to_y", "tz": "to_z"})
-    names.update(tx="to_x", ty="to_y", tz="to_z")
-    out = collision.sweep_spheres(sw, "ray_id", prisms(spark, sf), decks, 800, names=names)
+    tiled = lambda df: df.withColumnRenamed("tx", "tile")
+    out = collision.sweep_spheres(sweeps(spark, sf), "ray_id", tiled(prisms(spark, sf)), tiled(decks_cm(spark, sf)), 800)
     return out.select("ray_id", F.round("t", 6).alias("t"), "kind", "solid", *[F.round(c, 4).alias(c) for c in ("px", "py", "pz", "nx", "ny", "nz")])
 
 
@@ -302,7 +300,7 @@ def jn27(spark, sf):
     select r.ray_id, cast(coalesce(b[1], n.elev_dm, 0) + 80 as bigint) as altitude from {{fx_rays}} r left join down using (ray_id) left join n using (ray_id)""")
 def jn28(spark, sf):
     r = rays(spark, sf)
-    near = raster.sample_nearest(r, pixels(spark, sf), F.col("ray_id") % 8 + F.col("x") / 6400, F.col("y") / 6400, N, ["value"]).select("ray_id", F.col("value").alias("elev"))
+    near = raster.sample_nearest(r, pixels(spark, sf), F.col("ray_id") % 8 + F.floor("x") / 6400, F.floor("y") / 6400, N, ["value"]).select("ray_id", F.col("value").alias("elev"))
     return collision.spawn_altitude(r, down(spark, sf), near, "ray_id").select("ray_id", F.col("altitude").cast("bigint").alias("altitude"))
 
 
@@ -331,7 +329,7 @@ def triangles(spark, sf):
 
 @query("ag21_triangle_audit", """
     select tx, count(*) * 2 as triangles, count(*) as roof_triangles, round(count(*) filter (fid % 5 <> 0) / count(*)::double, 6) as roof_up,
-           round((count(*) filter (fid % 5 <> 0) + count(*) filter (fid % 7 <> 0)) / (2.0 * count(*))::double, 6) as normals_agree from {fx_footprints} group by tx""")
+           round((count(*) filter (fid % 5 <> 0) + count(*) filter (fid % 7 = 0)) / (2.0 * count(*))::double, 6) as normals_agree from {fx_footprints} group by tx""")
 def ag21(spark, sf):
     out = qa.triangle_audit(triangles(spark, sf), ["tx"])
     return out.select("tx", "triangles", "roof_triangles", F.round("roof_up", 6).alias("roof_up"), F.round("normals_agree", 6).alias("normals_agree"))
