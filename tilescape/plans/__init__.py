@@ -1,4 +1,4 @@
 """Registered queries over the derived inputs."""
 
 from .registry import ORACLE, QUERIES  # noqa: F401
-from . import scalar_queries, raster_queries, track_queries, line_queries, solid_queries  # noqa: F401
+from . import scalar_queries, raster_queries, track_queries, line_queries, solid_queries, voxel_queries  # noqa: F401

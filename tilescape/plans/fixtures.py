@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tilescape.session import spread
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -162,6 +164,9 @@ RECIPES: dict[str, str] = {
         from {lineitem}""",
 }
 
+# Inputs of CPU-heavy geometry.
+SPREAD = ("fx_points", "fx_rays", "fx_lines", "fx_probes")
+
 _NAME = re.compile(r"\{(\w{2,})\}")
 
 
@@ -185,7 +190,8 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for ref in dict.fromkeys(_NAME.findall(text)):
         args[ref] = fixture(spark, sf_dir, ref) if ref in RECIPES else spark_table(spark, sf_dir, ref)
     text = text.replace("{D}", "div").replace("{X}(", "explode(sequence(").replace("){Y}", "))")
-    return spark.sql(text, **args)
+    out = spark.sql(text, **args)
+    return spread(out) if name in SPREAD else out
 
 
 def duckdb_sql(text: str) -> str:

@@ -1,3 +1,5 @@
 """Writers: tile documents, terrain rows, coverage manifest."""
 
-from .terrain import terrain_rows  # noqa: F401
+from .documents import paint_documents, roof_documents, tree_documents, write_documents  # noqa: F401
+from .manifest import coverage_of_paths, manifest_entries, manifest_json, scan_assets, write_manifest  # noqa: F401
+from .terrain import terrain_rows, write_terrain  # noqa: F401
