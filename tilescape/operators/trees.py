@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from tilescape.session import cut
+
 from . import graph, raster
 
 
@@ -118,7 +120,8 @@ def building_mask(cells_inside: DataFrame, steps: int = 2, nx: int | None = None
 def extract_trees(canopy: DataFrame, nx: int, ny: int, mask: DataFrame | None = None, rules: TreeRules = RULES,
                   tile: Sequence[str] = ("tx",)) -> DataFrame:
     """Canopy cells to stems with height and crown radius."""
-    veg = vegetation_cells(canopy, rules, tile)
+    canopy = cut(canopy)
+    veg = cut(vegetation_cells(canopy, rules, tile))
     stems = continuous_stems(veg, nx, ny, rules, tile).select(*tile, "cx", "cy", "chm")
     if mask is not None:
         stems = stems.join(mask, [*tile, "cx", "cy"], "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilescape.operators import raster, voxels
+from tilescape.session import cut
 
 from .fixtures import fixture
 from .registry import query
@@ -45,7 +46,9 @@ def grid(spark, sf):
     """(points with voxel index, ranges)."""
     p = points(spark, sf)
     ranges = voxels.vertical_range(p, VOXEL, "z_cm", UNIT)
-    return voxels.with_voxel(p, ranges, VOXEL, N, N, "x_cm", "y_cm", "z_cm"), ranges
+    # Stage tables: later steps read each stage several times.
+    ranges = cut(ranges)
+    return cut(voxels.with_voxel(p, ranges, VOXEL, N, N, "x_cm", "y_cm", "z_cm")), ranges
 
 
 def surface(p):
@@ -54,13 +57,13 @@ def surface(p):
 
 def tagged(spark, sf):
     p, ranges = grid(spark, sf)
-    s = surface(p)
-    return p, ranges, s, voxels.merge_tags([voxels.ground_crust(s), voxels.class_voxels(p), voxels.structure_voxels(p, s, VOXEL, UNIT)])
+    s = cut(surface(p))
+    return p, ranges, s, cut(voxels.merge_tags([voxels.ground_crust(s), voxels.class_voxels(p), voxels.structure_voxels(p, s, VOXEL, UNIT)]))
 
 
 def filled(spark, sf):
     p, ranges, s, v = tagged(spark, sf)
-    return p, s, voxels.infill(v, voxels.column_tops(v, s, ranges, VOXEL, UNIT))
+    return p, s, cut(voxels.infill(v, voxels.column_tops(v, s, ranges, VOXEL, UNIT)))
 
 
 def flooded(spark, sf):
