@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tilescape import streaming
 from tilescape.operators import coverage, tracks
+from tilescape.session import checkpoint_dir
 
 from .fixtures import fixture, spark_table
 from .registry import query
@@ -30,7 +34,7 @@ def drift(spark, sf):
                                                  F.expr("(seq * track_id) div 90000").alias("cy"))
 
 
-@query("sm2_ring_events", """
+SM2_SQL = """
     with p as (select track_id as viewer, seq, (seq + track_id * 97) // 400 as cx, (seq * track_id) // 90000 as cy,
                       row_number() over (partition by track_id order by seq) as k from {fx_poses}),
          near as (select viewer, k, seq, cx + dx as tx, cy + dy as ty, greatest(abs(dx), abs(dy)) <= 2 as inside
@@ -38,7 +42,10 @@ def drift(spark, sf):
          isl as (select *, k - row_number() over (partition by viewer, tx, ty order by k) as island from near),
          span as (select viewer, tx, ty, min(case when inside then seq end) as load_at, max(k) as last_k from isl group by viewer, tx, ty, island)
     select viewer, tx, ty, 'load' as event, load_at as seq from span where load_at is not null
-    union all select s.viewer, tx, ty, 'evict', p.seq from span s join p on p.viewer = s.viewer and p.k = s.last_k + 1 where load_at is not null""")
+    union all select s.viewer, tx, ty, 'evict', p.seq from span s join p on p.viewer = s.viewer and p.k = s.last_k + 1 where load_at is not null"""
+
+
+@query("sm2_ring_events", SM2_SQL)
 def sm2(spark, sf):
     return tracks.ring_events(drift(spark, sf), "viewer", "seq", "cx", "cy", size=CHUNK)
 
@@ -48,10 +55,13 @@ def sm3(spark, sf):
     return tracks.drop_repeats(fixture(spark, sf, "fx_requests").select("tile", "viewer", "seq"), ["tile", "viewer"], "seq")
 
 
-@query("sm4_retry_budget", """
+SM4_SQL = """
     with g as (select *, sum(ok) over (partition by tile order by seq) as grp from {fx_requests})
     select tile, seq, cast(sum(1 - ok) over (partition by tile, grp order by seq) as bigint) as failures,
-           ok = 0 and sum(1 - ok) over (partition by tile, grp order by seq) = 3 as hole from g""")
+           ok = 0 and sum(1 - ok) over (partition by tile, grp order by seq) = 3 as hole from g"""
+
+
+@query("sm4_retry_budget", SM4_SQL)
 def sm4(spark, sf):
     out = tracks.retry_budget(fixture(spark, sf, "fx_requests"), ["tile"], "seq", F.col("ok") == 0, size=CHUNK)
     return out.select("tile", "seq", F.col("failures").cast("bigint").alias("failures"), "hole")
@@ -130,6 +140,41 @@ def cp1(spark, sf):
     return tracks.trace_difference(other, p, components=("px", "py"))
 
 
+# -- The same on streams: the event table is read as a file stream and drained ----
+
+def drained(spark, sf, build):
+    """Run a streaming query over the events to completion and read its sink."""
+    streaming.use_rocksdb(spark)
+    out = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = spark_table(spark, sf, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
+    stream = build(source)
+    (stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/log")
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(stream.schema).parquet(f"{out}/data")
+
+
+@query("sm2_ring_events_stream", SM2_SQL)
+def sm2_stream(spark, sf):
+    moves = lambda e: e.select(F.col("user_id").alias("viewer"), F.col("event_id").alias("seq"), F.expr("(event_id + user_id * 97) div 400").alias("cx"),
+                               F.expr("(event_id * user_id) div 90000").alias("cy"))
+    return drained(spark, sf, lambda e: streaming.ring_events_stream(moves(e), "viewer", "seq", "cx", "cy"))
+
+
+@query("sm4_retry_budget_stream", SM4_SQL)
+def sm4_stream(spark, sf):
+    asks = lambda e: e.select((F.col("user_id") % 20).alias("tile"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("failed"))
+    return drained(spark, sf, lambda e: streaming.retry_budget_stream(asks(e), "tile", "seq", "failed"))
+
+
+@query("sm5_stuck_time_stream", f"{STUCK} select track_id, seq, round(stuck, 6) as stuck, stuck > 1.4e0 as fires from r")
+def sm5_stream(spark, sf):
+    poses_ = lambda e: e.select(F.col("user_id").alias("track_id"), F.col("event_id").alias("seq"), (F.col("event_id") * 13 % 100).alias("actual"),
+                                F.lit(350).alias("commanded"), (F.col("event_type") != "signup").alias("contact"), F.lit(0.3).alias("dt"))
+    out = drained(spark, sf, lambda e: streaming.stuck_stream(poses_(e), "track_id", "seq", "actual", "commanded", "contact", "dt", trigger=1.4))
+    return out.withColumn("stuck", F.round("stuck", 6))
+
+
 # -- Coverage -----------------------------------------------------------------
 
 @query("jn2_missing_nodes", """
