@@ -236,6 +236,20 @@ def deck_contacts(pairs: DataFrame, keep: Sequence[str]) -> DataFrame:
     return d.select(*keep, contact.alias("c"))
 
 
+def _crosses(axes: Sequence[tuple[str, str, str, str]]) -> Column:
+    """Does the centre's path touch the box grown by the radius? Every contact needs that, so no hit is lost."""
+    enter, leave = [F.lit(0.0)], [F.lit(1.0)]
+    slack = F.col("r") * 1.0001 + 1e-6
+    for start, stop, low, high in axes:
+        f, d = F.col(start), F.nullif(F.col(stop) - F.col(start), F.lit(0.0))
+        low, high = F.col(low) - slack, F.col(high) + slack
+        t1, t2 = (low - f) / d, (high - f) / d
+        still = f.between(low, high)
+        enter.append(F.coalesce(F.least(t1, t2), F.when(still, 0.0).otherwise(2.0)))
+        leave.append(F.coalesce(F.greatest(t1, t2), F.lit(1.0)))
+    return F.greatest(*enter) <= F.least(*leave)
+
+
 def sweep_spheres(sweeps: DataFrame, sweep_id: str, prisms: DataFrame, decks: DataFrame | None, cell: float,
                   on: Sequence[str] = ("tile",), prism_id="fid", deck_id="deck_id") -> DataFrame:
     """First contact per sweep over all prisms and decks, sweeps without one left out.
@@ -255,7 +269,8 @@ def sweep_spheres(sweeps: DataFrame, sweep_id: str, prisms: DataFrame, decks: Da
                  & (F.col("_sz0") <= F.col("_max_y")) & (F.col("_sy1") >= F.col(base)) & (F.col("_sy0") <= F.col("top")))
         once = ((F.col(cells.CELL_X) == cells.cell(F.greatest("_sx0", "_min_x"), cell))
                 & (F.col(cells.CELL_Y) == cells.cell(F.greatest("_sz0", "_min_y"), cell)))
-        return left.join(right, [*on, cells.CELL_X, cells.CELL_Y]).filter(meets & once)
+        path = _crosses([("fx", "tx", "_min_x", "_max_x"), ("fz", "tz", "_min_y", "_max_y"), ("fy", "ty", base, "top")])
+        return left.join(right, [*on, cells.CELL_X, cells.CELL_Y]).filter(meets & once & path)
 
     ranked = lambda df, kind, rank, ident: df.select(sweep_id, F.struct(
         F.col("c.t").alias("t"), F.lit(rank).alias("kind_rank"), F.col(ident).alias("solid"), F.lit(kind).alias("kind"), F.col("c").alias("c")).alias("_h"))
