@@ -132,14 +132,19 @@ def stuck_stream(samples: DataFrame, key: str, order: str, actual: str, commande
         _Stuck(key, order, names, trigger), _schema(samples, [key, order], "stuck double, fires boolean"), "Append", "None")
 
 
+def _event_time(stream: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Watermarks need a zoned timestamp."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+
+
 def dedupe_requests(requests: DataFrame, keys: list[str], ts: str, delay: str = "10 minutes") -> DataFrame:
     """Repeated requests dropped while their first one is within the watermark."""
-    return requests.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+    return _event_time(requests, ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def release_when_open(items: DataFrame, gates: DataFrame, key: str, ts: str, gate_ts: str, wait: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Items joined to the gate events of their key within `wait`; items without one come out once the watermark passes."""
-    left = items.withWatermark(ts, delay)
-    right = gates.select(F.col(key).alias("_key"), gate_ts).withWatermark(gate_ts, delay)
+    left = _event_time(items, ts, delay)
+    right = _event_time(gates.select(F.col(key).alias("_key"), gate_ts), gate_ts, delay)
     near = (F.col(key) == F.col("_key")) & F.col(gate_ts).between(F.col(ts) - F.expr(f"interval {wait}"), F.col(ts) + F.expr(f"interval {wait}"))
     return left.join(right, near, "leftOuter").drop("_key")
