@@ -138,8 +138,8 @@ def prism_contacts(pairs: DataFrame, keep: Sequence[str]) -> DataFrame:
                    _in_prism(c("fx") + c("t_top") * c("dx"), c("fz") + c("t_top") * c("dz"))).otherwise(False)
     staged = staged.withColumn("lands", lands).drop("_outer_edges", "_hole_edges", "outer", "holes")
 
-    # One row per wall plus one row (rank NULL) for the horizontal planes. No filter follows until
-    # the aggregate: a filter would be pushed down with every step above inlined into it.
+    # One row per wall plus one row (rank NULL) for the horizontal planes. No filter between the
+    # steps: it would be pushed down with every step before it inlined.
     candidate = lambda key, contact: F.struct(key.cast("double").alias("key"), contact.alias("c"))
     nothing = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("ax", "double"), ("az", "double"), ("bx", "double"), ("bz", "double"),
                                                                    ("sign", "double"), ("rank", "int"))])
@@ -198,7 +198,9 @@ def prism_contacts(pairs: DataFrame, keep: Sequence[str]) -> DataFrame:
         "mny": pick(vertical=c("vy"), exit=zero, landing=one, face=zero, cap=zero, graze=zero),
         "mnz": pick(vertical=zero, exit=c("nz"), landing=zero, face=c("wz"), cap=c("mz") / c("mag"), graze=c("wz"))})
     found = F.when(c("case").isNotNull(), F.struct("key", "order", _contact(c("time"), "order", *[c(n) for n in ("px", "py", "pz", "mnx", "mny", "mnz")]).alias("c")))
-    return (e.groupBy(*keep).agg(F.min(found).alias("_m")).filter(c("_m").isNotNull()).select(*keep, F.col("_m.c").alias("c")))
+    # Most walls give nothing. Dropping those rows behind a generator keeps the filter where it is.
+    rows = e.select(*keep, F.explode_outer(F.when(c("case").isNotNull(), F.array(found))).alias("_f")).filter(c("_f").isNotNull())
+    return rows.groupBy(*keep).agg(F.min("_f").alias("_m")).select(*keep, F.col("_m.c").alias("c"))
 
 
 def _by_case(case: Column, values: dict[str, Column]) -> Column:

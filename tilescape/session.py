@@ -25,6 +25,9 @@ def build_session(app: str = "tilescape", master: str | None = None, **conf) ->
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        # Geometry makes long generated methods; HotSpot leaves those uncompiled unless told otherwise.
+        "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+        "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
         **conf,
     }
     for key, value in settings.items():
