@@ -239,9 +239,12 @@ def deck_contacts(pairs: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def _crosses(axes: Sequence[tuple[str, str, str, str]]) -> Column:
-    """Does the centre's path touch the box grown by the radius? Every contact needs that, so no hit is lost."""
+    """Does the centre's path touch the grown box? Every contact needs that, so no hit is lost.
+
+    A deck is grown by the radius along its own axes, so its corners reach out by r * sqrt(2).
+    """
     enter, leave = [F.lit(0.0)], [F.lit(1.0)]
-    slack = F.col("r") * 1.0001 + 1e-6
+    slack = F.col("r") * 1.4143 + 1e-6
     for start, stop, low, high in axes:
         f, d = F.col(start), F.nullif(F.col(stop) - F.col(start), F.lit(0.0))
         low, high = F.col(low) - slack, F.col(high) + slack
