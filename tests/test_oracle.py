@@ -9,7 +9,6 @@ from __spark_entry__ import oracle_sql, queries
 from tilescape.plans.fixtures import TABLES
 
 QUERIES, ORACLE = queries(), oracle_sql()
-# Twice as slow as all others together; covered by the scale check.
 CHECKED = sorted(ORACLE)
 
 
