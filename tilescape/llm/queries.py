@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, quality_rules, token_records, url_rules
+from . import archives, line_runs, packing, quality_rules, token_records, url_rules
 from ._common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,35 @@ def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark, sf):
     judged = quality_rules.judge_extracts(extracts(spark, sf), quality_verdicts(spark, sf))
     return judged.select(F.col("extract_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "area", "n_lines")
+
+
+# -- Archives -----------------------------------------------------------------
+
+@query("op1_archives")
+def op1(spark, sf):
+    fetches = read(spark, sf, "pages").select(F.col("page_id").alias("fetch_id"), "url", F.col("html").alias("body"))
+    raw, out = shared_folder(spark, "archives-raw"), shared_folder(spark, "archives")
+    archives.write_archives(fetches, raw)
+    archives.normalise_archives(spark, raw, out)
+    return archives.read_archives(spark, out).withColumnRenamed("fetch_id", "page_id")
+
+
+# -- Line runs ----------------------------------------------------------------
+
+@query("op2_line_runs", r"""
+    with l as (select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents),
+         w as (select doc_id, i, trim(line, E' \t\x0b\f\r') as line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words from l),
+         c as (select *, sum(words) over (partition by doc_id order by i) as stop from w where words > 0),
+         r as (select doc_id, i as lo, max(i) over f as hi, sum(words) over f as n, string_agg(line, chr(10)) over f as content from c
+               window f as (partition by doc_id order by stop - words range between current row and 49 following)
+               union all select doc_id, min(i) over f, i, sum(words) over f, string_agg(line, chr(10)) over f from c
+               window f as (partition by doc_id order by stop range between 49 preceding and current row)),
+         d as (select distinct doc_id, lo, hi, content from r where n >= 50),
+         e as (select *, row_number() over (partition by content order by doc_id, lo, hi) as k from d),
+         x as (select distinct l.doc_id, l.i from l join e on l.doc_id = e.doc_id and l.i between lo and hi and k > 1),
+         k as (select l.doc_id, string_agg(line, chr(10) order by l.i) filter (x.i is null) as text, count(*) as n_lines, count(x.i) as n_removed
+               from l left join x on l.doc_id = x.doc_id and l.i = x.i group by 1)
+    select d.doc_id, case when d.text is null then null else coalesce(k.text, '') end as text, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed
+    from documents d left join k using (doc_id)""")
+def op2(spark, sf):
+    return line_runs.drop_repeated_runs(extracts(spark, sf).select("extract_id", "text")).withColumnRenamed("extract_id", "doc_id")
