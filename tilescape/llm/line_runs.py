@@ -4,16 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._common import cut, salted_join
+from ._common import DOC, cut, keyed, salted_join
 
 SPACE = r"[\x20\x09-\x0D]+"
-DOC = ["_null", "_id", "_hash"]
-
-
-def _keyed(extracts: DataFrame) -> DataFrame:
-    """Identity and order of a document: its id (null last), then a hash of its text."""
-    return extracts.withColumns({"_null": F.col("extract_id").isNull(), "_id": F.coalesce("extract_id", F.lit(0)).cast("long"),
-                                 "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
 def _windows(extracts: DataFrame, min_words: int) -> DataFrame:
@@ -24,7 +17,7 @@ def _windows(extracts: DataFrame, min_words: int) -> DataFrame:
     smallest line hash (the last one of equal ones): the fingerprint that winnowing selects.
     """
     line = F.expr(r"transform(split(text, '\n'), (s, i) -> struct(i as at, trim(BOTH ' \t\u000b\u000c\r' from s) as line))")
-    lines = (_keyed(extracts).select(*DOC, F.inline(line))
+    lines = (keyed(extracts).select(*DOC, F.inline(line))
              .select(*DOC, "at", F.size(F.array_remove(F.split("line", SPACE), "")).alias("words"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("g"))
              .filter("words > 0").repartition(*DOC).dropDuplicates([*DOC, "at"]))
     doc = Window.partitionBy(*DOC)
@@ -84,7 +77,7 @@ def drop_repeated_runs(extracts: DataFrame, min_words: int = 50) -> DataFrame:
     """
     own = extracts.columns
     cuts = repeated_runs(extracts, min_words)
-    joined = _keyed(extracts).join(cuts, DOC, "left").withColumn("_lines", F.split("text", "\n"))
+    joined = keyed(extracts).join(cuts, DOC, "left").withColumn("_lines", F.split("text", "\n"))
     zero = F.lit(0)
     starts = F.concat(F.array(zero), F.transform("runs", lambda r: r["last"] + 1))
     ends = F.concat(F.transform("runs", lambda r: r["first"]), F.array(F.size("_lines")))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import archives, line_runs, packing, quality_rules, token_records, url_rules
+from . import archives, line_runs, packing, quality_rules, shingle_forest, token_records, url_rules
 from ._common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,11 @@ def op1(spark, sf):
     from documents d left join k using (doc_id)""")
 def op2(spark, sf):
     return line_runs.drop_repeated_runs(extracts(spark, sf).select("extract_id", "text")).withColumnRenamed("extract_id", "doc_id")
+
+
+# -- Near copies --------------------------------------------------------------
+
+@query("op3_near_copies")
+def op3(spark, sf):
+    near = shingle_forest.near_extracts(extracts(spark, sf))
+    return near.select(F.col("extract_id").alias("doc_id"), "class_id", "class_size", "n_links", F.col("first").alias("kept"))
