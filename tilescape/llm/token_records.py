@@ -8,6 +8,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -41,12 +42,22 @@ def unframe(record: bytes) -> bytes:
     return record[12:n + 12]
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    width = 2 if ids.max(initial=0) < 1 << 16 else 4
+    return bytes([width]) + ids.astype(f"<u{width}").tobytes()
+
+
+def unpack_ids(payload: bytes) -> np.ndarray:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return np.frombuffer(payload, f"<u{payload[0]}", offset=1).astype("<u4")
+
+
 def write_token_records(extracts: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> None:
     """Write `extracts` (extract_id, text) to `folder` in ascending id order.
 
     The texts meant are the project's map extracts. Each is encoded whole (null: empty) and
-    ends with `end_id`. A record's payload is the ids as little-endian unsigned 32-bit
-    integers. Rows are dealt out by ranges of their id; each slice becomes one file, streamed
+    ends with `end_id`. A record's payload is one byte, the width of its ids (2 or 4 bytes,
+    as the largest id needs), and the ids as little-endian unsigned integers. Rows are dealt out by ranges of their id; each slice becomes one file, streamed
     record by record. The files' names carry the task attempt and `folder/index` (Parquet,
     written by Spark) names only those of tasks that succeeded, so a lost executor's files
     are never read. Rows with equal ids stay next to each other, ordered by text. Rows
@@ -65,9 +76,10 @@ def write_token_records(extracts: DataFrame, folder: str, tokenizer_path: str, e
                 out = fs.open_output_stream(posixpath.join(base, name), buffer_size=1 << 20)
             rows = []
             for key, text in zip(batch["extract_id"].tolist(), batch["text"].tolist()):
-                record = frame(encode(text or "") + end)
+                ids = np.frombuffer(encode(text or "") + end, "<u4")
+                record = frame(pack_ids(ids))
                 out.write(pa.py_buffer(record))
-                n = (len(record) - 16) // 4
+                n = len(ids)
                 rows.append((task.partitionId(), name, key, offset, len(record), n, tokens))
                 offset, tokens = offset + len(record), tokens + n
             yield pd.DataFrame(rows, columns=["slice", "file", "extract_id", "offset", "n_bytes", "n_tokens", "at"])
@@ -99,9 +111,9 @@ def read_token_records(spark: SparkSession, folder: str) -> DataFrame:
             for file, offset, size in zip(batch["file"], batch["offset"], batch["n_bytes"]):
                 if file != name:
                     opened, name = fs.open_input_file(posixpath.join(base, file)), file
-                payload = unframe(opened.read_at(int(size), int(offset)))
-                n.append(len(payload) // 4)
-                crc.append(zlib.crc32(payload))
+                ids = unpack_ids(unframe(opened.read_at(int(size), int(offset))))
+                n.append(len(ids))
+                crc.append(zlib.crc32(ids))
             yield pd.DataFrame({"slice": batch["slice"], "extract_id": batch["extract_id"], "at": batch["at"], "n_tokens": n, "ids_crc32": crc})
 
     read = index.mapInPandas(load, "slice int, extract_id long, at long, n_tokens long, ids_crc32 long")
