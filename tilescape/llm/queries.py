@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import archives, line_runs, packing, quality_rules, shingle_forest, token_records, url_rules
+from . import archives, line_runs, notices, packing, pivot_index, quality_rules, shingle_forest, token_records, url_rules
 from ._common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,20 @@ def op2(spark, sf):
 def op3(spark, sf):
     near = shingle_forest.near_extracts(extracts(spark, sf))
     return near.select(F.col("extract_id").alias("doc_id"), "class_id", "class_size", "n_links", F.col("first").alias("kept"))
+
+
+# -- Neighbours ---------------------------------------------------------------
+
+@query("op7_nearest_vectors")
+def op7(spark, sf):
+    vectors = read(spark, sf, "embeddings").select(F.col("vec_id").alias("vector_id"), F.col("embedding").alias("vector"))
+    found = pivot_index.nearest_vectors(vectors, vectors.filter("vector_id % 20 = 0"), k=20)
+    return found.withColumnRenamed("vector_id", "vec_id")
+
+
+# -- Notices ------------------------------------------------------------------
+
+@query("op10_notices")
+def op10(spark, sf):
+    templates = spark.createDataFrame([(n, t) for n, texts in notices.NOTICES.items() for t in texts], "notice string, text string")
+    return notices.find_notices(extracts(spark, sf), templates).withColumnRenamed("extract_id", "doc_id")

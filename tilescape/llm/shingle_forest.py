@@ -43,16 +43,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(words: np.ndarray) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the 5-word windows; of all words if there are fewer."""
+def window_hashes(words: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the 5-word windows in order; of all words if there are fewer."""
     w = np.asarray(words).astype(np.int64, copy=False).view(np.uint64)
-    if not len(w):
-        return w
     n = min(WORDS, len(w))
-    out = np.full(len(w) - n + 1, np.uint64(n))
+    out = np.full(len(w) - n + 1 if n else 0, np.uint64(n))
     for i in range(n):
         out = _mixed(out + w[i:len(w) - n + 1 + i])
-    return np.unique(out)
+    return out
+
+
+def shingles(words: np.ndarray) -> np.ndarray:
+    """Sorted distinct window hashes."""
+    return np.unique(window_hashes(words))
 
 
 @lru_cache
