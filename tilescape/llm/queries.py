@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import archives, line_runs, notices, packing, pivot_index, quality_rules, shingle_forest, token_records, url_rules
+from . import archives, line_runs, mixing, notices, packing, pivot_index, quality_rules, shingle_forest, token_records, url_rules
 from ._common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,21 @@ def op7(spark, sf):
 def op10(spark, sf):
     templates = spark.createDataFrame([(n, t) for n, texts in notices.NOTICES.items() for t in texts], "notice string, text string")
     return notices.find_notices(extracts(spark, sf), templates).withColumnRenamed("extract_id", "doc_id")
+
+
+# -- Mixing -------------------------------------------------------------------
+
+#: Shares of tokens; the first domain keeps what it has.
+MIX = {"good": 0.88, "poor": 0.06, "toxic": 0.06}
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return read(spark, sf_dir, "labels").select(F.col("doc_id").alias("extract_id"), domain.alias("domain"))
+
+
+@query("op6_mixing_rates")
+def op6(spark, sf):
+    mixed = mixing.mix_extracts(extracts(spark, sf), domain_labels(spark, sf), MIX)
+    p = [F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(MIX)]
+    return mixed.select(F.col("extract_id").alias("doc_id"), "tokens", *p, "rate", "copies")

@@ -191,7 +191,7 @@ def _verify(depth: int, similarity: float, screen: int):
     return check
 
 
-def near_extracts(extracts: DataFrame, similarity: float = 0.8, recall: float = 0.9999) -> DataFrame:
+def near_extracts(extracts: DataFrame, similarity: float = 0.8, recall: float = 0.999999) -> DataFrame:
     """(extract_id, class_id, class_size, n_links, first, _hash) per row of `extracts` (extract_id, text).
 
     The texts meant are the project's map extracts, of which overlapping areas give near
@@ -254,7 +254,7 @@ def near_extracts(extracts: DataFrame, similarity: float = 0.8, recall: float =
                        "class_size", (F.col("weight") + F.col("copies") - 1).alias("n_links"), least.alias("first"), "_hash")
 
 
-def drop_near_extracts(extracts: DataFrame, similarity: float = 0.8, recall: float = 0.9999) -> DataFrame:
+def drop_near_extracts(extracts: DataFrame, similarity: float = 0.8, recall: float = 0.999999) -> DataFrame:
     """`extracts` with one row of each class of `near_extracts`."""
     first = near_extracts(extracts, similarity, recall).filter("first").select(
         F.col("extract_id").isNull().alias("_null"), F.coalesce("extract_id", F.lit(0)).alias("_id"), "_hash").distinct()
