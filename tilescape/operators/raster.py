@@ -57,11 +57,39 @@ def canopy_cells(cells: DataFrame, dem="dem", dsm="dsm") -> DataFrame:
     return cells.withColumn("chm", F.greatest(F.coalesce(dsm, dem) - dem, F.lit(0).cast("bigint")))
 
 
+def every_cell(tiles: DataFrame, nx: int, ny: int, tile: Sequence[str] = ("tx",), x: str = "cx", y: str = "cy") -> DataFrame:
+    """All cells of the given tiles. Columns are dealt out before rows are added, so one tile's cells come from many tasks."""
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiles.select(*tile).distinct().withColumn(x, span(nx)).repartition(parts, *tile, x).withColumn(y, span(ny))
+
+
 def dense_grid(cells: DataFrame, nx: int, ny: int, tile: Sequence[str] = ("tx",)) -> DataFrame:
     """Every cell of every tile that occurs, present cells keeping their values."""
-    span = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    grid = cells.select(*tile).distinct().withColumn("cx", span(nx)).withColumn("cy", span(ny))
-    return grid.join(cells, [*tile, "cx", "cy"], "left")
+    return every_cell(cells, nx, ny, tile).join(cells, [*tile, "cx", "cy"], "left")
+
+
+def fill_gaps(cells: DataFrame, nx: int, value="dem", tile: Sequence[str] = ("tx",)) -> DataFrame:
+    """Replace NULL values of a sparse raster by the nearest known cell's (Euclidean, exact; ties to the lowest row, then column).
+
+    A gap looks at the known cells of its own column first; the nearest of them bounds how
+    far sideways it must look. Known cells are gathered per column, which is as high as the
+    tile, so no dense grid is made. NULL stays where a tile has no known cell.
+    """
+    tile = list(tile)
+    known = (cells.filter(F.col(value).isNotNull()).groupBy(*tile, F.col("cx").alias("sx"))
+             .agg(F.collect_list(F.struct(F.col("cy").alias("ky"), F.col(value).alias("kv"))).alias("_known")))
+    gaps = cells.filter(F.col(value).isNull()).select(*tile, "cx", "cy")
+    own = gaps.join(known.withColumnRenamed("sx", "cx"), [*tile, "cx"], "left")
+    reach = F.coalesce(F.array_min(F.transform("_known", lambda k: F.abs(k["ky"] - F.col("cy")))), F.lit(nx).cast("bigint"))
+    looks = own.select(*tile, "cx", "cy", reach.alias("_reach")).withColumn("sx", F.explode(F.sequence(
+        F.greatest(F.lit(0).cast("bigint"), F.col("cx") - F.col("_reach")), F.least(F.lit(nx - 1).cast("bigint"), F.col("cx") + F.col("_reach")))))
+    dx = F.col("sx") - F.col("cx")
+    nearest = F.array_min(F.transform("_known", lambda k: F.struct(
+        (dx * dx + (k["ky"] - F.col("cy")) * (k["ky"] - F.col("cy"))).alias("d2"), k["ky"].alias("ky"), F.col("sx").alias("sx"), k["kv"].alias("kv"))))
+    filled = looks.join(known, [*tile, "sx"]).groupBy(*tile, "cx", "cy").agg(F.min(nearest).alias("_n"))
+    return (cells.join(filled, [*tile, "cx", "cy"], "left")
+            .withColumn(value, F.coalesce(F.col(value), F.col("_n.kv"))).drop("_n"))
 
 
 def fill_nearest(grid: DataFrame, nx: int, value="dem", tile: Sequence[str] = ("tx",)) -> DataFrame:
@@ -195,17 +223,24 @@ def sample_bilinear(probes: DataFrame, pixels: DataFrame, fx: ColumnLike, fy: Co
                     value="value", out="elev", keep: Sequence[str] | None = None) -> DataFrame:
     """Bilinear value at fractional tile coordinates; 0 where the tile is missing.
 
-    `<out>_covered` tells whether any pixel was found. Probes need unique rows (they are
-    regrouped by all of `keep`). One shuffle on (tile, pixel), one on the probe.
+    `<out>_covered` tells whether any pixel was found. Probes equal in all of `keep` are
+    sampled once and come back as often as they were given. One shuffle on (tile, pixel),
+    one on the probe.
     """
     keep = list(keep or probes.columns)
     points = _with_corners(probes, fx, fy, size).select(*keep, "_tx", "_ty", "_px", "_py", "_cw")
     grid = pixels.select(F.col("tx").alias("_tx"), F.col("ty").alias("_ty"), F.col("px").alias("_px"),
                          F.col("py").alias("_py"), F.col(value).alias("_v"))
-    return (points.join(grid, ["_tx", "_ty", "_px", "_py"], "left")
-            .groupBy(*keep)
-            .agg(F.coalesce(F.sum(F.col("_v") * F.col("_cw")), F.lit(0.0)).alias(out),
-                 (F.count("_v") > 0).alias(f"{out}_covered")))
+    sampled = (points.join(grid, ["_tx", "_ty", "_px", "_py"], "left")
+               .groupBy(*keep)
+               .agg(F.sum(F.col("_v") * F.col("_cw")).alias(out), (F.count("_v") > 0).alias(f"{out}_covered"),
+                    (F.count(F.lit(1)) / 4).cast("bigint").alias("_times")))
+    return _repeated(sampled.withColumn(out, F.coalesce(F.col(out) / F.col("_times"), F.lit(0.0))))
+
+
+def _repeated(df: DataFrame) -> DataFrame:
+    """Each row `_times` times."""
+    return df.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).drop("_times")
 
 
 def sample_nearest(probes: DataFrame, pixels: DataFrame, fx: ColumnLike, fy: ColumnLike, size: int,
@@ -269,7 +304,8 @@ def sample_surface(probes: DataFrame, coarse: DataFrame, lon: str, lat: str, zoo
         sampled = sample_bilinear(corners, coarse, "_cfx", "_cfy", size, value, "_e")
     else:
         sampled = sample_preferred(corners, fine, coarse, "_cfx", "_cfy", fine_zoom - zoom, size, value, "_e")
-    lattice = sampled.groupBy(*probes.columns).agg(F.sum(F.col("_e") * F.col("_w")).alias(out))
+    lattice = sampled.groupBy(*probes.columns).agg(F.sum(F.col("_e") * F.col("_w")).alias(out), (F.count(F.lit(1)) / 3).cast("bigint").alias("_times"))
+    lattice = _repeated(lattice.withColumn(out, F.col(out) / F.col("_times")))
     if fine is None:
         return lattice
     direct = sample_bilinear(lattice, fine, geo.tile_frac_x(lon, fine_zoom), geo.tile_frac_y(lat, fine_zoom),
@@ -286,8 +322,10 @@ def surface_normal(probes: DataFrame, sample, x: str, z: str, step: float = 5.0)
     at = lambda k: F.max(F.when(F.col("_k") == k, F.col("surface")))
     nx, nz = F.col("_nx"), F.col("_nz")
     length = F.sqrt(nx * nx + nz * nz + 1)
-    return (sample(spread).groupBy(*probes.columns)
-            .agg((-(at("xp") - at("xn")) / (2 * step)).alias("_nx"), (-(at("zp") - at("zn")) / (2 * step)).alias("_nz"))
+    slopes = (sample(spread).groupBy(*probes.columns)
+              .agg((-(at("xp") - at("xn")) / (2 * step)).alias("_nx"), (-(at("zp") - at("zn")) / (2 * step)).alias("_nz"),
+                   (F.count(F.lit(1)) / 4).cast("bigint").alias("_times")))
+    return (_repeated(slopes)
             .select(*probes.columns, (nx / length).alias("nx"), (1 / length).alias("ny"), (nz / length).alias("nz")))
 
 
@@ -298,8 +336,7 @@ def lattice_vertices(tiles: DataFrame, pixels: DataFrame, zoom: int, grid: int =
     Positions stay in degrees; `dh_*` are the height differences and `d_lon` / `d_lat`
     the spans between the neighbouring vertices (one-sided at the tile edge).
     """
-    span = lambda: F.explode(F.sequence(F.lit(0), F.lit(grid)))
-    verts = tiles.select("tx", "ty").withColumn("ix", span()).withColumn("iy", span())
+    verts = every_cell(tiles, grid + 1, grid + 1, ("tx", "ty"), "ix", "iy").withColumns({c: F.col(c).cast("int") for c in ("ix", "iy")})
     west, east = geo.tile_lon(F.col("tx"), zoom), geo.tile_lon(F.col("tx") + 1, zoom)
     north, south = geo.tile_lat(F.col("ty"), zoom), geo.tile_lat(F.col("ty") + 1, zoom)
     verts = verts.withColumns({"lon": west + (east - west) * (F.col("ix") / grid),

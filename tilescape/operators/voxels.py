@@ -60,15 +60,19 @@ def fill_surface(surface: DataFrame, nx: int, nz: int, reach: int = FILL_REACH,
     This equals repeated 3 x 3 maxima: a column filled in round d sees exactly the known
     columns at Chebyshev distance d. Beyond `reach` the surface is 0.
     """
-    tile = list(tile)
-    span = lambda n: F.explode(F.sequence(_long(0), _long(n - 1)))
-    dense = surface.select(*tile).distinct().withColumn("ix", span(nx)).withColumn("iz", span(nz)).join(surface, [*tile, "ix", "iz"], "left")
-    around = lambda c, n: F.explode(F.sequence(F.greatest(_long(0), F.col(c) - reach), F.least(_long(n - 1), F.col(c) + reach)))
-    looks = dense.filter("gy is null").select(*tile, "ix", "iz").withColumn("_x", around("ix", nx)).withColumn("_z", around("iz", nz))
-    known = surface.select(*tile, F.col("ix").alias("_x"), F.col("iz").alias("_z"), F.col("gy").alias("_g"))
-    distance = F.greatest(F.abs(F.col("_x") - F.col("ix")), F.abs(F.col("_z") - F.col("iz")))
-    filled = (looks.join(known, [*tile, "_x", "_z"]).groupBy(*tile, "ix", "iz")
-              .agg(F.min(F.struct(distance.alias("d"), (-F.col("_g")).alias("g"))).alias("_n")))
+    from .raster import every_cell
+
+    tile, block = list(tile), 2 * reach
+    dense = every_cell(surface, nx, nz, tile, "ix", "iz").join(surface, [*tile, "ix", "iz"], "left")
+    # Known columns are gathered in strips of 2 * reach along iz, so a gap meets at most two strips in each of its ix.
+    known = (surface.groupBy(*tile, F.col("ix").alias("_x"), F.expr(f"iz div {block}").alias("_strip"))
+             .agg(F.collect_list(F.struct("iz", "gy")).alias("_known")))
+    low, high = F.greatest(_long(0), F.col("iz") - reach), F.least(_long(nz - 1), F.col("iz") + reach)
+    looks = (dense.filter("gy is null").select(*tile, "ix", "iz", F.explode(F.sequence(F.greatest(_long(0), F.col("ix") - reach), F.least(_long(nx - 1), F.col("ix") + reach))).alias("_x"))
+             .withColumn("_strip", F.explode(F.sequence(F.floor(low / block), F.floor(high / block)))))
+    near = F.filter("_known", lambda k: F.abs(k["iz"] - F.col("iz")) <= reach)
+    best = F.array_min(F.transform(near, lambda k: F.struct(F.greatest(F.abs(F.col("_x") - F.col("ix")), F.abs(k["iz"] - F.col("iz"))).alias("d"), (-k["gy"]).alias("g"))))
+    filled = looks.join(known, [*tile, "_x", "_strip"]).groupBy(*tile, "ix", "iz").agg(F.min(best).alias("_n"))
     return (dense.join(filled, [*tile, "ix", "iz"], "left")
             .select(*tile, "ix", "iz", F.coalesce("gy", -F.col("_n.g"), _long(0)).alias("gy")))
 
@@ -159,11 +163,14 @@ def tag_counts(voxels: DataFrame, grid_cells: Column, tile: Sequence[str] = TILE
 # -- Colours ------------------------------------------------------------------
 
 def colour_voxels(voxels: DataFrame, imagery: DataFrame, tile: Sequence[str] = TILE) -> DataFrame:
-    """r, g, b per voxel: tag colours tinted by the image pixel (r, g, b per ix, iz) of the column."""
+    """r, g, b per voxel: tag colours tinted by the image pixel (r, g, b per ix, iz) of the column.
+
+    A column without a pixel keeps the tag colours, and a building's top gets the roof tint.
+    """
     from tilescape.functions.classify import lookup
     tile = list(tile)
     tops = voxels.groupBy(*tile, "ix", "iz").agg(F.max("iy").alias("_top"))
-    v = voxels.join(tops.join(imagery.withColumnsRenamed({c: f"_{c}" for c in "rgb"}), [*tile, "ix", "iz"]), [*tile, "ix", "iz"])
+    v = voxels.join(tops.join(imagery.withColumnsRenamed({c: f"_{c}" for c in "rgb"}), [*tile, "ix", "iz"], "left"), [*tile, "ix", "iz"])
     top, tag = F.col("iy") == F.col("_top"), F.col("tag")
 
     def channel(i: int, name: str) -> Column:
@@ -175,7 +182,8 @@ def colour_voxels(voxels: DataFrame, imagery: DataFrame, tile: Sequence[str] = T
         roof = mix(blended, F.lit(float(ROOF_TINT[i])), ROOF_BLEND)
         out = (F.when(tag == TAG_BUILDING, F.when(top, roof).otherwise(F.floor(image * WALL_DARKEN)))
                .when(tag == TAG_GROUND, mix(current, image, GROUND_BLEND)).otherwise(current))
-        return out.cast("bigint").alias(name)
+        bare = F.when(top & (tag == TAG_BUILDING), F.lit(float(ROOF_TINT[i]))).otherwise(base)
+        return F.when(F.col("_r").isNull(), bare).otherwise(out).cast("bigint").alias(name)
 
     return v.select(*tile, "ix", "iy", "iz", "tag", *[channel(i, n) for i, n in enumerate("rgb")])
 

@@ -19,7 +19,11 @@ RULES = trees.TreeRules(min_height=300, max_height=3500, noise_area=3, small_are
 
 CELLS = """c as (select tx, x_cm // 100 as cx, 63 - y_cm // 100 as cy, min(case when cls = 2 then z_cm end) as dem,
         max(case when cls not in (2, 9, 17) then z_cm end) as dsm from {fx_points} where cls not in (7, 18) group by 1, 2, 3)"""
-CANOPY = CELLS + """, h as (select tx, cx, cy, greatest(coalesce(dsm, dem) - coalesce(dem, 0), 0) as chm from c where dsm is not null)"""
+# Ground is filled from the nearest known cell before heights are taken.
+GROUNDED = CELLS + """, gap as (select a.tx, a.cx, a.cy, min(row((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2, b.cy, b.cx, b.dem)) as best
+        from c a join c b on a.tx = b.tx where a.dem is null and b.dem is not null group by all),
+    gr as (select c.tx, c.cx, c.cy, coalesce(c.dem, best[4]) as dem, dsm from c left join gap on c.tx = gap.tx and c.cx = gap.cx and c.cy = gap.cy)"""
+CANOPY = GROUNDED + """, h as (select tx, cx, cy, greatest(dsm - dem, 0) as chm from gr where dsm is not null)"""
 
 
 def elevation(spark, sf):
@@ -27,9 +31,8 @@ def elevation(spark, sf):
 
 
 def canopy(spark, sf):
-    """Canopy of cells with a surface return; a missing ground return counts as 0 here."""
-    cells = elevation(spark, sf).filter("dsm is not null").withColumn("dem", F.coalesce("dem", F.lit(0).cast("bigint")))
-    return raster.canopy_cells(cells).select("tx", "cx", "cy", "chm")
+    """Canopy of the cells with a surface return (the others have height 0), above the filled ground."""
+    return raster.canopy_cells(raster.fill_gaps(elevation(spark, sf), N)).filter("dsm is not null").select("tx", "cx", "cy", "chm")
 
 
 @query("flagship_tree_stems", f"""
@@ -79,9 +82,9 @@ def ag1(spark, sf):
 
 
 @query("ag2_canopy_height", f"""
-    with {CELLS} select tx, cx, cy, greatest(coalesce(dsm, dem) - dem, 0) as chm from c where dem is not null""")
+    with {GROUNDED} select tx, cx, cy, greatest(coalesce(dsm, dem) - dem, 0) as chm from gr""")
 def ag2(spark, sf):
-    return raster.canopy_cells(elevation(spark, sf).filter("dem is not null")).select("tx", "cx", "cy", "chm")
+    return raster.canopy_cells(raster.fill_gaps(elevation(spark, sf), N)).select("tx", "cx", "cy", "chm")
 
 
 DENSE = f"""{CELLS}, g as (select tx, a as cx, b as cy from (select distinct tx from c) t, range(64) x(a), range(64) y(b)),
@@ -222,23 +225,24 @@ def fl9(spark, sf):
 
 # -- Elevation tiles ----------------------------------------------------------
 
-W = [raster.gaussian_weights(0.6)[i] for i in (2, 3, 4)]
-
-
-@query("wn5_gaussian", f"""
-    with whole_tiles as (select tx, ty from {{fx_pixels}} group by 1, 2 having count(*) = 4096), p as (select * from {{fx_pixels}} semi join whole_tiles using (tx, ty)),
-         k as (select unnest(generate_series(-2, 2)) as d), w as (select d, case abs(d) when 0 then {W[0]!r}::double when 1 then {W[1]!r}::double else {W[2]!r}::double end as w from k),
-         a as (select p.tx, p.ty, p.px, p.py, sum(q.elev_dm * cast(w as double)) as v from p, w, p q where q.tx = p.tx and q.ty = p.ty and q.px = p.px
+# exp(-d^2 / 0.72) / (1 + 2 exp(-1 / 0.72) + 2 exp(-4 / 0.72)) for d = 0, 1, 2
+@query("wn5_gaussian", """
+    with g as (select tx, ty, x as px, y as py from (select distinct tx, ty from {fx_pixels}) t, range(64) a(x), range(64) b(y)),
+         d as (select g.*, e.elev_dm from g left join {fx_pixels} e on e.tx = g.tx and e.ty = g.ty and e.px = g.px and e.py = g.py),
+         nf as (select a.tx, a.ty, a.px, a.py, min(row((a.px - b.px) ** 2 + (a.py - b.py) ** 2, b.py, b.px, b.elev_dm)) as best
+                from d a join d b on a.tx = b.tx and a.ty = b.ty and b.elev_dm is not null where a.elev_dm is null group by all),
+         p as (select d.tx, d.ty, d.px, d.py, coalesce(d.elev_dm, best[4]) as elev_dm from d left join nf on d.tx = nf.tx and d.ty = nf.ty and d.px = nf.px and d.py = nf.py),
+         k as (select unnest(generate_series(-2, 2)) as d), s as (select 1 + 2 * exp(-1 / 0.72e0) + 2 * exp(-4 / 0.72e0) as total), w as (select d, exp(-d * d / 0.72e0) / total as w from k, s),
+         a as (select p.tx, p.ty, p.px, p.py, sum(q.elev_dm * w) as v from p, w, p q where q.tx = p.tx and q.ty = p.ty and q.px = p.px
                and q.py = case when p.py + d < 0 then -1 - (p.py + d) when p.py + d > 63 then 127 - (p.py + d) else p.py + d end group by 1, 2, 3, 4),
-         b as (select a.tx, a.ty, a.px, a.py, sum(q.v * cast(w as double)) as v from a, w, a q where q.tx = a.tx and q.ty = a.ty and q.py = a.py
+         b as (select a.tx, a.ty, a.px, a.py, sum(q.v * w) as v from a, w, a q where q.tx = a.tx and q.ty = a.ty and q.py = a.py
                and q.px = case when a.px + d < 0 then -1 - (a.px + d) when a.px + d > 63 then 127 - (a.px + d) else a.px + d end group by 1, 2, 3, 4)
     select tx, ty, px, py, cast(round(v * 100) as bigint) as smooth_mm from b""")
 def wn5(spark, sf):
-    px = fixture(spark, sf, "fx_pixels")
-    full = px.groupBy("tx", "ty").count().filter("count = 4096")
-    grid = (px.join(full, ["tx", "ty"], "left_semi")
-            .select("tx", "ty", F.col("px").alias("cx"), F.col("py").alias("cy"), F.col("elev_dm").cast("double").alias("dem")))
-    out = raster.smooth_grid(grid, N, N, tile=("tx", "ty"))
+    px = fixture(spark, sf, "fx_pixels").select("tx", "ty", F.col("px").alias("cx"), F.col("py").alias("cy"), F.col("elev_dm").cast("double").alias("dem"))
+    tile = ("tx", "ty")
+    grid = raster.fill_nearest(raster.dense_grid(px, N, N, tile), N, tile=tile).select(*tile, "cx", "cy", "dem")
+    out = raster.smooth_grid(grid, N, N, tile=tile)
     return out.select("tx", "ty", F.col("cx").alias("px"), F.col("cy").alias("py"), F.round(F.col("dem") * 100).cast("bigint").alias("smooth_mm"))
 
 

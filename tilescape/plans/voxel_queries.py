@@ -148,7 +148,7 @@ def imagery(spark, sf):
 def _channel(i, c):
     base = "case tag " + " ".join(f"when {t} then {rgb[i]}" for t, rgb in voxels.TAG_COLOUR.items()) + " end"
     blend = f"floor({base} * (1 - 0.7e0) + im.{c} * 0.7e0)"
-    return f"""cast(case when tag = 3 and iy = top then floor({blend} * (1 - 0.35e0) + {voxels.ROOF_TINT[i]} * 0.35e0) when tag = 3 then floor(im.{c} * 0.88e0)
+    return f"""cast(case when im.r is null then case when tag = 3 and iy = top then {voxels.ROOF_TINT[i]} else {base} end when tag = 3 and iy = top then floor({blend} * (1 - 0.35e0) + {voxels.ROOF_TINT[i]} * 0.35e0) when tag = 3 then floor(im.{c} * 0.88e0)
         when tag = 1 then floor((case when iy = top then {blend} else {base} end) * (1 - 0.6e0) + im.{c} * 0.6e0) when iy = top and tag <> 5 then {blend} else {base} end as bigint) as {c}"""
 
 
@@ -156,7 +156,7 @@ def _channel(i, c):
     with {BASE}, im as (select tx, ix, iz, sum(x_cm) % 256 as r, sum(y_cm) % 256 as g, sum(z_cm) % 256 as b
            from (select tx, x_cm // 100 as ix, y_cm // 100 as iz, x_cm, y_cm, z_cm from p) q group by 1, 2, 3),
         tops as (select tx, ix, iz, max(iy) as top from v2 group by 1, 2, 3)
-    select tx, ix, iy, iz, cast(tag as int) as tag, {_channel(0, 'r')}, {_channel(1, 'g')}, {_channel(2, 'b')} from v2 join tops using (tx, ix, iz) join im using (tx, ix, iz)""")
+    select tx, ix, iy, iz, cast(tag as int) as tag, {_channel(0, 'r')}, {_channel(1, 'g')}, {_channel(2, 'b')} from v2 join tops using (tx, ix, iz) left join im using (tx, ix, iz)""")
 def wn25(spark, sf):
     return voxels.colour_voxels(filled(spark, sf)[2], imagery(spark, sf))
 
