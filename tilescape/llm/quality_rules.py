@@ -124,7 +124,9 @@ def with_verdict(measured: DataFrame, cutoffs: DataFrame, stratum: str, rules: M
         over = over | F.coalesce(_ratio(m) > F.col(f"max_{r}"), F.lit(False))
     own = cutoffs.withColumnRenamed("stratum", "_m_stratum")
     joined = measured.join(own, measured[stratum] == own["_m_stratum"], "left")
-    return joined.select(*measured.columns, (~F.col("base_failed") & ~over).alias("kept"))
+    # One comparison over both sides of the join: a conjunction would be split, and its measures evaluated again below.
+    failed = F.greatest(F.col("base_failed").cast("int"), over.cast("int"))
+    return joined.select(*measured.columns, (failed == 0).alias("kept"))
 
 
 def judge_extracts(extracts: DataFrame, verdicts: DataFrame, stratum: str = "area", risk: float = 0.02, error: float = 0.05) -> DataFrame:
