@@ -269,3 +269,38 @@ def test_surface_fill_equals_repeated_maxima(spark):
     df = spark.createDataFrame([(1, x, z, v) for (x, z), v in grid.items()], "tx bigint, ix bigint, iz bigint, gy bigint")
     got = {(r.ix, r.iz): r.gy for r in voxels.fill_surface(df, n, n).collect()}
     assert got == {(x, z): cur.get((x, z), 0) for x in range(n) for z in range(n)}
+
+
+# -- Rasters ------------------------------------------------------------------
+
+def test_equal_probes_are_sampled_each(spark):
+    pixels = spark.createDataFrame([(0, 0, x, y, 10.0) for x in range(4) for y in range(4)], "tx long, ty long, px long, py long, value double")
+    probes = spark.createDataFrame([(1, 0.4, 0.4), (1, 0.4, 0.4), (2, 3.5, 0.5)], "p long, fx double, fy double")
+    got = sorted(tuple(r) for r in raster.sample_bilinear(probes, pixels, "fx", "fy", 4).select("p", "elev", "elev_covered").collect())
+    assert got == [(1, 10.0, True), (1, 10.0, True), (2, 0.0, False)]
+    flat = lambda df: df.withColumn("surface", F.lit(3.0))
+    xz = spark.createDataFrame([(1.0, 2.0), (1.0, 2.0)], "x double, z double")
+    assert [tuple(r) for r in raster.surface_normal(xz, flat, "x", "z").select("ny").collect()] == [(1.0,), (1.0,)]
+
+
+def test_gaps_take_the_nearest_ground(spark):
+    rnd = random.Random(3)
+    cells = [(t, x, y, rnd.randrange(100) if rnd.random() < 0.2 else None) for t in range(3) for x in range(12) for y in range(12) if rnd.random() < 0.6 and t < 2 or t == 2 and x == y]
+    cells = [(t, x, y, None if t == 2 else z) for t, x, y, z in cells]
+    got = {tuple(r)[:3]: r.dem for r in raster.fill_gaps(spark.createDataFrame(cells, "tx long, cx long, cy long, dem long"), 12).collect()}
+    for t, x, y, z in cells:
+        known = [((a - x) ** 2 + (b - y) ** 2, b, a, v) for u, a, b, v in cells if u == t and v is not None]
+        assert got[t, x, y] == (z if z is not None else min(known)[3] if known else None)
+
+
+def test_grid_cells_come_from_many_tasks(spark):
+    cells = spark.createDataFrame([(1, 2, 3, 4)], "tx long, cx long, cy long, dem long")
+    parts = raster.every_cell(cells, 64, 64).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(parts) > 4 and sum(r["count"] for r in parts) == 4096
+
+
+def test_voxels_without_a_pixel_keep_their_colour(spark):
+    v = spark.createDataFrame([(1, 0, 5, 0, 3), (1, 0, 4, 0, 3), (1, 1, 2, 0, 1)], "tx long, ix long, iy long, iz long, tag int")
+    image = spark.createDataFrame([(1, 1, 0, 10, 20, 30)], "tx long, ix long, iz long, r long, g long, b long")
+    got = {(r.ix, r.iy): (r.r, r.g, r.b) for r in voxels.colour_voxels(v, image).collect()}
+    assert len(got) == 3 and got[0, 5] == (196, 148, 108) and got[0, 4] == (220, 196, 168)

@@ -15,8 +15,9 @@ def test_tree_documents_round_trip(spark, tmp_path):
     rnd = random.Random(1)
     rows = [(2621 + i % 3, 6331, rnd.randrange(10 ** 6), rnd.randrange(10 ** 6), rnd.randrange(300), rnd.randrange(100)) for i in range(500)] + [(2621, 6331, 5, 6, 7, 8)] * 90
     df = spark.createDataFrame(rows, "tx bigint, ty bigint, lon_e7 bigint, lat_e7 bigint, height_dm bigint, crown_dm bigint")
-    docs = sinks.tree_documents(df, limit=50)
-    assert max(r.n for r in docs.collect()) < 150 and docs.count() >= 10
+    assert {(r.tx, r.part) for r in sinks.tree_documents(df).collect()} == {(2621 + i, 0) for i in range(3)}
+    docs = sinks.tree_documents(df, buckets=8)
+    assert max(r.n for r in docs.collect()) < 60 and docs.count() == 24  # copies are spread as well
     assert docs.agg(F.sum("n")).collect()[0][0] == len(rows)
     sinks.write_documents(docs, str(tmp_path / "trees"), layer="trees", zoom=14)
     text = sources.read_text(spark, str(tmp_path / "trees"))
@@ -37,6 +38,23 @@ def test_reader_validation(spark, tmp_path):
     assert sorted(r.ty for r in sources.rejected_trees(text).collect()) == [2, 3, 4, 5]
 
 
+def test_rejected_documents_of_every_kind(spark):
+    good = {"trees": {"trees": []}, "roofs": {"roofs": []}, "paint": {}, "manifest": {"trees": {"tiles": []}}, "elements": {"elements": []}, "pins": {"pins": []},
+            "places": {"features": []}, "trace": {"samples": []}}
+    bad = {"trees": {"trees": 4}, "roofs": {"roofs": [{"at": [1]}]}, "paint": {"ribbons": {}}, "manifest": {"trees": {"zoom": 3}}, "elements": {}, "pins": {"pin": []}, "places": {"features": 1}, "trace": {}}
+    for kind in good:
+        rows = [("/g", json.dumps(good[kind])), ("/b", json.dumps(bad[kind])), ("/n", "no json")]
+        got = sources.rejected(spark.createDataFrame(rows, "path string, value string"), kind)
+        assert sorted(map(tuple, got.collect())) == [("/b", "unexpected shape"), ("/n", "not a JSON object")], kind
+
+
+def test_stream_reads_a_table_of_many_files(spark, sf, tmp_path):
+    from tilescape.plans.registry import QUERIES
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("sm4_retry_budget_stream",):
+        assert QUERIES[name](spark, str(tmp_path)).count() == QUERIES[name](spark, sf).count() > 0
+
+
 def test_roofs_paint_pins_manifest(spark):
     doc = lambda value, path="/a/2621/6331.json": spark.createDataFrame([(path, json.dumps(value))], "path string, value string")
     roof = {"at": [1, 2], "shape": 1, "eave_dm": 50, "rise_dm": 10, "ridge_cdeg": 900}

@@ -145,12 +145,12 @@ def snk1(spark, sf):
 
 
 @query("snk1_crowded_tile_parts", f"""
-    with t as (select tx - 2616 as tx, count(*) as n from {{fx_records}} group by 1) select tx, n as entries, cast(ceil(n / 120.0) as bigint) as parts from t""")
+    select tx - 2616 as tx, count(*) as entries, cast(4 as bigint) as parts from {{fx_records}} group by 1""")
 def snk1_parts(spark, sf):
-    """Tiles above the limit are written in several documents that together hold every entry."""
+    """Crowded tiles written in four documents that together hold every entry."""
     rows = fixture(spark, sf, "fx_records").select((F.col("tx") - 2616).alias("tx"), F.lit(0).alias("ty"), F.col("x_cm").alias("lon_e7"), F.col("y_cm").alias("lat_e7"),
                                                    F.col("eave_dm").alias("height_dm"), F.col("shape").cast("bigint").alias("crown_dm"))
-    docs = sinks.tree_documents(rows, limit=120)
+    docs = sinks.tree_documents(rows, buckets=4)
     return docs.groupBy("tx").agg(F.sum("n").alias("entries"), F.count("*").alias("parts"))
 
 
@@ -184,12 +184,14 @@ def path_sql():
     select tx, ty, '{{"ribbons":[' || coalesce(r.s, '') || '],"polygons":[' || coalesce(p.s, '') || '],"decals":[' || coalesce(d.s, '') || ']}}' as json,
            cast(coalesce(r.n, 0) + coalesce(p.n, 0) + coalesce(d.n, 0) as int) as n from r full join p using (tx, ty) full join d using (tx, ty)""")
 def snk2(spark, sf):
+    return all_paint(spark, sf).select("tx", "ty", "json", "n")
+
+
+def all_paint(spark, sf):
     e = element_paths(spark, sf)
     ways = paint.owner_tile(paint.way_features(e))
     nodes = paint.crossings(e).withColumns({"kind": F.lit("crosswalk"), "bearing_deg": F.lit(12.34), "path": F.array(F.struct("lon", "lat"))})
-    nodes = paint.owner_tile(nodes)
-    docs = sinks.paint_documents(ways.filter("not polygon"), ways.filter("polygon"), nodes)
-    return docs.select("tx", "ty", "json", "n")
+    return sinks.paint_documents(ways.filter("not polygon"), ways.filter("polygon"), paint.owner_tile(nodes))
 
 
 @query("snk4_terrain_rows", """
@@ -259,17 +261,28 @@ def src6(spark, sf):
     return sources.roof_rows(text_docs(sinks.roof_documents(small_roofs(spark, sf)), "roofs"))
 
 
+@query("src6_rejected_roofs", """
+    select distinct '/data/roofs/14/' || rec_id // 50 || '/' || tx - 2616 || '.json' as path, 'unexpected shape' as reason from {fx_records} where rec_id // 50 % 4 = 1 and shape = 1""")
+def src6_bad(spark, sf):
+    return sources.rejected(text_docs(sinks.roof_documents(small_roofs(spark, sf)), "roofs"), "roofs")
+
+
 @query("src5_paint_parts", f"""
-    with e as (select *, {KIND} as kind, {TILE14} from {{fx_elements}} where type = 'way')
-    select tx, ty, kind, cast(4 + closed as bigint) as vertices, count(*) as n from e where kind is not null and not (kind in ('plaza', 'court', 'parking', 'sand', 'pier_deck') and closed = 1) group by 1, 2, 3, 4""")
+    with e as (select *, {KIND} as kind, {TILE14} from {{fx_elements}}),
+         w as (select tx, ty, kind, closed, kind in ('plaza', 'court', 'parking', 'sand', 'pier_deck') and closed = 1 as polygon from e where type = 'way' and kind is not null)
+    select tx, ty, case when polygon then 'polygons' else 'ribbons' end as part, kind, cast(4 + closed as bigint) as vertices, count(*) as n from w group by 1, 2, 3, 4, 5
+    union all select tx, ty, 'decals', 'crosswalk', 1, count(*) from e
+    where type = 'node' and (highway = 'crossing' or crossing is not null) and coalesce(crossing, '') not in ('unmarked', 'no') group by 1, 2""")
 def src5(spark, sf):
-    ways = paint.owner_tile(paint.way_features(element_paths(spark, sf)))
-    none = ways.limit(0)
-    docs = sinks.paint_documents(ways.filter("not polygon"), none, none.select("tx", "ty", "kind", F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"),
-                                 F.lit(0.0).alias("bearing_deg"), F.lit(0.0).alias("len_m"), "width_m"))
+    docs = all_paint(spark, sf)
     # A missing list is fine.
     text = docs.select(F.format_string("/data/paint/14/%d/%d.json", "tx", "ty").alias("path"), F.replace("json", F.lit(',"decals":[]'), F.lit("")).alias("value"))
-    return sources.paint_parts(text)["ribbons"].groupBy("tx", "ty", "kind", F.size("path").cast("bigint").alias("vertices")).agg(F.count("*").alias("n"))
+    out = None
+    for name, rows in sources.paint_parts(text).items():
+        size = F.lit(1).cast("bigint") if name == "decals" else F.size("ring" if name == "polygons" else "path").cast("bigint")
+        part = rows.groupBy("tx", "ty", F.lit(name).alias("part"), "kind", size.alias("vertices")).agg(F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("src7_coverage_rows", "select layer, tx, ty from {fx_coverage}")

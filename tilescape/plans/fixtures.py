@@ -11,8 +11,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tilescape.session import spread
-
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -164,7 +162,7 @@ RECIPES: dict[str, str] = {
         from {lineitem}""",
 }
 
-# Inputs of CPU-heavy geometry.
+# Inputs of CPU-heavy geometry, always dealt out to all partitions.
 SPREAD = ("fx_points", "fx_rays", "fx_lines", "fx_probes")
 
 _NAME = re.compile(r"\{(\w{2,})\}")
@@ -191,7 +189,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         args[ref] = fixture(spark, sf_dir, ref) if ref in RECIPES else spark_table(spark, sf_dir, ref)
     text = text.replace("{D}", "div").replace("{X}(", "explode(sequence(").replace("){Y}", "))")
     out = spark.sql(text, **args)
-    return spread(out) if name in SPREAD else out
+    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if name in SPREAD else out
 
 
 def duckdb_sql(text: str) -> str:

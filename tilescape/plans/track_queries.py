@@ -147,7 +147,7 @@ def drained(spark, sf, build):
     streaming.use_rocksdb(spark)
     out = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark_table(spark, sf, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf}/events.parque[t]")  # a pattern may be a file or a folder of files
     stream = build(source)
     (stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/log")
      .trigger(availableNow=True).start().awaitTermination())

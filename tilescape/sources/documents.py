@@ -1,7 +1,7 @@
 """Readers of JSON documents. Each parser takes a DataFrame of (path, value) text rows.
 
 A document that does not have the expected shape is rejected whole: parsers return the
-rows of good documents, and `rejected_*` the paths of bad ones.
+rows of good documents, and `rejected` the paths of bad ones with the reason.
 """
 
 from __future__ import annotations
@@ -55,21 +55,30 @@ def rejected_trees(documents: DataFrame) -> DataFrame:
     return _parsed(documents, TREES).filter(~_tree_ok()).select("path", "tx", "ty")
 
 
-def roof_rows(documents: DataFrame) -> DataFrame:
-    """Roof records of documents with only valid records."""
+def _roof_ok() -> Column:
     ok = F.forall("d.roofs", lambda r: r["shape"].isin(0, 1, 2) & (F.size(r["at"]) == 2) & F.forall(r["at"], lambda v: v.isNotNull())
                   & r["eave_dm"].isNotNull() & r["rise_dm"].isNotNull() & r["ridge_cdeg"].isNotNull())
-    return (_parsed(documents, ROOFS).filter(F.coalesce(ok, F.lit(False))).select("tx", "ty", F.explode("d.roofs").alias("r"))
+    return F.coalesce(ok, F.lit(False))
+
+
+def roof_rows(documents: DataFrame) -> DataFrame:
+    """Roof records of documents with only valid records."""
+    return (_parsed(documents, ROOFS).filter(_roof_ok()).select("tx", "ty", F.explode("d.roofs").alias("r"))
             .select("tx", "ty", F.col("r.at")[0].alias("lon_e7"), F.col("r.at")[1].alias("lat_e7"), F.col("r.shape").cast("int").alias("shape"),
                     "r.eave_dm", "r.rise_dm", "r.ridge_cdeg"))
 
 
+def _paint_ok() -> Column:
+    top = F.from_json("value", "map<string, string>")
+    ok = top.isNotNull()
+    for name in ("ribbons", "polygons", "decals"):
+        ok = ok & F.coalesce(F.element_at(top, F.lit(name)).startswith("["), F.lit(True))
+    return ok
+
+
 def paint_parts(documents: DataFrame) -> dict[str, DataFrame]:
     """Ribbons, polygons and decals; a missing list is empty, a list of another type rejects the document."""
-    raw = with_tile(documents).withColumn("top", F.from_json("value", "map<string, string>")).filter(F.col("top").isNotNull())
-    for name in ("ribbons", "polygons", "decals"):
-        raw = raw.filter(F.coalesce(F.element_at("top", F.lit(name)).startswith("["), F.lit(True)))
-    parsed = raw.withColumn("d", F.from_json("value", PAINT))
+    parsed = with_tile(documents).filter(_paint_ok()).withColumn("d", F.from_json("value", PAINT))
     return {name: parsed.select("tx", "ty", F.explode(f"d.{name}").alias("_p")).select("tx", "ty", "_p.*")
             for name in ("ribbons", "polygons", "decals")}
 
@@ -119,3 +128,20 @@ def trace_rows(documents: DataFrame) -> DataFrame:
     t = documents.select(F.from_json("value", TRACE).alias("t")).select("t.*")
     return (t.select("scenario", "renderDtSec", "sampleEveryNFrames", "totalFrames", F.posexplode("samples").alias("sample", "s"))
             .select("scenario", "renderDtSec", "sampleEveryNFrames", "totalFrames", "sample", "s.*"))
+
+
+#: Kind of document -> (declared shape, what a good one must hold).
+_RULES = {
+    "trees": (TREES, _tree_ok), "roofs": (ROOFS, _roof_ok), "paint": (PAINT, _paint_ok),
+    "manifest": (MANIFEST, lambda: F.forall(F.map_values("d"), lambda l: l["tiles"].isNotNull())),
+    "elements": (ELEMENTS, lambda: F.col("d.elements").isNotNull()), "pins": (PINS, lambda: F.col("d.pins").isNotNull()),
+    "places": (PLACES, lambda: F.col("d.features").isNotNull()), "trace": (TRACE, lambda: F.col("d.samples").isNotNull()),
+}
+
+
+def rejected(documents: DataFrame, kind: str) -> DataFrame:
+    """(path, reason) of the documents that the reader of this kind leaves out."""
+    shape, ok = _RULES[kind]
+    bad = documents.withColumn("d", F.from_json("value", shape)).filter(~F.coalesce(ok(), F.lit(False)))
+    is_object = F.from_json("value", "map<string, string>").isNotNull()
+    return bad.select("path", F.when(is_object, "unexpected shape").otherwise("not a JSON object").alias("reason"))
