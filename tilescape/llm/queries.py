@@ -71,7 +71,31 @@ def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "labels").select(F.col("doc_id").alias("extract_id"), (F.col("quality") == 1).alias("good"))
 
 
-@query("op9_quality_rules")
+def _quality_sql() -> str:
+    """The measures by plain SQL, and binomial bounds by the log-gamma function."""
+    tests = [(r, k, c, m) for r, (m, cs) in quality_rules.RULES.items() for k, c in enumerate(cs)]
+    ratio = {r: m.replace("/ n_words", "/ nullif(n_words, 0)").replace("/ n_lines", "/ nullif(n_lines, 0)") for r, (m, _) in quality_rules.RULES.items()}
+    lost = " union all ".join(f"select area, '{r}' as rule, {k} as k, {c}e0 as cut, count(*) as n, count(*) filter ({ratio[r]} > {c}e0) as x from h group by 1" for r, k, c, _ in tests)
+    over = " or ".join(f"coalesce({ratio[r]} > cut_{r}, false)" for r in ratio)
+    cuts = ", ".join(f"min(cut) filter (rule = '{r}') as cut_{r}" for r in ratio)
+    return f"""
+    with w as (select doc_id, lang as area, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws,
+                      list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from documents),
+         g as (select doc_id, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] as gram from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from w) u),
+         c as (select doc_id, count(distinct i + d) as n_repeat_words from (select doc_id, i, count(*) over (partition by doc_id, gram) as n from g) q, (select unnest([0, 1, 2]) as d) o where n > 1 group by 1),
+         m as (select doc_id, area, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+                      len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words from w left join c using (doc_id)),
+         b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m),
+         h as (select * from b where not base_failed and area is not null and doc_id in (select doc_id from labels group by 1 having min(quality) = 1)),
+         x as ({lost}),
+         p as (select *, x < n * 0.005e0 and list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.005e0) + (n - i) * ln(0.995e0)) for i in range(x + 1)])
+                         <= 0.05e0 / ((select count(distinct area) from h) * {len(ratio)}) as ok from x),
+         f as (select area, {cuts} from (select *, min(ok) over (partition by area, rule order by k) as so_far from p) q where so_far group by 1)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({over}) as kept, b.area, n_lines
+    from b left join f on b.area = f.area"""
+
+
+@query("op9_quality_rules", _quality_sql())
 def op9(spark, sf):
     judged = quality_rules.judge_extracts(extracts(spark, sf), quality_verdicts(spark, sf))
     return judged.select(F.col("extract_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "area", "n_lines")
@@ -79,7 +103,14 @@ def op9(spark, sf):
 
 # -- Archives -----------------------------------------------------------------
 
-@query("op1_archives")
+@query("op1_archives", """
+    with d as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as hex from pages),
+         e as (select page_id, body, hex, max(page_id) over (partition by hex) as latest from d)
+    select page_id, strlen(body) as payload_bytes, case when page_id = latest then 'response' else 'revisit' end as record_type,
+           case when page_id <> latest then latest end as refers_to,
+           array_to_string(flatten([[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || hex[5 * i + 1:5 * i + 5] as bigint) >> s) & 31 as bigint) + 1, 1)
+                            for s in [15, 10, 5, 0]] for i in range(8)]), '') as payload_digest
+    from e""")
 def op1(spark, sf):
     fetches = read(spark, sf, "pages").select(F.col("page_id").alias("fetch_id"), "url", F.col("html").alias("body"))
     raw, out = shared_folder(spark, "archives-raw"), shared_folder(spark, "archives")
@@ -111,7 +142,16 @@ def op2(spark, sf):
 
 # -- Near copies --------------------------------------------------------------
 
-@query("op3_near_copies")
+@query("op3_near_copies", r"""
+    with recursive w as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+         s as (select distinct doc_id, unnest(case when len(ws) < 5 then [array_to_string(ws, chr(10))] else [array_to_string(ws[i:i + 4], chr(10)) for i in range(1, len(ws) - 3)] end) as g from w),
+         n as (select doc_id, count(*) as n from s group by 1),
+         p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+         l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where c >= 0.8e0 * (x.n + y.n - c) - 1e-9),
+         reach as (select doc_id as a, doc_id as b from documents union select reach.a, l.b from reach join l on reach.b = l.a),
+         k as (select a as doc_id, min(b) as class_id, count(*) as class_size from reach group by 1),
+         d as (select a as doc_id, count(*) as n_links from l group by 1)
+    select doc_id, class_id, class_size, coalesce(n_links, 0) as n_links, class_id = doc_id as kept from k left join d using (doc_id)""")
 def op3(spark, sf):
     near = shingle_forest.near_extracts(extracts(spark, sf))
     return near.select(F.col("extract_id").alias("doc_id"), "class_id", "class_size", "n_links", F.col("first").alias("kept"))
