@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tilescape.llm import line_runs, mixing, packing, quality_rules, shingle_forest
 from tilescape.llm._common import DOC, cut, keyed, read
-from tilescape.llm.queries import MIX, domain_labels, quality_verdicts, tokenizer_path
+from tilescape.llm.queries import domain_labels, quality_verdicts, tokenizer_path
 
 #: SQL cannot express the tokenizer and the trained classifier: tested against brute force instead.
 ORACLE_SQL = None
+#: Shares of tokens; what is poor has gone before, and the first domain keeps what it has.
+MIX = {"good": 0.95, "toxic": 0.05}
 
 
 def _extracts(docs: DataFrame) -> DataFrame:

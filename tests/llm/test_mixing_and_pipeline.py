@@ -8,14 +8,14 @@ import pytest
 
 import corpus_pipeline
 from tilescape.llm import mixing
-from tilescape.llm.queries import MIX, domain_labels, extracts
+from tilescape.llm.queries import domain_labels, extracts
 
 from .test_near_copies import plain_near
 from .test_rules_and_tokens import plain_ids, plain_measures
 
 
 def plain_rates(p, tokens, targets):
-    """Minimum of the same objective by the same metric, from an independent solver: Dykstra-free dual bisection per domain."""
+    """The same problem by plain steps of half the length in one process."""
     gram = (p * tokens[:, None]).T @ p
     r = np.ones(len(p))
     for _ in range(3000):
@@ -60,6 +60,8 @@ def test_rates_meet_targets(corpus):
 def test_unreachable_targets_are_nonnegative(corpus):
     got = mixing.mix_extracts(*corpus, {"road": 1.0, "park": 0.0}).toPandas()
     assert got.rate.min() == 0 and np.isfinite(got.rate).all()
+    got = mixing.mix_extracts(*corpus, {"road": 0.01, "park": 0.99}).toPandas()
+    assert got.rate.max() == 4 and got.copies.max() <= 4
 
 
 def test_mixing_without_labels_or_rows(spark, corpus):
@@ -93,7 +95,7 @@ def test_pipeline_stages(spark, sf):
     assert sorted(r.doc_id for r in near.collect()) == sorted({w[0] for w in plain_near(pairs, 0.8)})
 
     mixed = corpus_pipeline.cut(stage["mixing to target weights"](spark, near, sf))
-    copies = {r.extract_id: r.copies for r in mixing.mix_extracts(near.withColumnRenamed("doc_id", "extract_id"), domain_labels(spark, sf), MIX).collect()}
+    copies = {r.extract_id: r.copies for r in mixing.mix_extracts(near.withColumnRenamed("doc_id", "extract_id"), domain_labels(spark, sf), corpus_pipeline.MIX).collect()}
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({k: n for k, n in copies.items() if n})
     assert all(x.columns == columns for x in (quality, lines, near, mixed))
 

@@ -108,27 +108,27 @@ def _posteriors(model: Classifier):
     return run
 
 
-def rates_of(p: np.ndarray, steps: Sequence[np.ndarray]) -> np.ndarray:
-    """Rates after the given steps, each projected to be at least 0; all start at 1."""
+def rates_of(p: np.ndarray, steps: Sequence[np.ndarray], max_rate: float) -> np.ndarray:
+    """Rates after the given steps, each projected to 0..max_rate; all start at 1."""
     r = np.ones(len(p))
     for step in steps:
-        r = np.maximum(0.0, r - p @ step)
+        r = np.clip(r - p @ step, 0.0, max_rate)
     return r
 
 
-def _totals(steps: Sequence[np.ndarray], n: int):
+def _totals(steps: Sequence[np.ndarray], n: int, max_rate: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(n)
         for batch in batches:
             if len(batch):
                 p = np.stack(batch["posterior"])
-                total += (rates_of(p, steps) * batch["tokens"].to_numpy(float)) @ p
+                total += (rates_of(p, steps, max_rate) * batch["tokens"].to_numpy(float)) @ p
         yield pd.DataFrame({"d": np.arange(n), "total": total})
     return run
 
 
-def fit_steps(posteriors: DataFrame, targets: np.ndarray, tolerance: float = 1e-4, rounds: int = 30) -> list[np.ndarray]:
-    """Projected-gradient steps for min |W^(1/2) (sum_i rate_i tokens_i p_i - targets)|^2 over rates >= 0.
+def fit_steps(posteriors: DataFrame, targets: np.ndarray, max_rate: float = np.inf, tolerance: float = 1e-4, rounds: int = 20) -> list[np.ndarray]:
+    """Projected-gradient steps for min |W^(1/2) (sum_i rate_i tokens_i p_i - targets)|^2 over rates of 0..max_rate.
 
     `posteriors` (tokens, posterior). W is the inverse of G = sum tokens p p', in which the
     gradient is scaled by 1 / tokens, so step 1 never overshoots. A step is one vector with
@@ -140,7 +140,7 @@ def fit_steps(posteriors: DataFrame, targets: np.ndarray, tolerance: float = 1e-
     gram = np.array([x or 0.0 for x in posteriors.agg(*outer).first()]).reshape(n, n)
     w, steps = np.linalg.pinv(gram, rcond=1e-12), []
     for _ in range(rounds):
-        rows = posteriors.select("tokens", "posterior").mapInPandas(_totals(steps, n), "d int, total double").groupBy("d").agg(F.sum("total").alias("total")).collect()
+        rows = posteriors.select("tokens", "posterior").mapInPandas(_totals(steps, n, max_rate), "d int, total double").groupBy("d").agg(F.sum("total").alias("total")).collect()
         total = np.zeros(n)
         for r in rows:
             total[r["d"]] = r["total"]
@@ -151,7 +151,8 @@ def fit_steps(posteriors: DataFrame, targets: np.ndarray, tolerance: float = 1e-
     return steps
 
 
-def mix_extracts(extracts: DataFrame, labels: DataFrame, targets: Mapping[str, float], total: float | None = None) -> DataFrame:
+def mix_extracts(extracts: DataFrame, labels: DataFrame, targets: Mapping[str, float], total: float | None = None,
+                 max_rate: float = 4.0) -> DataFrame:
     """(extract_id, tokens, posterior, rate, copies, _hash) per row of `extracts` (extract_id, text).
 
     The texts meant are the project's map extracts; `labels` (extract_id, domain) assigns some
@@ -159,7 +160,9 @@ def mix_extracts(extracts: DataFrame, labels: DataFrame, targets: Mapping[str, f
     them gives every text its posterior over the domains (in the order of `targets`). Rates
     are non-negative and fitted by distributed projected-gradient least squares, so that the
     expected tokens of each domain, sum of rate * tokens * posterior, meet its share of
-    `total`. Without a `total` it is set so that the first domain keeps what it has. Tokens
+    `total`. Without a `total` it is set so that the first domain keeps what it has. No text
+    is taken more than `max_rate` times on average: a scarce domain then stays below its
+    share instead of being repeated without end. Tokens
     are words between white space. `copies` is the rate rounded up or down by a hash of id and
     text, so that its mean is the rate; copies of equal rows are equal.
 
@@ -178,12 +181,12 @@ def mix_extracts(extracts: DataFrame, labels: DataFrame, targets: Mapping[str, f
     if total is None:
         first = scored.agg(F.sum(F.col("tokens") * F.get("posterior", F.lit(0)))).first()[0]
         total = (first or 0.0) / share[0]
-    steps = fit_steps(scored, share * total)
+    steps = fit_steps(scored, share * total, max_rate)
 
     def rated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             p = np.stack(batch["posterior"]) if len(batch) else np.zeros((0, len(domains)))
-            yield batch.assign(rate=rates_of(p, steps))
+            yield batch.assign(rate=rates_of(p, steps, max_rate))
 
     out = scored.mapInPandas(rated, "extract_id long, _hash long, tokens long, posterior array<double>, rate double")
     even = F.pmod(F.xxhash64("extract_id", "_hash", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
