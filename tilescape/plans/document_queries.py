@@ -195,11 +195,11 @@ def all_paint(spark, sf):
 
 
 @query("snk4_terrain_rows", """
-    select tx, ty, count(*) as n, sum(cast(floor((elev_dm / 10e0 + 32768) / 256) as bigint))::bigint as r, sum(cast(floor(elev_dm / 10e0 + 32768) as bigint) % 256)::bigint as g,
-           sum(cast(floor((elev_dm / 10e0 + 32768 - floor(elev_dm / 10e0 + 32768)) * 256) as bigint))::bigint as b from {fx_pixels} group by 1, 2""")
+    select tx, ty, px, py, cast(floor((elev_dm / 10e0 + 32768) / 256) as bigint) as r, cast(floor(elev_dm / 10e0 + 32768) as bigint) % 256 as g,
+           cast(floor((elev_dm / 10e0 + 32768 - floor(elev_dm / 10e0 + 32768)) * 256) as bigint) as b from {fx_pixels}""")
 def snk4(spark, sf):
-    rows = sinks.terrain_rows(fixture(spark, sf, "fx_pixels").select("tx", "ty", F.col("px").alias("cx"), F.col("py").alias("cy"), (F.col("elev_dm") / 10.0).alias("elev")), tile=("tx", "ty"))
-    return rows.groupBy("tx", "ty").agg(F.count("*").alias("n"), F.sum("r").alias("r"), F.sum("g").alias("g"), F.sum("b").alias("b"))
+    pixels = fixture(spark, sf, "fx_pixels").select("tx", "ty", F.col("px").alias("cx"), F.col("py").alias("cy"), (F.col("elev_dm") / 10.0).alias("elev"))
+    return sinks.terrain_rows(pixels, tile=("tx", "ty"))
 
 
 MANIFEST = """select layer, '{"zoom":' || case layer when 'terrain' then 16 else 14 end || ',"tiles":[' || string_agg('"' || tx || '/' || ty || '"', ',' order by tx || '/' || ty) || ']}' as json

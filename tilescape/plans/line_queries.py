@@ -69,15 +69,15 @@ CLIP = """s as (select line_id, seq, u, v, lead(u) over w - u as du, lead(v) ove
     with {CLIP}, g as (select *, case when t0 > 0 or not coalesce(lag(kept) over w, false) or coalesce(lag(t1) over w, 1) < 1 then 1 else 0 end as starts
                        from c window w as (partition by line_id order by seq)),
          k as (select *, sum(case when kept then starts else 0 end) over (partition by line_id order by seq) as piece from g),
-         f as (select line_id, piece, sum(sqrt(du * du + dv * dv) * (t1 - t0)) as len, min_by(u + t0 * du, seq) as x0, max_by(v + t1 * dv, seq) as y1,
-                      count(*) + 1 as vertices from k where kept and t1 > t0 group by 1, 2)
-    select line_id, cast(row_number() over (partition by line_id order by piece) - 1 as int) as piece, vertices, round(len, 3) as length, round(x0, 3) as x0, round(y1, 3) as y1 from f""")
+         f as (select line_id, piece, sum(sqrt(du * du + dv * dv) * (t1 - t0)) as len, min_by(u + t0 * du, seq) as x0, min_by(v + t0 * dv, seq) as y0,
+                      max_by(u + t1 * du, seq) as x1, max_by(v + t1 * dv, seq) as y1, count(*) + 1 as vertices from k where kept and t1 > t0 group by 1, 2)
+    select line_id, cast(row_number() over (partition by line_id order by piece) - 1 as int) as piece, vertices, round(len, 3) as length, round(x0, 3) as x0, round(y0, 3) as y0, round(x1, 3) as x1, round(y1, 3) as y1 from f""")
 def wn9(spark, sf):
     d = tile_lines(spark, sf).select("line_id", F.posexplode_outer(lines.clip_to_box("path", 4096.0)).alias("piece", "p")).filter("piece is not null")
     total = F.aggregate(F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p") - 1),
                                    lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"])), F.lit(0.0), lambda a, v: a + v)
     return d.select("line_id", "piece", F.size("p").cast("bigint").alias("vertices"), F.round(total, 3).alias("length"),
-                    F.round(F.col("p")[0]["x"], 3).alias("x0"), F.round(F.element_at("p", -1)["y"], 3).alias("y1"))
+                    *[F.round(F.element_at("p", i)[c], 3).alias(f"{c}{k}") for k, i in ((0, 1), (1, -1)) for c in "xy"])
 
 
 def bridges(spark, sf):
@@ -114,9 +114,12 @@ def decks(spark, sf):
     with {DECK}, s as (select *, lead(x) over w as x1, lead(y) over w as y1, lead(deck) over w as d1 from deck window w as (partition by road_id order by seq)),
          l as (select *, sqrt((x1 - x) ** 2 + (y1 - y) ** 2) as len from s where x1 is not null)
     select road_id, cast(seq as int) as seg, round(len, 4) as length, round(greatest(deck, d1), 4) as top, round(least(deck, d1) - 1.5e0, 4) as bottom,
-           round((x + x1) / 2 - abs(x1 - x) / 2 - abs(y1 - y) / len * 4, 4) as min_x from l where len >= 1e-4""")
+           round(x, 4) as ax, round(y, 4) as ay, round(x1, 4) as bx, round(y1, 4) as by, round((x1 - x) / len, 4) as tx_, round((y1 - y) / len, 4) as ty_,
+           round((x + x1) / 2 - abs(x1 - x) / 2 - abs(y1 - y) / len * 4, 4) as min_x, round((x + x1) / 2 + abs(x1 - x) / 2 + abs(y1 - y) / len * 4, 4) as max_x,
+           round((y + y1) / 2 - abs(y1 - y) / 2 - abs(x1 - x) / len * 4, 4) as min_y, round((y + y1) / 2 + abs(y1 - y) / 2 + abs(x1 - x) / len * 4, 4) as max_y
+    from l where len >= 1e-4""")
 def wn12(spark, sf):
-    return decks(spark, sf).select("road_id", "seg", *[F.round(c, 4).alias(c) for c in ("length", "top", "bottom", "min_x")])
+    return decks(spark, sf).select("road_id", "seg", *[F.round(c, 4).alias(c) for c in ("length", "top", "bottom", "ax", "ay", "bx", "by", "tx_", "ty_", "min_x", "max_x", "min_y", "max_y")])
 
 
 @query("wn13_piers", f"""
@@ -126,24 +129,25 @@ def wn12(spark, sf):
          st as (select road_id, k as pier, 40 + 80 * k as station from tot, (select unnest(generate_series(0, 30)) as k) g where 40 + 80 * k < total),
          v as (select st.road_id, pier, station, count(*) as idx from st join c on c.road_id = st.road_id and c.seq > 0 and c.cum < station group by 1, 2, 3
                union all select road_id, pier, station, 0 from st where not exists (select 1 from c where c.road_id = st.road_id and c.seq > 0 and c.cum < station))
-    select v.road_id, pier, round(c.x, 4) as x, round(least(t, 0) - 2, 4) as base, round(deck, 4) as deck_y
+    select v.road_id, pier, station::double as station, round(c.x, 4) as x, round(c.y, 4) as y, round(least(t, 0) - 2, 4) as base, round(deck, 4) as deck_y
     from v join c on c.road_id = v.road_id and c.seq = v.idx where deck - (least(t, 0) - 2) >= 4""")
 def wn13(spark, sf):
     return lines.piers(lines.with_deck(bridges(spark, sf)), ["road_id"]).select(
-        "road_id", "pier", *[F.round(c, 4).alias(c) for c in ("x", "base", "deck_y")])
+        "road_id", "pier", F.col("station").cast("double").alias("station"), *[F.round(c, 4).alias(c) for c in ("x", "y", "base", "deck_y")])
 
 
 @query("wn14_ribbon_sides", """
     with n as (select line_id, seq, u, v, coalesce(lead(u) over w, u) - coalesce(lag(u) over w, u) as tx, coalesce(lead(v) over w, v) - coalesce(lag(v) over w, v) as ty
                from {fx_lines} window w as (partition by line_id order by seq)),
          m as (select *, case when tx = 0 and ty = 0 then 1 else sqrt(tx * tx + ty * ty) end as len from n)
-    select line_id, cast(seq as int) as seq, round(u - ty / len * 5.5e0, 4) as lx, round(v + tx / len * 5.5e0, 4) as ly, round(u + ty / len * 5.5e0, 4) as rx,
-           round(u - ty / len * 5.1e0, 4) as edge_x from m""")
+    select line_id, cast(seq as int) as seq, round(u - ty / len * 5.5e0, 4) as lx, round(v + tx / len * 5.5e0, 4) as ly, round(u + ty / len * 5.5e0, 4) as rx, round(v - tx / len * 5.5e0, 4) as ry,
+           round(u - ty / len * 5.1e0, 4) as edge_lx, round(v + tx / len * 5.1e0, 4) as edge_ly, round(u + ty / len * 5.1e0, 4) as edge_rx, round(v - tx / len * 5.1e0, 4) as edge_ry from m""")
 def wn14(spark, sf):
     d = tile_lines(spark, sf).withColumn("s", lines.side_offsets("path", 5.5)).withColumn("e", lines.edge_lines("path", 5.5))
-    d = d.select("line_id", F.posexplode_outer(F.arrays_zip("s", F.col("e.left").alias("el"))).alias("seq", "z"))
+    d = d.select("line_id", F.posexplode_outer(F.arrays_zip("s", F.col("e.left").alias("el"), F.col("e.right").alias("er"))).alias("seq", "z"))
     return d.select("line_id", "seq", F.round("z.s.left.x", 4).alias("lx"), F.round("z.s.left.y", 4).alias("ly"),
-                    F.round("z.s.right.x", 4).alias("rx"), F.round("z.el.x", 4).alias("edge_x"))
+                    F.round("z.s.right.x", 4).alias("rx"), F.round("z.s.right.y", 4).alias("ry"),
+                    *[F.round(f"z.e{side}.{c}", 4).alias(f"edge_{side}{c}") for side in "lr" for c in "xy"])
 
 
 def footprint_rings(spark, sf):
@@ -226,12 +230,15 @@ def wn19(spark, sf):
          n as (select *, greatest(3, least(32, cast(floor(len / 1.2e0) as bigint))) as n from c),
          s as (select *, unnest(generate_series(0, n - 1)) as stripe from n),
          f as (select *, -(n * 1.2e0 - 0.6e0) / 2 + stripe * 1.2e0 as a, sin(radians(deg)) as sx, -cos(radians(deg)) as sz, cos(radians(deg)) as ax, sin(radians(deg)) as az from s)
-    select node_id, stripe, round(x + sx * a - ax * w / 2e0, 4) as x0, round(y + sz * (a + 0.6e0) + az * w / 2e0, 4) as y2 from f""")
+    select node_id, stripe, round(x + sx * a - ax * w / 2e0, 4) as x0, round(y + sz * a - az * w / 2e0, 4) as y0,
+           round(x + sx * (a + 0.6e0) - ax * w / 2e0, 4) as x1, round(y + sz * (a + 0.6e0) - az * w / 2e0, 4) as y1,
+           round(x + sx * (a + 0.6e0) + ax * w / 2e0, 4) as x2, round(y + sz * (a + 0.6e0) + az * w / 2e0, 4) as y2,
+           round(x + sx * a + ax * w / 2e0, 4) as x3, round(y + sz * a + az * w / 2e0, 4) as y3 from f""")
 def wn29(spark, sf):
     c = fixture(spark, sf, "fx_crossings").select("node_id", (F.expr("lon_e7 % 100000") / 10.0).alias("x"), (F.expr("lat_e7 % 100000") / 10.0).alias("y"),
                                                   (F.col("node_id") * 37 % 360).alias("bearing_deg"), (F.col("node_id") % 50 + 2).alias("len_m"), (F.col("node_id") % 4 + 3).alias("width_m"))
     out = lines.crosswalk_stripes(c, ["node_id"])
-    return out.select("node_id", "stripe", F.round(F.col("corners")[0]["x"], 4).alias("x0"), F.round(F.col("corners")[2]["y"], 4).alias("y2"))
+    return out.select("node_id", "stripe", *[F.round(F.col("corners")[i][c], 4).alias(f"{c}{i}") for i in range(4) for c in "xy"])
 
 
 @query("wn30_roof_facets", f"""

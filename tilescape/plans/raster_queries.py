@@ -331,13 +331,14 @@ def jn9(spark, sf):
     select tx, ty, cast(ix as int) as ix, cast(iy as int) as iy, round(elev, 3) as h,
            round(coalesce(lead(elev) over r, elev) - coalesce(lag(elev) over r, elev), 3) as dh_x,
            round(coalesce(lead(elev) over k, elev) - coalesce(lag(elev) over k, elev), 3) as dh_y,
-           round(coalesce(lead(lat) over k, lat) - coalesce(lag(lat) over k, lat), 6) as d_lat
+           round(coalesce(lead(lat) over k, lat) - coalesce(lag(lat) over k, lat), 6) as d_lat,
+           round((least(ix + 1, 32) - greatest(ix - 1, 0)) / 32e0 * 45, 6) as d_lon
     from s window r as (partition by tx, ty, iy order by ix), k as (partition by tx, ty, ix order by iy)""")
 def wn31(spark, sf):
     px = pixels(spark, sf)
     tiles = px.select("tx", "ty").distinct()
     out = raster.lattice_vertices(tiles, px, 3, grid=32, size=N)
-    return out.select("tx", "ty", "ix", "iy", *[F.round(c, 3).alias(c) for c in ("h", "dh_x", "dh_y")], F.round("d_lat", 6).alias("d_lat"))
+    return out.select("tx", "ty", "ix", "iy", *[F.round(c, 3).alias(c) for c in ("h", "dh_x", "dh_y")], *[F.round(c, 6).alias(c) for c in ("d_lat", "d_lon")])
 
 
 @query("jn25_surface_normal", f"""
@@ -369,14 +370,17 @@ def cp2(spark, sf):
 # -- Imagery ------------------------------------------------------------------
 
 @query("ag17_contrast_stretch", """
-    with h as (select tx, ty, r, count(*) as n from {fx_wash} group by 1, 2, 3),
-         c as (select *, sum(n) over (partition by tx, ty order by r) as up, sum(n) over (partition by tx, ty order by r desc) as down,
-                      sum(n) over (partition by tx, ty) as total from h),
-         l as (select tx, ty, min(case when up > total * 1 // 100 then r end) as lo, max(case when down > total * 3 // 100 then r end) as hi from c group by 1, 2)
-    select tx, ty, px, py, cast(case when hi <= lo then r else greatest(0, least(255, trunc(r * (255e0 / (hi - lo)) - lo * (255e0 / (hi - lo))))) end as bigint) as r
-    from {fx_wash} join l using (tx, ty)""")
+    with v as (select tx, ty, px, py, band, unnest([r, g, b][band:band]) as v from {fx_wash}, range(1, 4) t(band)),
+         h as (select tx, ty, band, v, count(*) as n from v group by 1, 2, 3, 4),
+         c as (select *, sum(n) over (partition by tx, ty, band order by v) as up, sum(n) over (partition by tx, ty, band order by v desc) as down,
+                      sum(n) over (partition by tx, ty, band) as total from h),
+         l as (select tx, ty, band, min(case when up > total * 1 // 100 then v end) as lo, max(case when down > total * 3 // 100 then v end) as hi from c group by 1, 2, 3),
+         o as (select tx, ty, px, py, band, cast(case when hi <= lo then v else greatest(0, least(255, trunc(v * (255e0 / (hi - lo)) - lo * (255e0 / (hi - lo))))) end as bigint) as v
+               from v join l using (tx, ty, band))
+    select tx, ty, px, py, max(v) filter (band = 1) as r, max(v) filter (band = 2) as g, max(v) filter (band = 3) as b from o group by 1, 2, 3, 4""")
 def ag17(spark, sf):
-    return raster.contrast_stretch(fixture(spark, sf, "fx_wash"), ["r", "g", "b"]).select("tx", "ty", "px", "py", F.col("r").cast("bigint").alias("r"))
+    out = raster.contrast_stretch(fixture(spark, sf, "fx_wash"), ["r", "g", "b"])
+    return out.select("tx", "ty", "px", "py", *[F.col(c).cast("bigint").alias(c) for c in "rgb"])
 
 
 @query("ag18_downsample", """

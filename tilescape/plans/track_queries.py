@@ -114,16 +114,17 @@ def sm7(spark, sf):
 
 
 @query("jn24_interpolated_poses", """
-    with n as (select track_id, seq, x_m, speed_c / 100e0 as yaw, lead(seq) over w as s1, lead(x_m) over w as x1, lead(speed_c / 100e0) over w as yaw1
-               from {fx_poses} window w as (partition by track_id order by seq)),
+    with n as (select track_id, seq, x_m, z_m, speed_c / 100e0 as yaw, speed_c / 70e0 as roll, lead(seq) over w as s1, lead(x_m) over w as x1, lead(z_m) over w as z1,
+                      lead(speed_c / 100e0) over w as yaw1, lead(speed_c / 70e0) over w as roll1 from {fx_poses} window w as (partition by track_id order by seq)),
          g as (select *, unnest(generate_series(((seq + 49) // 50) * 50, ((s1 - 1) // 50) * 50, 50)) as at_seq from n where s1 is not null),
-         t as (select *, (at_seq - seq) / (s1 - seq)::double as t, fmod(yaw1 - yaw, 2 * pi()) as d from g)
-    select track_id, at_seq, round(x_m + (x1 - x_m) * t, 4) as x_m,
+         t as (select *, (at_seq - seq) / (s1 - seq)::double as t, fmod(yaw1 - yaw, 2 * pi()) as d, fmod(roll1 - roll, 2 * pi()) as e from g)
+    select track_id, at_seq, round(x_m + (x1 - x_m) * t, 4) as x_m, round(z_m + (z1 - z_m) * t, 4) as z_m,
+           round(roll + t * case when e > pi() then e - 2 * pi() when e < -pi() then e + 2 * pi() else e end, 4) as roll,
            round(yaw + t * case when d > pi() then d - 2 * pi() when d < -pi() then d + 2 * pi() else d end, 4) as yaw from t""")
 def jn24(spark, sf):
-    p = fixture(spark, sf, "fx_poses").withColumn("yaw", F.col("speed_c") / 100.0)
-    out = tracks.interpolate(p, ["track_id"], "seq", 50, ["x_m"], ["yaw"], CHUNK)
-    return out.select("track_id", F.col("at").alias("at_seq"), F.round("x_m", 4).alias("x_m"), F.round("yaw", 4).alias("yaw"))
+    p = fixture(spark, sf, "fx_poses").withColumns({"yaw": F.col("speed_c") / 100.0, "roll": F.col("speed_c") / 70.0})
+    out = tracks.interpolate(p, ["track_id"], "seq", 50, ["x_m", "z_m"], ["yaw", "roll"], CHUNK)
+    return out.select("track_id", F.col("at").alias("at_seq"), *[F.round(c, 4).alias(c) for c in ("x_m", "z_m", "yaw", "roll")])
 
 
 @query("cp1_trace_difference", """
