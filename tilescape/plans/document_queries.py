@@ -17,30 +17,32 @@ RANGES = "case tier when 1 then 5200 when 2 then 1900 else 750 end"
 
 # -- Places -------------------------------------------------------------------
 
-@query("jn17_pins_in_view", f"""
-    with d as (select seq, pin_id, (p.x_m - q.x_m) ** 2 + (p.z_m - q.z_m) ** 2 as d2, tier from {{fx_poses}} q join {{fx_pins}} p on true)
-    select seq, pin_id, cast(d2 as bigint) as d2 from d where d2 <= ({RANGES}) ** 2""")
+NEAREST = f"""with d as (select seq, pin_id, (p.x_m - q.x_m) ** 2 + (p.z_m - q.z_m) ** 2 as d2, tier from {{fx_view_poses}} q join {{fx_view_pins}} p on abs(p.x_m - q.x_m) <= 5200),
+         r as (select seq, pin_id, d2, row_number() over (partition by seq order by d2, pin_id) as rank from d where d2 <= ({RANGES}) ** 2)"""
+
+
+def nearest_pins(spark, sf):
+    near = places.pins_in_range(fixture(spark, sf, "fx_view_poses"), fixture(spark, sf, "fx_view_pins"), "seq", "x_m", "z_m")
+    return places.nearest_k(near, ["seq"], ["d2", "pin_id"])
+
+
+@query("jn17_pins_in_view", f"{NEAREST} select seq, pin_id, cast(d2 as bigint) as d2 from r where rank <= 48")
 def jn17(spark, sf):
-    out = places.pins_in_range(fixture(spark, sf, "fx_poses"), fixture(spark, sf, "fx_pins"), "seq", "x_m", "z_m")
-    return out.select("seq", "pin_id", F.col("d2").cast("bigint").alias("d2"))
+    return nearest_pins(spark, sf).select("seq", "pin_id", F.col("d2").cast("bigint").alias("d2"))
 
 
-@query("tk1_nearest_pins", f"""
-    with d as (select seq, pin_id, (p.x_m - q.x_m) ** 2 + (p.z_m - q.z_m) ** 2 as d2, tier from {{fx_poses}} q join {{fx_pins}} p on true),
-         r as (select seq, pin_id, row_number() over (partition by seq order by d2, pin_id) as rank from d where d2 <= ({RANGES}) ** 2)
-    select seq, pin_id, cast(rank as int) as rank from r where rank <= 20""")
+@query("tk1_nearest_pins", f"{NEAREST} select seq, pin_id, cast(rank as int) as rank from r where rank <= 48")
 def tk1(spark, sf):
-    near = places.pins_in_range(fixture(spark, sf, "fx_poses"), fixture(spark, sf, "fx_pins"), "seq", "x_m", "z_m")
-    return places.nearest_k(near, ["seq"], ["d2", "pin_id"], 20).select("seq", "pin_id", "rank")
+    return nearest_pins(spark, sf).select("seq", "pin_id", "rank")
 
 
 @query("jn18_nearest_preset", """
-    with d as (select seq, pin_id, sqrt((p.x_m - q.x_m) ** 2 + (p.z_m - q.z_m) ** 2) as d from {fx_poses} q join {fx_pins} p on true),
+    with d as (select seq, pin_id, sqrt((p.x_m - q.x_m) ** 2 + (p.z_m - q.z_m) ** 2) as d from {fx_view_poses} q join {fx_view_pins} p on true),
          b as (select seq, min(row(d, pin_id)) as b from d where d < 400 group by 1)
     select seq, b[2] as pin_id, round(b[1], 6) as distance from b""")
 def jn18(spark, sf):
     xy = {"x_m": "x", "z_m": "y"}
-    out = places.nearest_within(fixture(spark, sf, "fx_poses").withColumnsRenamed(xy), fixture(spark, sf, "fx_pins").withColumnsRenamed(xy), "seq", "pin_id", 400.0)
+    out = places.nearest_within(fixture(spark, sf, "fx_view_poses").withColumnsRenamed(xy), fixture(spark, sf, "fx_view_pins").withColumnsRenamed(xy), "seq", "pin_id", 400.0)
     return out.withColumn("distance", F.round("distance", 6))
 
 

@@ -57,6 +57,9 @@ RECIPES: dict[str, str] = {
                cast(floor(value * 100) as bigint) as speed_c,
                event_type in ('error', 'click') as contact
         from {events}""",
+    # A world that grows with the tables: 100 pins and 10,000 poses per 8 km square, squares out of each other's range.
+    "fx_view_pins": "select pin_id, name, tier, x_m + pin_id {D} 100 * 14000 as x_m, z_m from {fx_pins}",
+    "fx_view_poses": "select seq, x_m + seq {D} 10000 * 14000 as x_m, z_m from {fx_poses}",
     "fx_requests": """
         select user_id as viewer, event_id as seq, user_id % 20 as tile, event_type as etype,
                case when event_type = 'error' then 0 else 1 end as ok

@@ -127,18 +127,26 @@ def jn24(spark, sf):
     return out.select("track_id", F.col("at").alias("at_seq"), *[F.round(c, 4).alias(c) for c in ("x_m", "z_m", "yaw", "roll")])
 
 
-@query("cp1_trace_difference", """
-    with d as (select track_id as scenario, seq as f, x_m as px, z_m as py, case when seq % 997 = 5 then x_m + 1 else x_m end as apx,
-                      case when seq % 499 = 7 then z_m - 2 else z_m end as apy from {fx_poses}),
-         x as (select scenario, f, case when apx <> px then 'px' when apy <> py then 'py' end as component,
-                      case when apx <> px then 1e0 when apy <> py then 2e0 end as delta from d)
-    select scenario, cast(0 as bigint) as unmatched, min(case when component is not null then f end) as first_sample,
-           min_by(component, f) filter (component is not null) as component, min_by(delta, f) filter (component is not null) as delta from x group by 1""")
+# Deviations are planted in four of the seven components; every fourth trace lacks samples.
+TRACE = {"px": "x_m", "py": "z_m", "pz": "x_m + z_m", "yaw": "speed_c / 100.0e0", "pitch": "x_m % 7", "roll": "z_m % 5", "speed": "speed_c / 10.0e0"}
+OFF = {"px": "case when seq % 997 = 5 then 1 else 0 end", "py": "case when seq % 499 = 7 then -2 else 0 end", "pitch": "case when seq % 211 = 9 then 0.5e0 else 0 end",
+       "speed": "case when seq % 89 = 3 then 1e-5 when seq % 83 = 1 then 1e-7 else 0 end"}
+LACKS = "track_id % 4 = 1 and seq % 10 = 3"
+
+
+@query("cp1_trace_difference", f"""
+    with d as (select track_id as scenario, seq as f, {LACKS} as lacks, case {' '.join(f"when abs({OFF[c]}) > 1e-6 then '{c}'" for c in TRACE if c in OFF)} end as component,
+                      case {' '.join(f"when abs({OFF[c]}) > 1e-6 then abs({OFF[c]}) * 1e0" for c in TRACE if c in OFF)} end as delta from {{fx_poses}}),
+         x as (select scenario, sum(case when lacks then 1 else 0 end) as unmatched, min(f) filter (not lacks and component is not null) as first_sample,
+                      min_by(component, f) filter (not lacks and component is not null) as component, min_by(delta, f) filter (not lacks and component is not null) as delta from d group by 1)
+    select scenario, cast(unmatched as bigint) as unmatched, case when unmatched = 0 then first_sample end as first_sample, case when unmatched = 0 then component end as component,
+           case when unmatched = 0 then round(delta, 8) end as delta from x""")
 def cp1(spark, sf):
-    p = fixture(spark, sf, "fx_poses").select(F.col("track_id").alias("scenario"), F.col("seq").alias("f"), F.col("x_m").alias("px"), F.col("z_m").alias("py"))
-    other = p.withColumns({"px": F.when(F.col("f") % 997 == 5, F.col("px") + 1).otherwise(F.col("px")),
-                           "py": F.when(F.col("f") % 499 == 7, F.col("py") - 2).otherwise(F.col("py"))})
-    return tracks.trace_difference(other, p, components=("px", "py"))
+    p = fixture(spark, sf, "fx_poses")
+    expected = p.select(F.col("track_id").alias("scenario"), F.col("seq").alias("f"), *[F.expr(v).alias(c) for c, v in TRACE.items()])
+    actual = p.filter(f"not ({LACKS})").select(F.col("track_id").alias("scenario"), F.col("seq").alias("f"),
+                                               *[F.expr(f"{v} + {OFF.get(c, '0')}").alias(c) for c, v in TRACE.items()])
+    return tracks.trace_difference(actual, expected).withColumn("delta", F.round("delta", 8))
 
 
 # -- The same on streams: the event table is read as a file stream and drained ----
