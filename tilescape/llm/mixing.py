@@ -14,7 +14,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 14
 #: Standard deviations by which a domain's count of a bucket must differ from chance to have a weight.
 CLEAR = 4.0
-#: Labelled texts that the calibration is fitted on, at most.
+#: Labelled texts that the calibration is fitted on (about; at most twice as many, should hashes be uneven).
 CALIBRATION_ROWS = 20_000
 
 
@@ -73,7 +73,7 @@ class Classifier:
 
 
 def train(extracts: DataFrame, labels: DataFrame, domains: Sequence[str]) -> Classifier:
-    """Counts words over half of all labelled extracts and calibrates on at most CALIBRATION_ROWS of the other half.
+    """Counts words over half of all labelled extracts and calibrates on about CALIBRATION_ROWS of the other half.
 
     `labels` (extract_id, domain); domains not listed are left out. Halves and rows are
     chosen by the hash of the id.
@@ -86,8 +86,10 @@ def train(extracts: DataFrame, labels: DataFrame, domains: Sequence[str]) -> Cla
     for r in parts.groupBy("d", "bucket").agg(F.sum("n").alias("n")).collect():  # at most domains * BUCKETS rows
         counts[r["d"], r["bucket"]] = r["n"]
     model = Classifier(domains, counts)
-    rows = labelled.filter(~half).orderBy(F.xxhash64("extract_id", F.lit(1)), "extract_id").limit(CALIBRATION_ROWS)
-    scored = rows.select("domain", "buckets").mapInPandas(_scored(model), "domain string, scores array<double>").collect()
+    rest = labelled.filter(~half)
+    share = min(1.0, CALIBRATION_ROWS / max(1, rest.count()))
+    some = F.pmod(F.xxhash64("extract_id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))
+    scored = rest.filter(some).limit(2 * CALIBRATION_ROWS).select("domain", "buckets").mapInPandas(_scored(model), "domain string, scores array<double>").collect()
     if scored:
         model.calibrate(np.array([r["scores"] for r in scored]), np.array([list(domains).index(r["domain"]) for r in scored]))
     return model

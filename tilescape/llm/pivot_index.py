@@ -22,9 +22,15 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return fine.filter(F.size("vector") == (length[0]["n"] if length else 0)).dropDuplicates(["vector_id"])
 
 
-def fit_pivots(vectors: DataFrame, pivots: int = 256, sample: int = 4096) -> np.ndarray:
-    """At most `pivots` vectors of length 1, far from each other: of a sample of `sample` rows (smallest hashes of their ids), each next is the one least like those before it."""
-    rows = vectors.orderBy(F.xxhash64("vector_id"), "vector_id").limit(sample).select("vector").collect()
+def fit_pivots(vectors: DataFrame, count: int, pivots: int = 256, sample: int = 4096) -> np.ndarray:
+    """At most `pivots` vectors of length 1, far from each other.
+
+    They come from a sample of `sample` of the `count` rows (those with the smallest hashes of
+    their ids; about twice as many are looked at); each next one is least like those before it.
+    """
+    some = F.pmod(F.xxhash64("vector_id"), F.lit(1 << 30))
+    near = vectors.filter(some < int(min(1.0, 2 * sample / max(1, count)) * (1 << 30)))
+    rows = near.orderBy(some, "vector_id").limit(sample).select("vector").collect()
     if not rows:
         return np.zeros((0, 0))
     x = np.array([r["vector"] for r in rows])
@@ -93,8 +99,9 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots:
     """
     rows = cut(_usable(vectors))
     asked = cut(_usable(queries))
-    chosen = fit_pivots(rows, pivots)
-    blocks, chunks = -(-rows.count() // BLOCK) or 1, -(-asked.count() // QUERIES) or 1
+    count = rows.count()
+    chosen = fit_pivots(rows, count, pivots)
+    blocks, chunks = -(-count // BLOCK) or 1, -(-asked.count() // QUERIES) or 1
     deal = lambda n: F.pmod(F.xxhash64("vector_id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     data = rows.select("vector_id", "vector", F.lit(0).alias("asked"), deal(blocks).alias("block"), each(chunks).alias("chunk"))
