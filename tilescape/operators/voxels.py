@@ -192,6 +192,7 @@ def quantise(colours: DataFrame, k: int = PALETTE_SIZE, seed: int = 0) -> DataFr
     """Map every distinct colour to one of k centroids (k-means on counted colours).
 
     Counting first replaces sampling: at most 2^24 weighted rows however many pixels there are.
+    `excess` is how much farther (squared) the colour's own centroid is than its nearest one.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import vector_to_array
@@ -202,7 +203,9 @@ def quantise(colours: DataFrame, k: int = PALETTE_SIZE, seed: int = 0) -> DataFr
     model = KMeans(k=k, seed=seed, featuresCol="v", weightCol="w", predictionCol="centroid").fit(vectors)
     centres = F.array(*[F.array(*[F.lit(float(c)) for c in centre]) for centre in model.clusterCenters()])
     picked = F.get(centres, F.col("centroid"))
-    return model.transform(vectors).select("r", "g", "b", "n", "centroid", *[whole(picked[i]).alias(f"q{c}") for i, c in enumerate("rgb")])
+    square = lambda c: (c[0] - F.col("r")) * (c[0] - F.col("r")) + (c[1] - F.col("g")) * (c[1] - F.col("g")) + (c[2] - F.col("b")) * (c[2] - F.col("b"))
+    excess = (square(picked) - F.array_min(F.transform(centres, square))).alias("excess")
+    return model.transform(vectors).select("r", "g", "b", "n", "centroid", excess, *[whole(picked[i]).alias(f"q{c}") for i, c in enumerate("rgb")])
 
 
 # -- Faces --------------------------------------------------------------------

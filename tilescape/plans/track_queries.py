@@ -242,3 +242,21 @@ def st2(spark, sf):
     union all select layer, tx, ty, 'not listed' from (select * from {fx_disk} except all select * from {fx_coverage}) b""")
 def st3(spark, sf):
     return coverage.manifest_difference(fixture(spark, sf, "fx_coverage"), fixture(spark, sf, "fx_disk"))
+
+
+@query("sm3_request_dedupe_stream", "select distinct user_id as viewer, user_id % 20 as tile from events")
+def sm3_stream(spark, sf):
+    asks = lambda e: e.select(F.col("user_id").alias("viewer"), (F.col("user_id") % 20).alias("tile"), "ts")
+    return drained(spark, sf, lambda e: streaming.dedupe_requests(asks(e), ["viewer", "tile"], "ts", "10000 days")).select("viewer", "tile")
+
+
+@query("sm6_deferred_release_stream", """
+    select i.user_id as viewer, i.event_id as seq, epoch_us(g.ts) as opened_us from events i join events g
+    on i.user_id = g.user_id and i.event_type = 'click' and g.event_type = 'signup' and g.ts between i.ts - interval 12 hours and i.ts + interval 12 hours""")
+def sm6_stream(spark, sf):
+    def build(e):
+        items = e.filter("event_type = 'click'").select(F.col("user_id").alias("viewer"), F.col("event_id").alias("seq"), "ts")
+        gates = e.filter("event_type = 'signup'").select(F.col("user_id").alias("viewer"), F.col("ts").alias("opened"))
+        return streaming.release_when_open(items, gates, "viewer", "ts", "opened", "12 hours", "10000 days").filter("opened is not null")
+
+    return drained(spark, sf, build).select("viewer", "seq", F.unix_micros("opened").alias("opened_us"))

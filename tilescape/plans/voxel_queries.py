@@ -161,10 +161,13 @@ def wn25(spark, sf):
     return voxels.colour_voxels(filled(spark, sf)[2], imagery(spark, sf))
 
 
-# Centroids depend on the initialisation; tested by property.
-@query("ag16_colour_quantisation")
+# Centroids depend on the initialisation, so what must hold of them is compared.
+@query("ag16_colour_quantisation", """
+    select count(*) as colours, cast(sum(n) as bigint) as pixels, cast(0 as bigint) as misplaced, true as few from (select r, g, b, count(*) as n from {fx_colours} group by 1, 2, 3) q""")
 def ag16(spark, sf):
-    return voxels.quantise(fixture(spark, sf, "fx_colours").select("r", "g", "b"))
+    q = voxels.quantise(fixture(spark, sf, "fx_colours").select("r", "g", "b"))
+    return q.agg(F.count("*").alias("colours"), F.sum("n").alias("pixels"), F.count_if(F.col("excess") > 1e-6).alias("misplaced"),
+                 (F.count_distinct("centroid") <= voxels.PALETTE_SIZE).alias("few"))
 
 
 FACES = """fs as (select v.tx, axis, sgn as sign, case axis when 'x' then v.ix when 'y' then v.iy else v.iz end as slab, case axis when 'x' then v.iy else v.ix end as u,

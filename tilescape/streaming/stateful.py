@@ -45,7 +45,9 @@ class _Ring(StatefulProcessor):
         resident = {tuple(int(v) for v in k) for k in self.tiles.keys()}
         before, events = set(resident), []
         reach = range(-self.radius, self.radius + 1)
-        for at, x, y in _in_order(rows, order)[[order, cx, cy]].itertuples(index=False):
+        path = _in_order(rows, order)[[order, cx, cy]]
+        moved = (path[cx] != path[cx].shift()) | (path[cy] != path[cy].shift())  # a stay in one tile changes nothing
+        for at, x, y in path[moved].itertuples(index=False):
             far = [t for t in resident if max(abs(t[0] - x), abs(t[1] - y)) > self.radius + self.margin]
             fresh = [(x + dx, y + dy) for dx in reach for dy in reach if (x + dx, y + dy) not in resident]
             events += [(key[0], *t, "evict", at) for t in far] + [(key[0], *t, "load", at) for t in fresh]
