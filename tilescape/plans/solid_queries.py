@@ -132,8 +132,14 @@ def matched(spark, sf):
     return footprints.match_records(centres(spark, sf), rec, "fid", "rec_id", 600, 1000)
 
 
-# Sequential by definition: tested against a brute-force loop instead of SQL.
-@query("jn10_one_to_one_match")
+# Footprints of a tile choose one after the other; `taken` holds the records that are gone.
+@query("jn10_one_to_one_match", f"""
+    {MATCH}, c as (select fid, fid // 500 as tile, list(struct_pack(d2 := cast(d2 as bigint), rec := rec_id) order by d2, rec_id) as cs from pairs group by 1),
+         o as (select *, row_number() over (partition by tile order by fid) as k from c),
+         g as (select distinct tile, cast(0 as bigint) as k, cast([] as bigint[]) as taken, cast(null as bigint) as fid, cast(null as bigint) as rec_id, cast(null as bigint) as d2 from o
+               union all select tile, k, case when p is null then taken else list_append(taken, p.rec) end, fid, p.rec, p.d2
+               from (select o.tile, o.k, g.taken, o.fid, list_filter(o.cs, lambda x: not list_contains(g.taken, x.rec))[1] as p from g join o on o.tile = g.tile and o.k = g.k + 1) q)
+    select fid, rec_id, d2 from g where rec_id is not null""")
 def jn10(spark, sf):
     return matched(spark, sf).select("fid", "rec_id", F.col("d2").cast("bigint").alias("d2"))
 
