@@ -89,7 +89,7 @@ def train(extracts: DataFrame, labels: DataFrame, domains: Sequence[str]) -> Cla
     rest = labelled.filter(~half)
     share = min(1.0, CALIBRATION_ROWS / max(1, rest.count()))
     some = F.pmod(F.xxhash64("extract_id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))
-    scored = rest.filter(some).limit(2 * CALIBRATION_ROWS).select("domain", "buckets").mapInPandas(_scored(model), "domain string, scores array<double>").collect()
+    scored = rest.filter(some).select("domain", "buckets").mapInPandas(_scored(model), "domain string, scores array<double>").limit(2 * CALIBRATION_ROWS).collect()
     if scored:
         model.calibrate(np.array([r["scores"] for r in scored]), np.array([list(domains).index(r["domain"]) for r in scored]))
     return model
