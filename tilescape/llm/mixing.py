@@ -14,8 +14,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 14
 #: Standard deviations by which a domain's count of a bucket must differ from chance to have a weight.
 CLEAR = 4.0
-#: Labelled texts that the calibration is fitted on (about; at most twice as many, should hashes be uneven).
-CALIBRATION_ROWS = 20_000
+#: Labelled texts that the classifier is fitted on (about; at most twice as many, should hashes be uneven).
+LABELLED_ROWS = 60_000
 
 
 def _features(text: str) -> Column:
@@ -73,23 +73,25 @@ class Classifier:
 
 
 def train(extracts: DataFrame, labels: DataFrame, domains: Sequence[str]) -> Classifier:
-    """Counts words over half of all labelled extracts and calibrates on about CALIBRATION_ROWS of the other half.
+    """A classifier fitted on about LABELLED_ROWS labelled extracts: words are counted over one half, and the other calibrates.
 
-    `labels` (extract_id, domain); domains not listed are left out. Halves and rows are
-    chosen by the hash of the id.
+    `labels` (extract_id, domain); domains not listed are left out. Extracts and halves are
+    chosen by the hash of the id. The chosen ids are few (at most twice LABELLED_ROWS), so
+    they are broadcast and no text moves for them.
     """
     known = labels.select("extract_id", "domain").filter(F.col("domain").isin(*domains) & F.col("extract_id").isNotNull()).groupBy("extract_id").agg(F.max("domain").alias("domain"))
+    share = min(1.0, LABELLED_ROWS / max(1, known.count()))
+    place = F.pmod(F.xxhash64("extract_id", F.lit(1)), F.lit(1 << 30))
+    some = known.filter(place < int(share * (1 << 30))).limit(2 * LABELLED_ROWS)
     half = F.pmod(F.xxhash64("extract_id"), F.lit(2)) == 0
-    labelled = cut(extracts.select("extract_id", "buckets").join(known, "extract_id"))
+    labelled = cut(extracts.select("extract_id", "buckets").join(F.broadcast(some), "extract_id"))
     counts = np.zeros((len(domains), BUCKETS + 1), np.int64)
     parts = labelled.filter(half).select("domain", "buckets").mapInPandas(_count(list(domains)), "d int, bucket int, n long")
     for r in parts.groupBy("d", "bucket").agg(F.sum("n").alias("n")).collect():  # at most domains * BUCKETS rows
         counts[r["d"], r["bucket"]] = r["n"]
     model = Classifier(domains, counts)
-    rest = labelled.filter(~half)
-    share = min(1.0, CALIBRATION_ROWS / max(1, rest.count()))
-    some = F.pmod(F.xxhash64("extract_id", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))
-    scored = rest.filter(some).select("domain", "buckets").mapInPandas(_scored(model), "domain string, scores array<double>").limit(2 * CALIBRATION_ROWS).collect()
+    scored = (labelled.filter(~half).select("domain", "buckets").mapInPandas(_scored(model), "domain string, scores array<double>")
+              .limit(2 * LABELLED_ROWS).collect())
     if scored:
         model.calibrate(np.array([r["scores"] for r in scored]), np.array([list(domains).index(r["domain"]) for r in scored]))
     return model
