@@ -117,3 +117,22 @@ def test_empty_stages(spark, sf):
     empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def sharp(spark, share):
+    """20,000 rows of two domains, of which the second has about the given share."""
+    rng = np.random.default_rng(1)
+    low = rng.beta(0.5, 30, 20_000) * 0.1
+    second = np.where(rng.random(20_000) < share, 1 - low, low)
+    p, tokens = np.stack([1 - second, second], 1), rng.integers(20, 2000, 20_000)
+    return p, tokens.astype(float), spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(tokens, p)], "tokens long, posterior array<double>")
+
+
+def test_fit_under_a_binding_bound_is_the_optimum(spark):
+    for share in (0.001, 0.005, 0.01):
+        p, tokens, rows = sharp(spark, share)
+        targets = np.array([1.0, 0.05 / 0.95]) * (tokens @ p)[0]
+        r = mixing.rates_of(p, mixing.fit_prices(rows, targets, 4.0), 4.0)
+        slope = p @ ((r * tokens) @ p - targets) / tokens.sum()  # of the objective, by each rate
+        assert r.max() == 4
+        assert (slope[r < 4] > -1e-6).all() and (slope[r > 0] < 1e-6).all()
