@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from tilescape.llm import mixing
-from tilescape.llm.queries import domain_labels, extracts
+from tilescape.llm.queries import MIX, QUERIES, domain_labels, extracts
 
 from .test_near_copies import plain_near
 from .test_rules_and_tokens import plain_ids, plain_measures
@@ -136,3 +136,24 @@ def test_fit_under_a_binding_bound_is_the_optimum(spark):
         slope = p @ ((r * tokens) @ p - targets) / tokens.sum()  # of the objective, by each rate
         assert r.max() == 4
         assert (slope[r < 4] > -1e-6).all() and (slope[r > 0] < 1e-6).all()
+
+
+@pytest.fixture(scope="module")
+def scarce(spark, tmp_path_factory):
+    """A folder of documents of which one in a hundred is poor and one in ten toxic."""
+    rng, rows = np.random.default_rng(3), []
+    for i in range(2000):
+        domain = "poor" if i % 100 == 7 else "toxic" if i % 10 == 3 else "good"
+        rows.append((i, domain, " ".join([f"{domain}{k}" for k in rng.permutation(20)[:14]] + rng.choice(["the", "of", "and", "in"], 60).tolist())))
+    folder = str(tmp_path_factory.mktemp("scarce"))
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, _, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int(d == "good"), int(d == "toxic")) for i, d, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_scarce_domain_meets_its_target(spark, scarce):
+    got = QUERIES["op6_mixing_rates"](spark, scarce).toPandas()
+    p, tokens = got[[f"p_{d}" for d in MIX]].to_numpy(), got.tokens.to_numpy(float)
+    share = np.array(list(MIX.values()))
+    assert got.rate.max() > 4
+    assert (got.rate.to_numpy() * tokens) @ p == pytest.approx(share / share[0] * (tokens @ p)[0], rel=1e-3)

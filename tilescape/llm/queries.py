@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -187,6 +188,6 @@ def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_mixing_rates")
 def op6(spark, sf):
-    mixed = mixing.mix_extracts(extracts(spark, sf), domain_labels(spark, sf), MIX)
+    mixed = mixing.mix_extracts(extracts(spark, sf), domain_labels(spark, sf), MIX, max_rate=math.inf)
     p = [F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(MIX)]
     return mixed.select(F.col("extract_id").alias("doc_id"), "tokens", *p, "rate", "copies")
