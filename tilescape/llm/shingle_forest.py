@@ -1,4 +1,4 @@
-"""Similarity join of texts on their word 5-grams, by a forest of signature prefixes."""
+"""Similarity join of texts on their word 5-grams, by bands of signatures of one fixed depth."""
 
 from __future__ import annotations
 
@@ -25,7 +25,7 @@ KEY = "_null boolean, _id long, _hash long"
 
 
 def forest_depth(similarity: float, recall: float, trees: int = TREES, max_depth: int = MAX_DEPTH) -> int:
-    """Prefixes are shortened from `max_depth` until a pair at the threshold meets in some tree with probability `recall`."""
+    """The depth of all bands, from the two constants alone: the largest up to `max_depth` at which a pair at the threshold meets in some tree with probability `recall`."""
     depth = max_depth
     while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
         depth -= 1
@@ -201,9 +201,10 @@ def near_extracts(extracts: DataFrame, similarity: float = 0.8, recall: float =
     by links; `class_id` is the smallest extract_id of the class, `class_size` its rows and
     `first` marks the row to keep: the smallest by id (null last), then by hash of the text.
 
-    Method: LSH forest. Texts with equal window sets are one node. Each node has TREES
-    signatures of min-hashes; in each tree nodes meet that share a prefix, shortened until a
-    pair at the threshold meets in some tree with probability `recall` (`forest_depth`).
+    Method: banding at one fixed depth, which stands for an LSH forest. Texts with equal
+    window sets are one node. Each node has TREES signatures of min-hashes; in each tree
+    nodes meet that share the first `forest_depth` of them, so that a pair at the threshold
+    meets in some tree with probability `recall`. No prefix is adapted to the data.
     Groups are split in blocks of BLOCK nodes and each pair of blocks is a unit, so a large
     group of near copies is spread over tasks and no pair is ever a row. A pair counts in the
     first tree where it meets, and there it is verified exactly on the windows of the whole
