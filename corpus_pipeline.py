@@ -7,16 +7,16 @@ null doc_id stays null. An empty table stays empty.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tilescape.llm import line_runs, mixing, packing, quality_rules, shingle_forest
 from tilescape.llm._common import DOC, cut, keyed, read
-from tilescape.llm.queries import domain_labels, quality_verdicts, tokenizer_path
+from tilescape.llm.queries import MIX, domain_labels, quality_verdicts, tokenizer_path
 
 #: SQL cannot express the tokenizer and the trained classifier: tested against brute force instead.
 ORACLE_SQL = None
-#: Shares of tokens; what is poor has gone before, and the first domain keeps what it has.
-MIX = {"good": 0.95, "toxic": 0.05}
 
 
 def _extracts(docs: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says."""
     extracts = _extracts(docs)
-    mixed = mixing.mix_extracts(extracts, domain_labels(spark, sf_dir), MIX)
+    mixed = mixing.mix_extracts(extracts, domain_labels(spark, sf_dir), MIX, max_rate=math.inf)
     often = mixed.filter("copies > 0").select(F.col("extract_id").isNull().alias("_null"), F.coalesce("extract_id", F.lit(0)).alias("_id"), "_hash", "copies").distinct()
     return _documents(keyed(extracts).join(often, DOC).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)
 

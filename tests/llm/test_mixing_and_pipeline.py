@@ -157,3 +157,10 @@ def test_scarce_domain_meets_its_target(spark, scarce):
     share = np.array(list(MIX.values()))
     assert got.rate.max() > 4
     assert (got.rate.to_numpy() * tokens) @ p == pytest.approx(share / share[0] * (tokens @ p)[0], rel=1e-3)
+
+
+def test_pipeline_mixes_poor_documents_to_their_target(spark, scarce):
+    docs = spark.read.parquet(f"{scarce}/documents.parquet")
+    n = Counter("poor" if r.doc_id % 100 == 7 else "toxic" if r.doc_id % 10 == 3 else "good" for r in corpus_pipeline.mix(spark, docs, scarce).collect())
+    assert n["poor"] / n["good"] == pytest.approx(MIX["poor"] / MIX["good"], rel=0.15)
+    assert n["toxic"] / n["good"] == pytest.approx(MIX["toxic"] / MIX["good"], rel=0.15)

@@ -22,7 +22,7 @@ SOFT = 1e-8
 CONVERGED = 1e-11
 #: Lengths 1, 1/2, 1/4, ... of a Newton step that one pass evaluates.
 STEP_LENGTHS = 24
-#: Passes after which a fit fails (cases of both kinds, targets met and not met, took 2 to 22).
+#: Passes after which a fit fails (random cases took 2 to 97).
 MOST_PASSES = 200
 
 
