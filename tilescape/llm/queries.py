@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import archives, line_runs, mixing, notices, packing, pivot_index, quality_rules, shingle_forest, token_records, url_rules
+from . import (archives, fill_middle, line_runs, mixing, notices, packing, periodic_runs, pivot_index, quality_rules, shingle_forest, token_records,
+               toxicity, url_rules)
 from ._common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +192,96 @@ def op6(spark, sf):
     mixed = mixing.mix_extracts(extracts(spark, sf), domain_labels(spark, sf), MIX, max_rate=math.inf)
     p = [F.get("posterior", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(MIX)]
     return mixed.select(F.col("extract_id").alias("doc_id"), "tokens", *p, "rate", "copies")
+
+
+# -- Fill in the middle -------------------------------------------------------
+
+def _hex_number(i: int) -> str:
+    """The i-th 8-digit group of the hex digest `h` as a number."""
+    return f"cast('0x' || h[{8 * i + 1}:{8 * i + 8}] as bigint)"
+
+
+@query("op12_fill_middle", rf"""
+    with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || doc_id) as h from documents),
+         k as (select *, len(u) as n, {_hex_number(0)} % (len(u) + 1) as a, {_hex_number(1)} % (len(u) + 1) as b,
+                      case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or {_hex_number(2)} % 100 >= 100 then 'plain'
+                           when {_hex_number(3)} % 100 < 50 then 'spm' else 'psm' end as form from d),
+         p as (select *, array_to_string(u[1:least(a, b)], '') as pre, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') as mid,
+                      array_to_string(u[greatest(a, b) + 1:], '') as suf from k)
+    select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+           sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+           sha256(t) as restored_sha256 from p""")
+def op12(spark, sf):
+    cut = fill_middle.restore_texts(fill_middle.fill_middle(extracts(spark, sf)))
+    return cut.select(F.col("extract_id").alias("doc_id"), F.col("n_lines").alias("n"), "form", "prefix_chars", "middle_chars",
+                      F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256"))
+
+
+# -- Periodic runs ------------------------------------------------------------
+
+def with_planted_runs(texts: DataFrame) -> DataFrame:
+    """Every tenth text by the CRC-32 of its id becomes periodic from one of its words on."""
+    space = F.array_remove(F.split(F.coalesce("text", F.lit("")), quality_rules.SPACE), "")
+    # A null id draws like the id `null`.
+    h = F.crc32(F.coalesce(F.col("extract_id").cast("string"), F.lit("null")))
+    words = texts.select("extract_id", "text", F.when(h % 10 == 0, space).alias("_w"), F.floor(h / 10).alias("_g"))
+    start = words.select("*", F.size("_w").alias("_n"), F.when(F.size("_w") > 0, F.col("_g") % F.size("_w")).cast("int").alias("_a"))
+    period = start.select("*", (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int").alias("_p"))
+    at = lambda w, i: F.get("_w", F.when(i >= F.col("_a"), F.col("_a") + (i - F.col("_a")) % F.col("_p")).otherwise(i))
+    return period.select("extract_id", F.when(F.col("_n") > 0, F.array_join(F.transform("_w", at), " ")).otherwise(F.col("text")).alias("text"))
+
+
+#: Window widths of the SQL below; a period of over 32,768 words would take a wider one.
+_WIDTHS = [8 << k for k in range(13)]
+
+
+def _runs_sql() -> str:
+    """Maximal runs by plain SQL: a window at least as long as the period occurs next exactly one period later, all along a run."""
+    bits = "list_reduce([xor(a, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    names, found = [], []
+    for k, g in enumerate([1, 2, 4, *_WIDTHS]):
+        if g > 1:
+            names.append(f"n{g} as (select doc_id, i, dense_rank() over (order by x.c, y.c) as c from n{g // 2} x join (select doc_id, i - {g // 2} as i, c from n{g // 2}) y using (doc_id, i))")
+        if g >= 8:
+            low = 0 if g == 8 else g // 2
+            found.append(f"select doc_id, {g} as g, i, d from (select doc_id, i, lead(i) over (partition by doc_id, c order by i) - i as d from n{g}) q where d > {low} and d <= {g}")
+    return rf"""
+    with b as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') as w, list_transform(string_split(cast(doc_id as varchar), ''), lambda s: ascii(s)) as ds from documents),
+         h as (select doc_id, w, len(w) as n, xor(4294967295, list_reduce(list_prepend(4294967295, ds), lambda a, b: {bits})) as h from b),
+         a as (select *, case when h % 10 = 0 and n > 0 then (h // 10) % n end as a, (h // 10) % 8 as e from h),
+         t as (select doc_id, n, case when a is null then w else list_transform(range(n), lambda i: w[case when i >= a then a + (i - a) % (1 + (n - a) // (3 + e)) else i end + 1]) end as w from a),
+         u as (select doc_id, unnest(w) as word, unnest(range(n)) as i from t),
+         n1 as (select doc_id, i, dense_rank() over (order by word) as c from u), {', '.join(names)},
+         s as ({' union all '.join(found)}),
+         o as (select doc_id, g, d, i, i - row_number() over (partition by doc_id, g, d order by i) as island from s),
+         r as (select doc_id, d as q, min(i) as lo, max(i) + any_value(g) + d as hi from o group by doc_id, g, d, island),
+         m as (select * from r where hi - lo >= greatest(24, 3 * q)),
+         e as (select doc_id, unnest(range(lo + q, hi)) as i from m),
+         k as (select u.doc_id, string_agg(word, ' ' order by u.i) as kept from u anti join e on e.doc_id = u.doc_id and e.i = u.i group by 1),
+         c as (select doc_id, count(*) as n_runs, string_agg(lo || ',' || (hi - lo) || ',' || q || chr(10), '' order by lo, q) as runs,
+                      min(struct_pack(x := -(hi - lo)::double / q, s := lo, p := q, l := hi - lo)) as best from m group by 1)
+    select t.doc_id, coalesce(n_runs, 0) as n_runs, best.s as start, best.l as length, best.p as period, 1000 * best.l // best.p as exponent_milli,
+           sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+    from t left join c using (doc_id) left join k using (doc_id)"""
+
+
+@query("op13_periodic_runs", _runs_sql())
+def op13(spark, sf):
+    found = periodic_runs.collapse_runs(with_planted_runs(extracts(spark, sf)))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"].cast("double") / r["period"]).alias("x"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return (found.select("*", best.alias("_b"), lines.alias("_lines"))
+            .select(F.col("extract_id").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"), "_b.start", "_b.length", "_b.period",
+                    F.floor(F.col("_b.length") * 1000 / F.col("_b.period")).alias("exponent_milli"), F.sha2("_lines", 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256")))
+
+
+# -- Toxicity -----------------------------------------------------------------
+
+@query("op11_toxicity")
+def op11(spark, sf):
+    fold = lambda c: F.crc32(F.col(c).cast("string")) % 5
+    learnt = read(spark, sf, "labels").filter(fold("doc_id") != 0).select(F.col("doc_id").alias("extract_id"), "toxic")
+    scored = toxicity.score_extracts(extracts(spark, sf), learnt)
+    return scored.select(F.col("extract_id").alias("doc_id"), F.coalesce(fold("extract_id") == 0, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
