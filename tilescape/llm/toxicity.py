@@ -33,8 +33,8 @@ LEAST_TEXTS, LEAST_RATIO, SURE = 3, 4.0, 1.96
 NEAR = 5
 #: Terms whose weight (the sure log ratio) is at least this are counted apart.
 STRONG = 2.5
-#: Terms a task counts before it passes the counts on.
-FLUSH = 300_000
+#: Terms a task counts before it passes the counts on, and words whose features it holds at once.
+FLUSH, WORDS_AT_ONCE = 200_000, 100_000
 
 FEATURES = ("terms", "strong_terms", "weight", "top_weight", "n_strong", "n_distinct", "second_person", "near_second_person",
             "capital_words", "capital_letters", "exclamations", "punctuation", "disguised", "disguised_terms", "n_words")
@@ -67,7 +67,7 @@ def _weight(word: str, lexicon: Mapping[str, float]) -> float:
 
 
 class _Tokens(dict):
-    """token -> row of `rows`: what the features need of it. One per batch, so it stays bounded."""
+    """token -> row of `rows`: what the features need of it. One per call of `feature_rows`, so it stays bounded."""
 
     def __init__(self, lexicon: Mapping[str, float]):
         super().__init__()
@@ -117,7 +117,14 @@ def features(text: Column, lexicon: Mapping[str, float]) -> Column:
 
     @F.pandas_udf("array<double>")
     def rows(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(feature_rows(texts.tolist(), lexicon)))
+        out, held, words = [], [], 0
+        for text in texts:
+            held.append(text)
+            words += text.count(" ") + 1
+            if words >= WORDS_AT_ONCE:
+                out += feature_rows(held, lexicon).tolist()
+                held, words = [], 0
+        return pd.Series(out + feature_rows(held, lexicon).tolist() if held else out, dtype=object)
 
     return rows(F.coalesce(text.cast("string"), F.lit("")))
 
