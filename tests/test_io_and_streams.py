@@ -43,9 +43,9 @@ def test_rejected_documents_of_every_kind(spark):
             "places": {"features": []}, "trace": {"samples": []}}
     bad = {"trees": {"trees": 4}, "roofs": {"roofs": [{"at": [1]}]}, "paint": {"ribbons": {}}, "manifest": {"trees": {"zoom": 3}}, "elements": {}, "pins": {"pin": []}, "places": {"features": 1}, "trace": {}}
     for kind in good:
-        rows = [("/g", json.dumps(good[kind])), ("/b", json.dumps(bad[kind])), ("/n", "no json")]
+        rows = [("/1/1.json", json.dumps(good[kind])), ("/1/2.json", json.dumps(bad[kind])), ("/1/3.json", "no json")]
         got = sources.rejected(spark.createDataFrame(rows, "path string, value string"), kind)
-        assert sorted(map(tuple, got.collect())) == [("/b", "unexpected shape"), ("/n", "not a JSON object")], kind
+        assert sorted(map(tuple, got.collect())) == [("/1/2.json", "unexpected shape"), ("/1/3.json", "not a JSON object")], kind
 
 
 def test_stream_reads_a_table_of_many_files(spark, sf, tmp_path):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tilescape import sinks, sources
 from tilescape.functions import classify
 from tilescape.operators import graph, paint, places, qa, raster
+from tilescape.session import checkpoint_dir
 
 from .fixtures import fixture, spark_table, tag_map
 from .registry import query
@@ -287,6 +290,43 @@ def src5(spark, sf):
     return out
 
 
+def new_folder(spark, name):
+    """A folder for one run, shared by all executors."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("src4_tile_folders", f"select tx, ty, a as lon_e7, b as lat_e7, c as height_dm, d as crown_dm from ({TREE_ROWS}) t")
+def src4_folders(spark, sf):
+    """Written tree documents in three parts, read from their folders."""
+    folder = new_folder(spark, "trees")
+    sinks.write_documents(sinks.tree_documents(small_trees(spark, sf), buckets=3), folder, layer="trees", zoom=14)
+    return sources.tree_rows(sources.read_tiles(spark, folder))
+
+
+@query("src6_tile_folders", """
+    select rec_id // 50 as tx, tx - 2616 as ty, x_cm as lon_e7, y_cm as lat_e7, shape, eave_dm, rec_id % 9 as rise_dm, rec_id * 7 % 36000 as ridge_cdeg from {fx_records} where rec_id // 50 between 3 and 17""")
+def src6_folders(spark, sf):
+    """Written roof documents in two parts; a range of tiles is picked by folders."""
+    folder = new_folder(spark, "roofs")
+    sinks.write_documents(sinks.roof_documents(small_roofs(spark, sf), buckets=2), folder, layer="roofs", zoom=14)
+    return sources.roof_rows(sources.read_tiles(spark, folder).filter("layer = 'roofs' and zoom = 14 and tx between 3 and 17"))
+
+
+@query("src5_tile_folders", f"""
+    with e as (select *, {KIND} as kind, {TILE14} from {{fx_elements}}),
+         w as (select tx, ty, kind, closed, kind in ('plaza', 'court', 'parking', 'sand', 'pier_deck') and closed = 1 as polygon from e where type = 'way' and kind is not null)
+    select tx, ty, case when polygon then 'polygons' else 'ribbons' end as part, kind, count(*) as n from w group by 1, 2, 3, 4
+    union all select tx, ty, 'decals', 'crosswalk', count(*) from e
+    where type = 'node' and (highway = 'crossing' or crossing is not null) and coalesce(crossing, '') not in ('unmarked', 'no') group by 1, 2""")
+def src5_folders(spark, sf):
+    """Written paint documents, read from their folders."""
+    folder = new_folder(spark, "paint")
+    sinks.write_documents(all_paint(spark, sf), folder, layer="paint", zoom=14)
+    parts = sources.paint_parts(sources.read_tiles(spark, folder)).items()
+    counted = [rows.groupBy("tx", "ty", F.lit(name).alias("part"), "kind").agg(F.count("*").alias("n")) for name, rows in parts]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
 @query("src7_coverage_rows", "select layer, tx, ty from {fx_coverage}")
 def src7(spark, sf):
     doc = sinks.manifest_json(sinks.coverage_of_paths(asset_paths(spark, sf))).select(F.lit("manifest.json").alias("path"), F.col("json").alias("value"))
@@ -295,17 +335,33 @@ def src7(spark, sf):
 
 @query("src2_element_rows", "select type, id, highway, closed from {fx_elements}")
 def src2(spark, sf):
-    return elements_again(spark, sf).select("type", "id", F.element_at("tags", F.lit("highway")).alias("highway"),
-                                            F.when(F.col("type") == "node", F.col("id") % 2).otherwise((F.size("geometry") == 5).cast("bigint")).alias("closed"))
+    return element_facts(elements_again(spark, sf))
 
 
-def elements_again(spark, sf):
-    """Elements written as documents of fifty and read back."""
+def element_documents(spark, sf, size):
+    """(doc, value): elements as documents of so many ids."""
     e = element_paths(spark, sf)
-    members = F.array(F.struct(F.lit("outer").alias("role"), F.col("geometry")), F.struct(F.lit("inner").alias("role"), F.col("geometry")))
+    members = F.array(F.struct(F.lit("way").alias("type"), F.lit("outer").alias("role"), F.col("geometry")), F.struct(F.lit("way").alias("type"), F.lit("inner").alias("role"), F.col("geometry")))
     one = F.struct("type", "id", F.col("geometry")[0]["lon"].alias("lon"), F.col("geometry")[0]["lat"].alias("lat"), "tags", "geometry", members.alias("members"))
-    docs = e.groupBy(F.expr("id div 50").alias("doc")).agg(F.to_json(F.struct(F.collect_list(one).alias("elements"))).alias("value"))
-    return sources.element_rows(docs.select(F.col("doc").cast("string").alias("path"), "value"))
+    return e.groupBy(F.expr(f"id div {size}").alias("doc")).agg(F.to_json(F.struct(F.collect_list(one).alias("elements"))).alias("value"))
+
+
+def elements_again(spark, sf):
+    """Elements written as documents of fifty and read back."""
+    return sources.element_rows(element_documents(spark, sf, 50).select(F.col("doc").cast("string").alias("path"), "value"))
+
+
+def element_facts(elements):
+    return elements.select("type", "id", F.element_at("tags", F.lit("highway")).alias("highway"),
+                           F.when(F.col("type") == "node", F.col("id") % 2).otherwise((F.size("geometry") == 5).cast("bigint")).alias("closed"))
+
+
+@query("src2_split_extracts", "select type, id, highway, closed from {fx_elements}")
+def src2_split(spark, sf):
+    """Extracts of 5,000 ids, one file each; members of relations begin like elements do."""
+    folder = new_folder(spark, "extracts")
+    element_documents(spark, sf, 5000).write.partitionBy("doc").text(folder)
+    return element_facts(sources.read_elements(spark, folder)[0])
 
 
 @query("src3_building_rings", "select id, count(*) as n from {fx_elements} where type <> 'node' group by 1")

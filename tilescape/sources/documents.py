@@ -1,5 +1,6 @@
 """Readers of JSON documents. Each parser takes a DataFrame of (path, value) text rows.
 
+Tile layers take their tile from columns tx and ty where there are such (`tiles.read_tiles`), else from the path.
 A document that does not have the expected shape is rejected whole: parsers return the
 rows of good documents, and `rejected` the paths of bad ones with the reason.
 """
@@ -8,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .tiles import with_tile
+
 # Declared shapes (never inferred).
 TREES = "struct<trees: array<array<double>>>"
 ROOFS = "struct<roofs: array<struct<at: array<bigint>, shape: double, eave_dm: bigint, rise_dm: bigint, ridge_cdeg: bigint>>>"
@@ -30,16 +33,15 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def with_tile(documents: DataFrame) -> DataFrame:
-    """Add tx, ty from a `.../x/y.json` path."""
-    part = lambda i: F.regexp_extract("path", r"(\d+)/(\d+)\.json$", i).cast("bigint")
-    return documents.withColumns({"tx": part(1), "ty": part(2)})
-
-
 def _parsed(documents: DataFrame, shape: str) -> DataFrame:
     return with_tile(documents).withColumn("d", F.from_json("value", shape))
 
 
+def _in_tile(ok: Column) -> Column:
+    """A document of a tile layer also needs a tile."""
+    return ok & F.col("tx").isNotNull() & F.col("ty").isNotNull()
+
+
 def _tree_ok() -> Column:
     # A non-numeric entry parses to NULL, so it fails the check like a wrong length does.
     return F.coalesce(F.forall("d.trees", lambda t: (F.size(t) == 4) & F.forall(t, lambda v: v.isNotNull())), F.lit(False))
@@ -47,12 +49,12 @@ def _tree_ok() -> Column:
 
 def tree_rows(documents: DataFrame) -> DataFrame:
     """Trees of documents whose every entry is four numbers."""
-    return (_parsed(documents, TREES).filter(_tree_ok()).select("tx", "ty", F.explode("d.trees").alias("t"))
+    return (_parsed(documents, TREES).filter(_in_tile(_tree_ok())).select("tx", "ty", F.explode("d.trees").alias("t"))
             .select("tx", "ty", *[F.col("t")[i].cast("bigint").alias(n) for i, n in enumerate(("lon_e7", "lat_e7", "height_dm", "crown_dm"))]))
 
 
 def rejected_trees(documents: DataFrame) -> DataFrame:
-    return _parsed(documents, TREES).filter(~_tree_ok()).select("path", "tx", "ty")
+    return _parsed(documents, TREES).filter(~_in_tile(_tree_ok())).select("path", "tx", "ty")
 
 
 def _roof_ok() -> Column:
@@ -63,7 +65,7 @@ def _roof_ok() -> Column:
 
 def roof_rows(documents: DataFrame) -> DataFrame:
     """Roof records of documents with only valid records."""
-    return (_parsed(documents, ROOFS).filter(_roof_ok()).select("tx", "ty", F.explode("d.roofs").alias("r"))
+    return (_parsed(documents, ROOFS).filter(_in_tile(_roof_ok())).select("tx", "ty", F.explode("d.roofs").alias("r"))
             .select("tx", "ty", F.col("r.at")[0].alias("lon_e7"), F.col("r.at")[1].alias("lat_e7"), F.col("r.shape").cast("int").alias("shape"),
                     "r.eave_dm", "r.rise_dm", "r.ridge_cdeg"))
 
@@ -78,7 +80,7 @@ def _paint_ok() -> Column:
 
 def paint_parts(documents: DataFrame) -> dict[str, DataFrame]:
     """Ribbons, polygons and decals; a missing list is empty, a list of another type rejects the document."""
-    parsed = with_tile(documents).filter(_paint_ok()).withColumn("d", F.from_json("value", PAINT))
+    parsed = with_tile(documents).filter(_in_tile(_paint_ok())).withColumn("d", F.from_json("value", PAINT))
     return {name: parsed.select("tx", "ty", F.explode(f"d.{name}").alias("_p")).select("tx", "ty", "_p.*")
             for name in ("ribbons", "polygons", "decals")}
 
@@ -139,9 +141,15 @@ _RULES = {
 }
 
 
+#: Kinds whose documents belong to a tile.
+_TILED = ("trees", "roofs", "paint")
+
+
 def rejected(documents: DataFrame, kind: str) -> DataFrame:
     """(path, reason) of the documents that the reader of this kind leaves out."""
     shape, ok = _RULES[kind]
-    bad = documents.withColumn("d", F.from_json("value", shape)).filter(~F.coalesce(ok(), F.lit(False)))
+    placed = with_tile(documents) if kind in _TILED else documents
+    here = _in_tile(F.lit(True)) if kind in _TILED else F.lit(True)
+    bad = placed.withColumn("d", F.from_json("value", shape)).withColumn("_ok", F.coalesce(ok(), F.lit(False))).filter(~(F.col("_ok") & here))
     is_object = F.from_json("value", "map<string, string>").isNotNull()
-    return bad.select("path", F.when(is_object, "unexpected shape").otherwise("not a JSON object").alias("reason"))
+    return bad.select("path", F.when(~is_object, "not a JSON object").when(F.col("_ok"), "no tile in the path").otherwise("unexpected shape").alias("reason"))
