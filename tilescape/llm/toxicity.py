@@ -47,6 +47,8 @@ _TABLE = str.maketrans(DISGUISES)
 def plain_forms(token: str) -> tuple[str, str]:
     """(the word without what surrounds its letters, the word with disguised letters put back)."""
     low = token.lower()
+    if low.isalpha():
+        return low, low
     word = _EDGES.sub("", low)
     if word.isalpha():
         return word, word
@@ -62,26 +64,34 @@ def terms_of(word: str) -> Iterator[str]:
                 yield word[:k]
 
 
-def _weight(word: str, lexicon: Mapping[str, float]) -> float:
-    return max((lexicon[t] for t in terms_of(word) if t in lexicon), default=0.0)
-
-
 class _Tokens(dict):
     """token -> row of `rows`: what the features need of it. One per call of `feature_rows`, so it stays bounded."""
 
     def __init__(self, lexicon: Mapping[str, float]):
         super().__init__()
         self.lexicon, self.rows = lexicon, []
+        self.heads = {t.removeprefix("=")[:STEMS[0]] for t in lexicon}
+
+    def weight(self, word: str) -> float:
+        """The greatest weight of the word's terms. Most words begin like no term."""
+        if word[:STEMS[0]] not in self.heads:
+            return 0.0
+        return max((self.lexicon[t] for t in terms_of(word) if t in self.lexicon), default=0.0)
 
     def __missing__(self, token: str) -> int:
-        word, meant = plain_forms(token)
-        weight = _weight(word, self.lexicon)
-        hidden = _weight(meant, self.lexicon) if meant != word else 0.0
-        capitals = sum(c.isupper() for c in token)
-        letters = sum(c.isalpha() for c in token)
-        marks = sum(token.count(c) for c in "!?")
-        self.rows.append((max(weight, hidden), word in SECOND_PERSON, capitals > 1 and capitals == letters, capitals, marks,
-                          len(token) - letters - marks, meant != word, hidden > weight, len(token)))
+        if token.isalpha() and token.islower():
+            row = (self.weight(token), token in SECOND_PERSON, False, 0, 0, 0, False, False, len(token))
+        else:
+            word, meant = plain_forms(token)
+            weight = self.weight(word)
+            hidden = self.weight(meant) if meant != word else 0.0
+            capitals, letters = len(token), len(token)
+            if not (token.isalpha() and token.isupper()):
+                capitals, letters = sum(map(str.isupper, token)), sum(map(str.isalpha, token))
+            marks = token.count("!") + token.count("?")
+            row = (max(weight, hidden), word in SECOND_PERSON, capitals > 1 and capitals == letters, capitals, marks,
+                   len(token) - letters - marks, meant != word, hidden > weight, len(token))
+        self.rows.append(row)
         self[token] = len(self.rows) - 1
         return self[token]
 
