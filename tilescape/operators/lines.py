@@ -15,8 +15,7 @@ from tilescape.functions import colours, rings, scatter
 from tilescape.functions._base import ColumnLike, clamp, col, explode_items, half_up, num, whole
 from tilescape.functions.classify import compass_bearing
 
-from . import cells
-from tilescape.session import cut
+from . import cells, nearest
 
 # Drape offsets in metres above the surface.
 DRAPE = {"road": 0.6, "lane": 0.63, "green": 0.15, "landuse": 0.12,
@@ -222,51 +221,33 @@ def piers(lines: DataFrame, keep: Sequence[str], path="path", terrain="terrain")
 
 # -- Roads near nodes ---------------------------------------------------------
 
-def nearest_road_bearing(nodes: DataFrame, roads: DataFrame, node_id: str, road_id: str, cell: float = 0.002,
-                         max_cell: float = 360.0) -> DataFrame:
-    """Bearing of the road segment nearest to each node, 0.0 when there is no road.
+def nearest_road_bearing(nodes: DataFrame, roads: DataFrame, node_id: str, road_id: str, piece: float = 0.002) -> DataFrame:
+    """Bearing of the road segment nearest to each node, 0.0 when there is no road. Ties: lowest road, segment.
 
-    Nodes look at their own and adjacent cells; those whose best hit is provably nearest are
-    done, the rest go on with cells twice as large. Long segments are cut into cell-sized
-    pieces first, so a segment occupies cells along itself only. Ties: lowest road, segment.
+    Segments are cut into pieces of at most `piece` degrees along each axis, and a node meets
+    the pieces whose centres can be nearest up to half a piece (`nearest.candidate_pairs`).
     """
     path = F.transform("path", lambda p: _point(p["lon"], p["lat"]))
     legs = segments(roads.select(road_id, path.alias("path"))).select(
         road_id, "seg", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
-    legs = cut(legs)
-    pending, done = nodes.select(node_id, "lon", "lat"), None
-    empty = legs.isEmpty()
-    while True:
-        span = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
-        n = F.greatest(F.ceil(span / cell), F.lit(1).cast("bigint"))
-        at = lambda p, q, k: F.col(p) + (F.col(q) - F.col(p)) * (k / F.col("_n"))
-        pieces = (legs.withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
-                  .withColumns({"_x0": at("ax", "bx", F.col("_k")), "_x1": at("ax", "bx", F.col("_k") + 1),
-                                "_y0": at("ay", "by", F.col("_k")), "_y1": at("ay", "by", F.col("_k") + 1)}))
-        pieces = cells.with_box_cells(pieces, F.least("_x0", "_x1"), F.least("_y0", "_y1"), F.greatest("_x0", "_x1"),
-                                      F.greatest("_y0", "_y1"), cell)
-        pieces = pieces.select(cells.CELL_X, cells.CELL_Y, road_id, "seg", "ax", "ay", "bx", "by").distinct()
-        looks = cells.with_neighbour_cells(pending, "lon", "lat", cell)
-        pairs = looks.join(pieces, [cells.CELL_X, cells.CELL_Y])
-        vx, vy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-        length2 = vx * vx + vy * vy
-        t = F.when(length2 == 0, 0.0).otherwise(clamp(((F.col("lon") - F.col("ax")) * vx + (F.col("lat") - F.col("ay")) * vy) / length2, 0.0, 1.0))
-        pairs = pairs.withColumn("_t", t)
-        east = (F.col("ax") + F.col("_t") * vx - F.col("lon")) * F.cos(F.radians("lat"))
-        distance = F.hypot(east, F.col("ay") + F.col("_t") * vy - F.col("lat"))
-        best = pairs.groupBy(node_id).agg(F.min(F.struct(
-            distance.alias("d"), F.col(road_id), F.col("seg"),
-            compass_bearing(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")).alias("bearing"))).alias("_b"))
-        found = pending.join(best, node_id, "left")
-        sure = F.coalesce(F.col("_b.d") <= F.lit(cell) * F.cos(F.radians("lat")), F.lit(False)) | F.lit(empty or cell >= max_cell)
-        found = cut(found.withColumn("_sure", sure))
-        settled = found.filter("_sure").select(node_id, F.coalesce("_b.bearing", F.lit(0.0)).alias("bearing"),
-                                               F.col("_b.d").alias("distance"))
-        done = settled if done is None else done.unionByName(settled)
-        pending = found.filter("not _sure").select(node_id, "lon", "lat")
-        if pending.isEmpty():
-            return done
-        cell *= 2
+    span = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
+    many = F.greatest(F.ceil(span / piece), F.lit(1).cast("bigint"))
+    counted = legs.withColumn("_n", many)
+    at = lambda p, q: F.col(p) + (F.col(q) - F.col(p)) * ((F.col("_k") + 0.5) / F.col("_n"))
+    pieces = (counted.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
+              .select(road_id, "seg", "ax", "ay", "bx", "by", at("ax", "bx").alias("_mx"), at("ay", "by").alias("_my")))
+    places = nodes.select(node_id, "lon", "lat")
+    pairs = nearest.candidate_pairs(places, pieces, 1, ("lon", "lat"), ("_mx", "_my"), scale=F.cos(F.radians("lat")), slack=piece * 0.7072)
+    vx, vy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    length2 = vx * vx + vy * vy
+    t = F.when(length2 == 0, 0.0).otherwise(clamp(((F.col("lon") - F.col("ax")) * vx + (F.col("lat") - F.col("ay")) * vy) / length2, 0.0, 1.0))
+    pairs = pairs.withColumn("_t", t)
+    east = (F.col("ax") + F.col("_t") * vx - F.col("lon")) * F.cos(F.radians("lat"))
+    distance = F.hypot(east, F.col("ay") + F.col("_t") * vy - F.col("lat"))
+    best = pairs.groupBy(node_id).agg(F.min(F.struct(
+        distance.alias("d"), F.col(road_id), F.col("seg"),
+        compass_bearing(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")).alias("bearing"))).alias("_b"))
+    return places.join(best, node_id, "left").select(node_id, F.coalesce("_b.bearing", F.lit(0.0)).alias("bearing"), F.col("_b.d").alias("distance"))
 
 
 # -- Walls --------------------------------------------------------------------

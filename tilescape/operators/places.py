@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tilescape.functions.classify import PIN_MAX_VISIBLE, PIN_RANGE_M, pin_range
 
-from . import cells
+from . import cells, nearest
 
 BAY = {"west": -123.1, "south": 37.2, "east": -121.6, "north": 38.2}
 
@@ -29,6 +29,17 @@ def pins_in_range(probes: DataFrame, pins: DataFrame, probe_id: str, x="x", z="z
     return near.withColumn("d2", dx * dx + dz * dz).drop("_range", "_x0", "_x1", "_z0", "_z1", "_px", "_pz")
 
 
+def nearest_pins(probes: DataFrame, pins: DataFrame, probe_id: str, pin_id: str, x="x", z="z", k: int = PIN_MAX_VISIBLE) -> DataFrame:
+    """The k nearest pins in range (closed, by tier) of each probe, with `d2` and `rank`; equal distances take the lower id.
+
+    Only pins that can be among a tier's k nearest are joined with a probe, however many are in range.
+    """
+    tiers = pins.withColumn("_tier", F.when(F.col("tier").isin(*PIN_RANGE_M), F.col("tier").cast("int")).otherwise(0))  # an unknown tier has range 0
+    placed = tiers.withColumnsRenamed({x: "_px", z: "_pz"})
+    near = nearest.nearest_points(probes.select(probe_id, x, z), placed, probe_id, pin_id, k, (x, z), ("_px", "_pz"), "_tier", {0: 0.0, **PIN_RANGE_M})
+    return near.drop("_px", "_pz", "_tier")
+
+
 def nearest_k(pairs: DataFrame, by: Sequence[str], order: Sequence[str], k: int = PIN_MAX_VISIBLE, rank="rank") -> DataFrame:
     """The k nearest rows per probe. The row-number limit is applied before the shuffle as well."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -25,8 +25,7 @@ NEAREST = f"""with d as (select seq, pin_id, (p.x_m - q.x_m) ** 2 + (p.z_m - q.z
 
 
 def nearest_pins(spark, sf):
-    near = places.pins_in_range(fixture(spark, sf, "fx_view_poses"), fixture(spark, sf, "fx_view_pins"), "seq", "x_m", "z_m")
-    return places.nearest_k(near, ["seq"], ["d2", "pin_id"])
+    return places.nearest_pins(fixture(spark, sf, "fx_view_poses"), fixture(spark, sf, "fx_view_pins"), "seq", "pin_id", "x_m", "z_m")
 
 
 @query("jn17_pins_in_view", f"{NEAREST} select seq, pin_id, cast(d2 as bigint) as d2 from r where rank <= 48")
