@@ -304,3 +304,40 @@ def test_voxels_without_a_pixel_keep_their_colour(spark):
     image = spark.createDataFrame([(1, 1, 0, 10, 20, 30)], "tx long, ix long, iz long, r long, g long, b long")
     got = {(r.ix, r.iy): (r.r, r.g, r.b) for r in voxels.colour_voxels(v, image).collect()}
     assert len(got) == 3 and got[0, 5] == (196, 148, 108) and got[0, 4] == (220, 196, 168)
+
+
+def test_distance_transform_equals_all_pairs():
+    """Ties, single known cells, flat and narrow tiles."""
+    import numpy as np
+    from tilescape.operators.distance import nearest_known
+    rnd = np.random.default_rng(8)
+    for n in range(250):
+        ny, nx = rnd.integers(1, 14, 2)
+        known = rnd.random((ny, nx)) < rnd.choice([0.03, 0.2, 0.6, 1.0])
+        found = nearest_known(known)
+        cells = [(int(y), int(x)) for y, x in zip(*np.nonzero(known))]
+        assert (found is None) == (not cells)
+        for y in range(ny if cells else 0):
+            for x in range(nx):
+                want = min(((y - r) ** 2 + (x - c) ** 2, r, c) for r, c in cells)
+                assert (found[2][y, x], found[0][y, x], found[1][y, x]) == want
+
+
+def test_distance_transform_costs_the_same_for_one_known_cell():
+    import time
+    import numpy as np
+    from tilescape.operators.distance import nearest_known
+    took = []
+    for known in (np.ones((600, 600), dtype=bool), np.zeros((600, 600), dtype=bool)):
+        known[300, 300] = True
+        start = time.perf_counter()
+        nearest_known(known)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 2 * took[0] < 20
+
+
+def test_filled_values_keep_their_type(spark):
+    df = spark.createDataFrame([("a", 0, 0, 2 ** 62 + 1, "x"), ("a", 3, 0, None, "y"), ("b", 1, 1, None, None)], "tx string, cx long, cy long, dem long, more string")
+    got = sorted(map(tuple, raster.fill_gaps(df, 4).collect()))
+    assert got == [("a", 0, 0, 2 ** 62 + 1, "x"), ("a", 3, 0, 2 ** 62 + 1, "y"), ("b", 1, 1, None, None)]
+    assert raster.fill_gaps(df.limit(0), 4).count() == 0

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tilescape.functions._base import ColumnLike, clamp, col, num, whole
 from tilescape.functions import geo
 
+from .distance import nearest_known
+
 # Point classes.
 GROUND, WATER, BRIDGE, NOISE = 2, 9, 17, (7, 18)
 
@@ -69,62 +71,41 @@ def dense_grid(cells: DataFrame, nx: int, ny: int, tile: Sequence[str] = ("tx",)
     return every_cell(cells, nx, ny, tile).join(cells, [*tile, "cx", "cy"], "left")
 
 
+def _filled(cells: DataFrame, value: str, tile: Sequence[str], distance: str | None = None) -> DataFrame:
+    """`cells` with NULL values replaced by the nearest known cell's, one tile at a time (at most its nx * ny cells)."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields) + (f", {distance} bigint" if distance else "")
+
+    def fill(table):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        x, y = (table[c].to_numpy().astype(np.int64) for c in ("cx", "cy"))
+        known = ~np.asarray(pc.is_null(table[value]))
+        mask, order = np.zeros((y.max() + 1, x.max() + 1), dtype=bool), np.zeros((y.max() + 1, x.max() + 1), dtype=np.int64)
+        mask[y[known], x[known]], order[y[known], x[known]] = True, np.flatnonzero(known)
+        found = nearest_known(mask)
+        d2 = pa.nulls(len(x), pa.int64())
+        if found is not None:
+            row, column, square = (f[y, x] for f in found)
+            table = table.set_column(table.schema.get_field_index(value), table.schema.field(value), table[value].take(pa.array(np.where(known, np.arange(len(x)), order[row, column]))))
+            d2 = pa.array(square, mask=known)
+        return table.append_column(distance, d2) if distance else table
+
+    return cells.groupBy(*tile).applyInArrow(fill, schema)
+
+
 def fill_gaps(cells: DataFrame, nx: int, value="dem", tile: Sequence[str] = ("tx",)) -> DataFrame:
     """Replace NULL values of a sparse raster by the nearest known cell's (Euclidean, exact; ties to the lowest row, then column).
 
-    A gap looks at the known cells of its own column first; the nearest of them bounds how
-    far sideways it must look. Known cells are gathered per column, which is as high as the
-    tile, so no dense grid is made. NULL stays where a tile has no known cell.
+    NULL stays where a tile has no known cell. See `distance.nearest_known`.
     """
-    tile = list(tile)
-    known = (cells.filter(F.col(value).isNotNull()).groupBy(*tile, F.col("cx").alias("sx"))
-             .agg(F.collect_list(F.struct(F.col("cy").alias("ky"), F.col(value).alias("kv"))).alias("_known")))
-    gaps = cells.filter(F.col(value).isNull()).select(*tile, "cx", "cy")
-    own = gaps.join(known.withColumnRenamed("sx", "cx"), [*tile, "cx"], "left")
-    reach = F.coalesce(F.array_min(F.transform("_known", lambda k: F.abs(k["ky"] - F.col("cy")))), F.lit(nx).cast("bigint"))
-    looks = own.select(*tile, "cx", "cy", reach.alias("_reach")).withColumn("sx", F.explode(F.sequence(
-        F.greatest(F.lit(0).cast("bigint"), F.col("cx") - F.col("_reach")), F.least(F.lit(nx - 1).cast("bigint"), F.col("cx") + F.col("_reach")))))
-    dx = F.col("sx") - F.col("cx")
-    nearest = F.array_min(F.transform("_known", lambda k: F.struct(
-        (dx * dx + (k["ky"] - F.col("cy")) * (k["ky"] - F.col("cy"))).alias("d2"), k["ky"].alias("ky"), F.col("sx").alias("sx"), k["kv"].alias("kv"))))
-    filled = looks.join(known, [*tile, "sx"]).groupBy(*tile, "cx", "cy").agg(F.min(nearest).alias("_n"))
-    return (cells.join(filled, [*tile, "cx", "cy"], "left")
-            .withColumn(value, F.coalesce(F.col(value), F.col("_n.kv"))).drop("_n"))
+    return _filled(cells, value, tile)
 
 
 def fill_nearest(grid: DataFrame, nx: int, value="dem", tile: Sequence[str] = ("tx",)) -> DataFrame:
-    """Replace NULL cells of a dense grid by the nearest known cell (Euclidean, exact).
-
-    The nearest known cell in the own column (and in the own row) bounds the search, so
-    a gap looks only as far sideways as it must. Ties go to the lowest (row, column).
-    """
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col("cy").alias("ky"), F.col(value).alias("kv")))
-    along = Window.partitionBy(*tile, "cx").orderBy("cy")
-    before = along.rowsBetween(Window.unboundedPreceding, 0)
-    after = along.rowsBetween(0, Window.unboundedFollowing)
-    columns = grid.withColumns({"_up": F.last(known, True).over(before), "_down": F.first(known, True).over(after)})
-    gap_up, gap_down = F.col("cy") - F.col("_up.ky"), F.col("_down.ky") - F.col("cy")
-    use_up = F.col("_down").isNull() | (gap_up <= gap_down)
-    columns = columns.withColumn("_best", F.when(use_up, F.col("_up")).otherwise(F.col("_down")))
-
-    row = Window.partitionBy(*tile, "cy").orderBy("cx")
-    kx = F.when(F.col(value).isNotNull(), F.col("cx"))
-    west = F.col("cx") - F.last(kx, True).over(row.rowsBetween(Window.unboundedPreceding, 0))
-    east = F.first(kx, True).over(row.rowsBetween(0, Window.unboundedFollowing)) - F.col("cx")
-    gaps = (columns.withColumns({"_west": west, "_east": east}).filter(F.col(value).isNull())
-            .withColumn("_reach", F.coalesce(F.least("_west", "_east", F.abs(F.col("cy") - F.col("_best.ky"))), F.lit(nx))))
-    looks = (gaps.select(*tile, "cx", "cy",
-                         F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), F.col("cx") - F.col("_reach")),
-                                              F.least(F.lit(nx - 1).cast("bigint"), F.col("cx") + F.col("_reach")))).alias("sx")))
-    source = columns.filter(F.col("_best").isNotNull()).select(
-        *tile, F.col("cx").alias("sx"), "cy", F.col("_best.ky").alias("ky"), F.col("_best.kv").alias("kv"))
-    dx, dy = F.col("sx") - F.col("cx"), F.col("ky") - F.col("cy")
-    filled = (looks.join(source, [*tile, "sx", "cy"])
-              .groupBy(*tile, "cx", "cy")
-              .agg(F.min(F.struct((dx * dx + dy * dy).alias("d2"), F.col("ky"), F.col("sx"), F.col("kv"))).alias("_n")))
-    return (grid.join(filled, [*tile, "cx", "cy"], "left")
-            .withColumn("fill_d2", F.when(F.col(value).isNull(), F.col("_n.d2")))
-            .withColumn(value, F.coalesce(F.col(value), F.col("_n.kv"))).drop("_n"))
+    """The same for a dense grid, with `fill_d2`, the squared distance in cells (NULL for known cells and for tiles that know none)."""
+    return _filled(grid, value, tile, "fill_d2")
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
