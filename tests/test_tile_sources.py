@@ -140,3 +140,24 @@ def test_broken_extracts_are_reported_whole(spark, tmp_path):
         assert {r.path.rsplit("/", 1)[1] for r in rejected.collect()} == set(broken)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+# -- Manifest lines -----------------------------------------------------------
+
+def test_manifest_lines_fold_and_come_back(spark, tmp_path):
+    rows = [("trees", 14, x, y) for x in range(2600, 2700) for y in range(6300, 6390)] + [("wash", 14, 0, 16383)] + [("trees", 13, 1, 1), ("unknown", 14, 1, 1)] + [("trees", 14, 2600, 6300)]
+    cov = spark.createDataFrame(rows, "layer string, zoom int, tx bigint, ty bigint")
+    lines = sinks.manifest_lines(cov).collect()
+    parsed = [json.loads(r.json) for r in lines]
+    assert max(len(d.get("tiles", d.get("parts"))) for d in parsed) <= 4096
+    tops = {d["layer"]: d["n"] for d in parsed if d["level"] == 0}
+    assert tops == {"trees": 9000, "wash": 1, "paint": 0, "terrain": 0}  # required layers always have a line
+    below = {(d["layer"], f'{d["level"]}/{d["parent"]}') for d in parsed}
+    assert all((d["layer"], p) in below for d in parsed for p in d.get("parts", []))
+    sinks.write_manifest_lines(cov, str(tmp_path / "m"))
+    back = sources.read_manifest_lines(spark, str(tmp_path / "m"))
+    assert sorted(map(tuple, sources.coverage_rows(back).collect())) == sorted({(a, x, y) for a, z, x, y in rows if z == 14 and a != "unknown"})
+    assert sources.rejected(back, "manifest_lines").count() == 0
+    odd = spark.createDataFrame([("/m", '{"layer":"trees"}'), ("/n", "[]"), ("/o", '{"trees":{"zoom":14,"tiles":["3/4"]},"terrain":{"zoom":12,"tiles":["1/1"]}}')], "path string, value string")
+    assert sources.rejected(odd, "manifest_lines").count() == 3
+    assert [tuple(r) for r in sources.coverage_rows(odd).collect()] == [("trees", 3, 4)]

@@ -224,9 +224,25 @@ def snk5(spark, sf):
 @query("tk3_sorted_manifest_keys", """
     select layer, min(tx || '/' || ty) as first_key, max(tx || '/' || ty) as last_key, count(*) as n from {fx_coverage} group by 1""")
 def tk3(spark, sf):
-    e = sinks.manifest_entries(sinks.coverage_of_paths(asset_paths(spark, sf)))
-    keys = F.from_json("json", "zoom int, tiles array<string>")["tiles"]
-    return e.select("layer", keys[0].alias("first_key"), F.element_at(keys, -1).alias("last_key"), F.size(keys).cast("bigint").alias("n"))
+    return sinks.manifest_key_range(sinks.coverage_of_paths(asset_paths(spark, sf)))
+
+
+@query("snk5_manifest_lines", """
+    with t as (select distinct layer, case layer when 'terrain' then 16 else 14 end as zoom, tx, ty from {fx_coverage}),
+         a as (select layer, zoom, zoom - 6 as level, tx // 64 as px, ty // 64 as py, count(*) as n, string_agg('"' || tx || '/' || ty || '"', ',' order by tx || '/' || ty) as s from t group by 1, 2, 3, 4, 5),
+         b as (select layer, zoom, level - 6 as level, px // 64 as px, py // 64 as py, sum(n)::bigint as n, string_agg('"' || level || '/' || px || '/' || py || '"', ',' order by level || '/' || px || '/' || py) as s from a group by 1, 2, 3, 4, 5),
+         c as (select layer, zoom, 0 as level, px // (1 << level) as px, py // (1 << level) as py, sum(n)::bigint as n, string_agg('"' || level || '/' || px || '/' || py || '"', ',' order by level || '/' || px || '/' || py) as s from b group by 1, 2, 3, 4, 5),
+         u as (select *, 'tiles' as what from a union all select *, 'parts' from b union all select *, 'parts' from c)
+    select layer, zoom, level, px, py, n, '{"layer":"' || layer || '","zoom":' || zoom || ',"level":' || level || ',"parent":"' || px || '/' || py || '","n":' || n || ',"' || what || '":[' || s || ']}' as json from u""")
+def snk5_lines(spark, sf):
+    return sinks.manifest_lines(sinks.coverage_of_paths(asset_paths(spark, sf)))
+
+
+@query("src7_manifest_lines", "select layer, tx, ty from {fx_coverage}")
+def src7_lines(spark, sf):
+    folder = new_folder(spark, "manifest")
+    sinks.write_manifest_lines(sinks.coverage_of_paths(asset_paths(spark, sf)), folder)
+    return sources.coverage_rows(sources.read_manifest_lines(spark, folder))
 
 
 @query("ag19_tile_totals", f"""

@@ -18,6 +18,7 @@ PAINT = ("struct<ribbons: array<struct<kind: string, width_dm: double, path: arr
          "polygons: array<struct<kind: string, ring: array<array<bigint>>>>, "
          "decals: array<struct<kind: string, at: array<bigint>, bearing_cdeg: double, len_dm: double, width_dm: double>>>")
 MANIFEST = "map<string, struct<zoom: int, tiles: array<string>>>"
+MANIFEST_LINE = "struct<layer: string, zoom: int, tiles: array<string>, parts: array<string>>"
 ELEMENTS = ("struct<elements: array<struct<type: string, id: bigint, lon: double, lat: double, tags: map<string, string>, "
             "geometry: array<struct<lon: double, lat: double>>, "
             "members: array<struct<role: string, geometry: array<struct<lon: double, lat: double>>>>>>>")
@@ -86,14 +87,25 @@ def paint_parts(documents: DataFrame) -> dict[str, DataFrame]:
 
 
 def coverage_rows(documents: DataFrame) -> DataFrame:
-    """Layer, tx, ty of a manifest. Fine terrain counts only at zoom 16 (or when no zoom is given)."""
-    layers = documents.select(F.explode(F.from_json("value", MANIFEST)).alias("layer", "l"))
-    layers = layers.filter((F.col("layer") != "terrain") | F.coalesce(F.col("l.zoom") == 16, F.lit(True)))
+    """Layer, tx, ty of a manifest: one document with all layers, or lines of one parent tile each (`sinks.manifest_lines`).
+
+    Fine terrain counts only at zoom 16 (or when no zoom is given).
+    """
+    one = F.from_json("value", MANIFEST_LINE)
+    line = F.array(F.struct(one["layer"].alias("layer"), one["zoom"].alias("zoom"), one["tiles"].alias("tiles")))
+    whole = F.transform(F.map_entries(F.from_json("value", MANIFEST)), lambda e: F.struct(e["key"].alias("layer"), e["value"]["zoom"].alias("zoom"), e["value"]["tiles"].alias("tiles")))
+    layers = documents.select(F.explode(F.when(one["layer"].isNotNull(), line).otherwise(whole)).alias("l")).select("l.*")
+    layers = layers.filter((F.col("layer") != "terrain") | F.coalesce(F.col("zoom") == 16, F.lit(True)))
     key = F.split(F.regexp_extract("key", r"(\d+/\d+)$", 1), "/")
-    return (layers.select("layer", F.explode("l.tiles").alias("key"))
+    return (layers.select("layer", F.explode("tiles").alias("key"))
             .select("layer", key[0].cast("bigint").alias("tx"), key[1].cast("bigint").alias("ty")))
 
 
+def read_manifest_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value): the lines of a written manifest, for `coverage_rows` and `rejected`; files are split among tasks."""
+    return spark.read.text(path, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
 def element_rows(documents: DataFrame) -> DataFrame:
     """Map elements; a node's position becomes its one-vertex geometry."""
     e = documents.select(F.explode(F.from_json("value", ELEMENTS)["elements"]).alias("e")).select("e.*")
@@ -136,6 +148,7 @@ def trace_rows(documents: DataFrame) -> DataFrame:
 _RULES = {
     "trees": (TREES, _tree_ok), "roofs": (ROOFS, _roof_ok), "paint": (PAINT, _paint_ok),
     "manifest": (MANIFEST, lambda: F.forall(F.map_values("d"), lambda l: l["tiles"].isNotNull())),
+    "manifest_lines": (MANIFEST_LINE, lambda: F.col("d.layer").isNotNull() & (F.col("d.tiles").isNotNull() | F.col("d.parts").isNotNull())),
     "elements": (ELEMENTS, lambda: F.col("d.elements").isNotNull()), "pins": (PINS, lambda: F.col("d.pins").isNotNull()),
     "places": (PLACES, lambda: F.col("d.features").isNotNull()), "trace": (TRACE, lambda: F.col("d.samples").isNotNull()),
 }
