@@ -341,3 +341,22 @@ def test_filled_values_keep_their_type(spark):
     got = sorted(map(tuple, raster.fill_gaps(df, 4).collect()))
     assert got == [("a", 0, 0, 2 ** 62 + 1, "x"), ("a", 3, 0, 2 ** 62 + 1, "y"), ("b", 1, 1, None, None)]
     assert raster.fill_gaps(df.limit(0), 4).count() == 0
+
+
+def test_path_cells_are_those_near_the_path(spark):
+    """No cell near the path is missed, and a long diagonal has as many cells as it is long."""
+    from tilescape.operators import cells
+    rnd = random.Random(12)
+    rows = [(i, *[rnd.uniform(-50, 50) for _ in range(4)], rnd.choice([0.0, 0.3, 4.0])) for i in range(60)] + [(90, 3.0, 3.0, 3.0, 3.0, 1.0), (91, 0.0, -7.0, 0.0, 9.0, 0.5), (92, -9.0, 2.0, 9.0, 2.0, 0.5)]
+    df = spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double, r double")
+    got = {}
+    for r in cells.with_path_cells(df, ("x0", "y0"), ("x1", "y1"), 5, F.col("r")).collect():
+        assert (r[cells.CELL_X], r[cells.CELL_Y]) not in got.setdefault(r.id, set())
+        got[r.id].add((r[cells.CELL_X], r[cells.CELL_Y]))
+    for i, x0, y0, x1, y1, r in rows:
+        for k in range(401):
+            x, y = x0 + (x1 - x0) * k / 400, y0 + (y1 - y0) * k / 400
+            assert {(math.floor((x + a) / 5), math.floor((y + b) / 5)) for a in (-r, 0, r) for b in (-r, 0, r)} <= got[i]
+    long = spark.createDataFrame([(1, 0.0, 0.0, 1000.0 * n, 1000.0 * n, 1.0) for n in (1, 10)], "id long, x0 double, y0 double, x1 double, y1 double, r double")
+    n = [r["count"] for r in cells.with_path_cells(long, ("x0", "y0"), ("x1", "y1"), 10, 1.0).groupBy("x1").count().orderBy("x1").collect()]
+    assert n[0] < 500 and n[1] < 11 * n[0]

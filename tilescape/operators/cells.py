@@ -34,6 +34,23 @@ def with_box_cells(df: DataFrame, min_x: ColumnLike, min_y: ColumnLike, max_x: C
               .withColumn(CELL_Y, F.explode(F.sequence(low(min_y), high(max_y)))))
 
 
+def with_path_cells(df: DataFrame, start: tuple, end: tuple, size, slack) -> DataFrame:
+    """One row per cell that the straight path from `start` to `end` comes near, up to `slack` along each axis.
+
+    The path is followed column by column, so the cells of a long diagonal are as many as it
+    is long, and not those of its bounding box.
+    """
+    (x0, y0), (x1, y1) = ([F.col(c).cast("double") for c in p] for p in (start, end))
+    pad, dx = slack + 1e-6, x1 - x0
+    low, high = (lambda v: cell(v - pad, size)), (lambda v: cell(v + pad, size))
+    columns = df.withColumn(CELL_X, F.explode(F.sequence(low(F.least(x0, x1)), high(F.greatest(x0, x1)))))
+    at = lambda edge: F.when(dx != 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (edge - x0) / F.nullif(dx, F.lit(0.0)))))
+    west, east = at(F.col(CELL_X) * num(size) - pad), at((F.col(CELL_X) + 1) * num(size) + pad)
+    here = columns.withColumns({"_y_in": y0 + (y1 - y0) * F.coalesce(west, F.lit(0.0)), "_y_out": y0 + (y1 - y0) * F.coalesce(east, F.lit(1.0))})
+    span = F.sequence(low(F.least("_y_in", "_y_out")), high(F.greatest("_y_in", "_y_out")))
+    return here.withColumn(CELL_Y, F.explode(span)).drop("_y_in", "_y_out")
+
+
 def with_neighbour_cells(df: DataFrame, x: ColumnLike, y: ColumnLike, size, reach: int = 1) -> DataFrame:
     """One row per cell within `reach` cells of the point."""
     span = F.sequence(F.lit(-reach), F.lit(reach))

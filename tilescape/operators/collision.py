@@ -238,13 +238,14 @@ def deck_contacts(pairs: DataFrame, keep: Sequence[str]) -> DataFrame:
     return d.select(*keep, contact.alias("c"))
 
 
-def _crosses(axes: Sequence[tuple[str, str, str, str]]) -> Column:
-    """Does the centre's path touch the grown box? Every contact needs that, so no hit is lost.
+#: A deck is grown by the radius along its own axes, so its corners reach out by the radius times the root of 2.
+_GROWN = 1.4143
 
-    A deck is grown by the radius along its own axes, so its corners reach out by r * sqrt(2).
-    """
+
+def _entry(axes: Sequence[tuple[str, str, str, str]]) -> Column:
+    """Where the centre's path enters the grown box, from 0 to 1; null if it passes by. Every contact needs an entry, so no hit is lost."""
     enter, leave = [F.lit(0.0)], [F.lit(1.0)]
-    slack = F.col("r") * 1.4143 + 1e-6
+    slack = F.col("r") * _GROWN + 1e-6
     for start, stop, low, high in axes:
         f, d = F.col(start), F.nullif(F.col(stop) - F.col(start), F.lit(0.0))
         low, high = F.col(low) - slack, F.col(high) + slack
@@ -252,30 +253,32 @@ def _crosses(axes: Sequence[tuple[str, str, str, str]]) -> Column:
         still = f.between(low, high)
         enter.append(F.coalesce(F.least(t1, t2), F.when(still, 0.0).otherwise(2.0)))
         leave.append(F.coalesce(F.greatest(t1, t2), F.lit(1.0)))
-    return F.greatest(*enter) <= F.least(*leave)
+    return F.when(F.greatest(*enter) <= F.least(*leave), F.greatest(*enter))
 
 
 def sweep_spheres(sweeps: DataFrame, sweep_id: str, prisms: DataFrame, decks: DataFrame | None, cell: float,
                   on: Sequence[str] = ("tile",), prism_id="fid", deck_id="deck_id") -> DataFrame:
     """First contact per sweep over all prisms and decks, sweeps without one left out.
 
-    `sweeps` has fx, fy, fz -> tx, ty, tz and radius r (y is height). Sweep boxes and solids
-    meet in cells; a pair sharing several cells is evaluated in one of them only.
+    `sweeps` has fx, fy, fz -> tx, ty, tz and radius r (y is height). A sweep visits the cells
+    along its path and meets the solids in them; a pair that shares several cells is evaluated
+    only in that of the box's point next to where the path enters the grown box.
     """
     motion = ("fx", "fy", "fz", "tx", "ty", "tz", "r")
     low, high = (lambda a: F.least(f"f{a}", f"t{a}") - F.col("r")), (lambda a: F.greatest(f"f{a}", f"t{a}") + F.col("r"))
     boxed = sweeps.select(sweep_id, *on, *[F.col(m).cast("double").alias(m) for m in motion]).withColumns(
         {**{f"_s{a}0": low(a) for a in "xyz"}, **{f"_s{a}1": high(a) for a in "xyz"}})
-    left = cells.with_box_cells(boxed, "_sx0", "_sz0", "_sx1", "_sz1", cell)
+    left = cells.with_path_cells(boxed, ("fx", "fz"), ("tx", "tz"), cell, F.col("r") * _GROWN)
 
     def pairs(solids: DataFrame, base: str) -> DataFrame:
         right = cells.with_box_cells(solids, "_min_x", "_min_y", "_max_x", "_max_y", cell)
         meets = ((F.col("_sx1") >= F.col("_min_x")) & (F.col("_sx0") <= F.col("_max_x")) & (F.col("_sz1") >= F.col("_min_y"))
                  & (F.col("_sz0") <= F.col("_max_y")) & (F.col("_sy1") >= F.col(base)) & (F.col("_sy0") <= F.col("top")))
-        once = ((F.col(cells.CELL_X) == cells.cell(F.greatest("_sx0", "_min_x"), cell))
-                & (F.col(cells.CELL_Y) == cells.cell(F.greatest("_sz0", "_min_y"), cell)))
-        path = _crosses([("fx", "tx", "_min_x", "_max_x"), ("fz", "tz", "_min_y", "_max_y"), ("fy", "ty", base, "top")])
-        return left.join(right, [*on, cells.CELL_X, cells.CELL_Y]).filter(meets & once & path)
+        entry = _entry([("fx", "tx", "_min_x", "_max_x"), ("fz", "tz", "_min_y", "_max_y"), ("fy", "ty", base, "top")])
+        within = lambda f, t, least, most: F.greatest(F.col(least), F.least(F.col(most), F.col(f) + (F.col(t) - F.col(f)) * entry))
+        once = ((F.col(cells.CELL_X) == cells.cell(within("fx", "tx", "_min_x", "_max_x"), cell))
+                & (F.col(cells.CELL_Y) == cells.cell(within("fz", "tz", "_min_y", "_max_y"), cell)))
+        return left.join(right, [*on, cells.CELL_X, cells.CELL_Y]).filter(meets).filter(F.coalesce(once, F.lit(False)))
 
     ranked = lambda df, kind, rank, ident: df.select(sweep_id, F.struct(
         F.col("c.t").alias("t"), F.lit(rank).alias("kind_rank"), F.col(ident).alias("solid"), F.lit(kind).alias("kind"), F.col("c").alias("c")).alias("_h"))
