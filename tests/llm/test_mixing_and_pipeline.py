@@ -164,3 +164,40 @@ def test_pipeline_mixes_poor_documents_to_their_target(spark, scarce):
     n = Counter("poor" if r.doc_id % 100 == 7 else "toxic" if r.doc_id % 10 == 3 else "good" for r in corpus_pipeline.mix(spark, docs, scarce).collect())
     assert n["poor"] / n["good"] == pytest.approx(MIX["poor"] / MIX["good"], rel=0.15)
     assert n["toxic"] / n["good"] == pytest.approx(MIX["toxic"] / MIX["good"], rel=0.15)
+
+
+@pytest.mark.parametrize("high", [0.0, 0.0002, 0.002])
+def test_a_domain_out_of_reach_costs_the_others_nothing(spark, high):
+    """Three domains, of which one is hardly found: the others meet their targets and the documents stay."""
+    rng = np.random.default_rng(4)
+    second = np.where(rng.random(20_000) < 0.12, 0.95, 0.03) * rng.uniform(0.8, 1, 20_000)
+    third = rng.random(20_000) * high
+    p, tokens = np.stack([1 - second - third, second, third], 1), rng.integers(20, 2000, 20_000)
+    table = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(tokens, p)], "tokens long, posterior array<double>")
+    targets = np.array([0.88, 0.06, 0.06]) * (tokens @ p[:, 0]) / 0.88
+    assert mixing.within_reach(table, targets).tolist() == [True, True, False]
+    prices = mixing.fit_prices(table, targets)
+    rates = mixing.rates_of(p, prices, np.inf)
+    assert prices[2] == 0 and (rates > 0).mean() >= 0.95 and rates.max() < 3
+    assert np.allclose((rates * tokens) @ p[:, :2], targets[:2], rtol=1e-3)
+
+
+def test_scarce_but_clear_domains_are_within_reach(spark):
+    p, tokens, table = sharp(spark, 0.001)
+    targets = np.array([0.95, 0.05]) * (tokens @ p[:, 0]) / 0.95
+    assert mixing.within_reach(table, targets).all()
+    rates = mixing.rates_of(p, mixing.fit_prices(table, targets), np.inf)
+    assert np.allclose((rates * tokens) @ p, targets, rtol=1e-3)
+
+
+def test_fits_end_without_an_exception(spark, monkeypatch):
+    p, tokens, table = sharp(spark, 0.01)
+    monkeypatch.setattr(mixing, "MOST_PASSES", 1)
+    with pytest.warns(UserWarning):
+        assert np.isfinite(mixing.fit_prices(table, np.array([0.9, 0.1]) * tokens.sum())).all()
+
+
+def test_reached_shares(corpus):
+    mixed = mixing.mix_extracts(*corpus, {"road": 0.6, "park": 0.4})
+    got = {r.domain: r for r in mixing.reached_shares(mixed, {"road": 0.6, "park": 0.4}).collect()}
+    assert all(r.in_reach and abs(r.reached - r.wanted) < 1e-3 * r.wanted for r in got.values())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -22,8 +23,10 @@ SOFT = 1e-8
 CONVERGED = 1e-11
 #: Lengths 1, 1/2, 1/4, ... of a Newton step that one pass evaluates.
 STEP_LENGTHS = 24
-#: Passes after which a fit fails (random cases took 2 to 97).
+#: Passes after which a fit stops with the best prices it has (random cases took 2 to 97).
 MOST_PASSES = 200
+#: A domain is out of reach if raising it to its target would bring in tokens of other domains of over this share of all tokens.
+OUT_OF_REACH = 0.25
 
 
 def _features(text: str) -> Column:
@@ -143,24 +146,52 @@ def _sums(tried: np.ndarray, max_rate: float):
     return run
 
 
+def within_reach(posteriors: DataFrame, targets: np.ndarray) -> np.ndarray:
+    """Which domains can be brought to their targets by documents that are theirs.
+
+    Raising a domain by some tokens takes documents whose mean posterior, weighted by their
+    share of the domain, is its purity; the rest of their tokens belong to others. Where that
+    rest would be more than OUT_OF_REACH of all tokens (of the targets' sum, if that is more),
+    no reasonable rates reach the target: following it would empty the other domains.
+    """
+    n = len(targets)
+    p = lambda i: F.get("posterior", F.lit(i))
+    sums = posteriors.agg(F.sum("tokens").alias("all"), *[F.sum(F.col("tokens") * p(i)).alias(f"m{i}") for i in range(n)], *[F.sum(F.col("tokens") * p(i) * p(i)).alias(f"s{i}") for i in range(n)]).first()
+    have, square = (np.array([float(sums[f"{c}{i}"] or 0) for i in range(n)]) for c in "ms")
+    purity = np.divide(square, have, out=np.zeros(n), where=have > 0)
+    missing = np.maximum(targets - have, 0)
+    brought = np.divide(missing * (1 - purity), purity, out=np.where(missing > 0, np.inf, 0.0), where=purity > 0)
+    return brought <= OUT_OF_REACH * max(float(sums["all"] or 0), float(np.sum(targets)))
+
+
 def fit_prices(posteriors: DataFrame, targets: np.ndarray, max_rate: float = np.inf) -> np.ndarray:
-    """Prices whose rates minimise |sum_i rate_i tokens_i p_i - targets|^2 over rates of 0..max_rate.
+    """Prices whose rates minimise |sum_i rate_i tokens_i p_i - targets|^2 over rates of 0..max_rate and the domains within reach.
 
     `posteriors` (tokens, posterior). Of all such rates these are the nearest to 1, weighted
-    by tokens (the distance counts SOFT, in shares of all tokens). The dual problem has one
+    by tokens (the distance counts SOFT, in shares of all tokens). A domain out of reach
+    (`within_reach`) has the price 0: the others meet their targets as if it had none. The dual problem has one
     unknown per domain and is smooth and strictly concave, so Newton steps with a line search
     find its one maximum. A pass evaluates all lengths of a step at once and moves
     n^2 + n totals per length and task; the length with the least slope along the step is
     taken, which cannot lower a concave dual when lengths are halves of each other. It ends
-    when the dual's gradient is nothing but rounding, and fails rather than return prices
-    that have not converged.
+    when the dual's gradient is nothing but rounding, or after MOST_PASSES with a warning and
+    the prices of the least gradient.
     """
-    n = len(targets)
-    everything = float(posteriors.agg(F.sum("tokens")).first()[0] or 0)
-    prices, step, lengths = np.zeros(n), np.zeros(n), np.array([1.0])
+    everything, targets = float(posteriors.agg(F.sum("tokens")).first()[0] or 0), np.asarray(targets, float)
+    prices = np.zeros(len(targets))
     if not everything:
         return prices
-    targets, slack = np.asarray(targets, float) / everything, np.inf
+    fitted = np.flatnonzero(within_reach(posteriors, targets))
+    if len(fitted):
+        some = posteriors.select("tokens", F.array(*[F.get("posterior", F.lit(int(i))) for i in fitted]).alias("posterior"))
+        prices[fitted] = _newton(some, targets[fitted] / everything, everything, max_rate)
+    return prices
+
+
+def _newton(posteriors: DataFrame, targets: np.ndarray, everything: float, max_rate: float) -> np.ndarray:
+    n = len(targets)
+    prices, step, lengths = np.zeros(n), np.zeros(n), np.array([1.0])
+    least, answer = np.inf, prices
     for _ in range(MOST_PASSES):
         tried = prices + lengths[:, None] * step
         rows = posteriors.select("tokens", "posterior").mapInPandas(_sums(tried, max_rate), "at int, total double").groupBy("at").agg(F.sum("total").alias("total")).collect()
@@ -172,11 +203,31 @@ def fit_prices(posteriors: DataFrame, targets: np.ndarray, max_rate: float = np.
         best = int(np.argmin(np.abs(gradients @ step)))
         prices, gradient = tried[best], gradients[best]
         slack = np.abs(gradient).max()
+        if slack < least:
+            least, answer = slack, prices
         if slack <= CONVERGED + 1e-15 * np.abs(prices).max():
-            return prices
+            return answer
         step = np.linalg.solve(sums[best, n:].reshape(n, n) + SOFT * np.eye(n), gradient)
         lengths = 0.5 ** np.arange(STEP_LENGTHS)
-    raise RuntimeError(f"mixing rates have not converged: {slack:.2g} of all tokens off after {MOST_PASSES} passes")
+    warnings.warn(f"mixing rates have not converged: {least:.2g} of all tokens off after {MOST_PASSES} passes")
+    return answer
+
+
+def reached_shares(mixed: DataFrame, targets: Mapping[str, float], total: float | None = None) -> DataFrame:
+    """(domain, wanted, reached, in_reach) of the rows of `mix_extracts`: expected tokens by the fitted rates beside the targets."""
+    domains = list(targets)
+    p = lambda i: F.get("posterior", F.lit(i))
+    row = mixed.agg(F.sum(F.col("tokens") * p(0)).alias("first"), *[F.sum(F.col("rate") * F.col("tokens") * p(i)).alias(f"r{i}") for i in range(len(domains))]).first()
+    wanted = _wanted(targets, total, row["first"])
+    near = within_reach(mixed, wanted)
+    rows = [(d, float(w), float(row[f"r{i}"] or 0), bool(k)) for i, (d, w, k) in enumerate(zip(domains, wanted, near))]
+    return mixed.sparkSession.createDataFrame(rows, "domain string, wanted double, reached double, in_reach boolean")
+
+
+def _wanted(targets: Mapping[str, float], total: float | None, first: float | None) -> np.ndarray:
+    """Tokens per domain; without a total the first domain is to keep the tokens it has."""
+    share = np.array(list(targets.values()), float) / sum(targets.values())
+    return share * ((first or 0.0) / share[0] if total is None else total)
 
 
 def mix_extracts(extracts: DataFrame, labels: DataFrame, targets: Mapping[str, float], total: float | None = None,
@@ -195,8 +246,9 @@ def mix_extracts(extracts: DataFrame, labels: DataFrame, targets: Mapping[str, f
     text, so that its mean is the rate; copies of equal rows are equal.
 
     Null and empty texts have no tokens and keep their posterior; their rate follows from it.
-    A domain without labels has small posteriors everywhere; what it cannot reach stays open
-    (least squares). Without any labels all posteriors are equal and the rates are 1 where
+    A domain without labels, or hardly found in the texts, has small posteriors everywhere. If
+    its target is out of reach (`within_reach`) it is left out of the fit, so that it does not cost the
+    other domains their documents; `reached_shares` tells. Without any labels all posteriors are equal and the rates are 1 where
     total is not given. Repeated rows and ids stay, a null id is never labelled. Other columns
     are ignored. An empty table gives an empty result.
     """
@@ -205,11 +257,8 @@ def mix_extracts(extracts: DataFrame, labels: DataFrame, targets: Mapping[str, f
                                 F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE), "")).cast("long").alias("tokens"), _features("text").alias("buckets")))
     model = train(texts, labels, domains)
     scored = cut(texts.mapInPandas(_posteriors(model), "extract_id long, _hash long, tokens long, posterior array<double>"))
-    share = np.array([targets[d] for d in domains]) / sum(targets.values())
-    if total is None:
-        first = scored.agg(F.sum(F.col("tokens") * F.get("posterior", F.lit(0)))).first()[0]
-        total = (first or 0.0) / share[0]
-    prices = fit_prices(scored, share * total, max_rate)
+    first = scored.agg(F.sum(F.col("tokens") * F.get("posterior", F.lit(0)))).first()[0] if total is None else None
+    prices = fit_prices(scored, _wanted(targets, total, first), max_rate)
 
     def rated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
