@@ -89,17 +89,18 @@ def fl7(spark, sf):
 
 WAY = """(footway = 'sidewalk' or highway in ('footway', 'path', 'pedestrian', 'residential') or leisure = 'pitch' or (amenity = 'parking' and coalesce(area, '') <> 'no')
     or natural_ = 'beach' or man_made = 'pier')"""
-BOX = "lon_e7 between -1225140000 and -1224500000 and lat_e7 between 377200000 and 377900000"
+#: South, west, north, east; the four vertices of an element lie up to 30 millionths of a degree from its first.
+BOX = (37.72, -122.514, 37.79, -122.45)
+IN_BOX = " or ".join(f"(lon_e7 + {k * 100} between -1225140000 and -1224500000 and lat_e7 + {k % 2 * 100} between 377200000 and 377900000)" for k in range(4))
 
 
 @query("fl10_element_selection", f"""
-    select id, 'paint' as use from {{fx_elements}} where ((type = 'way' and coalesce({WAY}, false)) or (type = 'node' and (highway = 'crossing' or crossing in ('zebra', 'marked', 'unmarked'))))
-    union all select id, 'building' from {{fx_elements}} where type <> 'node' and building is not null""")
+    select id, 'paint' as use from {{fx_elements}} where ({IN_BOX}) and ((type = 'way' and coalesce({WAY}, false)) or (type = 'node' and (highway = 'crossing' or crossing in ('zebra', 'marked', 'unmarked'))))
+    union all select id, 'building' from {{fx_elements}} where ({IN_BOX}) and type <> 'node' and building is not null""")
 def fl10(spark, sf):
     e = element_paths(spark, sf)
-    world = (-90, -180, 90, 180)
-    return (paint.select_elements(e, world).select("id", F.lit("paint").alias("use"))
-            .unionByName(paint.select_elements(e, world, buildings=True).select("id", F.lit("building").alias("use"))))
+    return (paint.select_elements(e, BOX).select("id", F.lit("paint").alias("use"))
+            .unionByName(paint.select_elements(e, BOX, buildings=True).select("id", F.lit("building").alias("use"))))
 
 
 TILE14 = """greatest(0, least(16383, cast(floor((lon_e7 / 1e7 + 180) / 360 * 16384) as bigint))) as tx,
@@ -420,14 +421,14 @@ ROOT = (0, 0, 0, 6400, 6400, 6400)
 
 @query("jn1_node_pruning", """
     with n as (select x_cm // 400 as nx, y_cm // 400 as ny, z_cm // 400 as nz, count(*) as n from {fx_points} group by 1, 2, 3),
-         b as (select x0_cm as x0, y0_cm as y0, x0_cm + w_cm as x1, y0_cm + h_cm as y1 from {fx_footprints} where y0_cm > 4800)
+         b as (select x0_cm as x0, y0_cm as y0, x0_cm + w_cm as x1, y0_cm + h_cm as y1 from {fx_footprints})
     select sum(n)::bigint as points, count(*) as nodes from n where exists (select 1 from b where (nx + 1) * 400 >= x0 - 1 and nx * 400 <= x1 + 1 and (ny + 1) * 400 >= y0 - 1 and ny * 400 <= y1 + 1)""")
 def jn1(spark, sf):
     key = F.concat_ws("-", F.lit("4"), *[F.expr(f"{a}_cm div 400") for a in "xyz"])
     pts = fixture(spark, sf, "fx_points").withColumn("node_key", key)
     nodes = pts.groupBy("node_key").agg(F.count("*").alias("n"))
-    boxes = fixture(spark, sf, "fx_footprints").filter("y0_cm > 4800").select(F.col("x0_cm").alias("min_x"), F.col("y0_cm").alias("min_y"),
-                                                                              F.expr("x0_cm + w_cm").alias("max_x"), F.expr("y0_cm + h_cm").alias("max_y"))
+    boxes = fixture(spark, sf, "fx_footprints").select(F.col("x0_cm").alias("min_x"), F.col("y0_cm").alias("min_y"),
+                                                       F.expr("x0_cm + w_cm").alias("max_x"), F.expr("y0_cm + h_cm").alias("max_y"))
     kept = sources.nodes_for_boxes(nodes, boxes, ROOT, 1.0, cell=800)
     return pts.join(kept, "node_key", "left_semi").agg(F.count("*").alias("points"), F.count_distinct("node_key").alias("nodes"))
 

@@ -163,12 +163,12 @@ def jn11(spark, sf):
 PROBES = """pr as (select fid, 0 as probe, x0_cm + w_cm / 2e0 as x, y0_cm + h_cm / 2e0 as y from {fx_footprints}
     union all select fid, 1, x0_cm, y0_cm from {fx_footprints} union all select fid, 2, x0_cm + w_cm, y0_cm from {fx_footprints}
     union all select fid, 3, x0_cm, y0_cm + h_cm from {fx_footprints} union all select fid, 4, x0_cm + w_cm, y0_cm + h_cm from {fx_footprints}),
-    pf as (select fid, probe, (x + 7.3217e0) / 6400e0 + fid % 5 as fx, (y + 3.9171e0) / 6400e0 as fy from pr)"""
+    pf as (select fid, probe, (x + 7.3217e0) / 6400e0 + fid % 8 as fx, (y + 3.9171e0) / 6400e0 + fid // 700 as fy from pr)"""
 
 
 def levels(spark, sf):
     probes = footprints.ground_probes(rings_cm(spark, sf), ["fid"])
-    out = raster.sample_bilinear(probes, pixels(spark, sf), (F.col("x") + 7.3217) / 6400 + F.col("fid") % 5, (F.col("y") + 3.9171) / 6400, N, keep=["fid", "probe"])
+    out = raster.sample_bilinear(probes, pixels(spark, sf), (F.col("x") + 7.3217) / 6400 + F.col("fid") % 8, (F.col("y") + 3.9171) / 6400 + F.expr("fid div 700"), N, keep=["fid", "probe"])
     return footprints.ground_levels(out.withColumn("elev", F.col("elev") / 10 - 20), ["fid"])
 
 
@@ -291,22 +291,22 @@ def jn26(spark, sf):
 
 
 @query("jn27_pin_heights", f"""
-    with p as (select pin_id as ray_id, 2616 as tx, x_m * 4 // 5 as x_cm, z_m * 4 // 5 as y_cm, tier from {{fx_pins}}),
+    with p as (select pin_id as ray_id, 2616 + pin_id // 25 as tx, x_m * 4 // 5 as x_cm, z_m * 4 // 5 as y_cm, tier from {{fx_pins}}),
          h as (select ray_id, max(top_cm) as y from p r join {{fx_prisms}} s on {INSIDE} where top_cm <= 1500 and 1500 - top_cm <= 3000 group by 1)
     select ray_id as pin_id, cast(coalesce(y, 0) + case tier when 1 then 90 when 2 then 34 else 16 end as bigint) as float_y from p left join h using (ray_id)""")
 def jn27(spark, sf):
-    pins = fixture(spark, sf, "fx_pins").select("pin_id", "tier", F.lit(2616).cast("bigint").alias("tx"), F.expr("x_m * 4 div 5").alias("x"), F.expr("z_m * 4 div 5").alias("y"),
+    pins = fixture(spark, sf, "fx_pins").select("pin_id", "tier", F.expr("2616 + pin_id div 25").alias("tx"), F.expr("x_m * 4 div 5").alias("x"), F.expr("z_m * 4 div 5").alias("y"),
                                                 F.lit(collision.PIN_FROM).alias("from_y"), F.lit(collision.PIN_DROP).alias("max_drop"))
     found = collision.ray_down(pins, "pin_id", prisms(spark, sf), None, None, 800)
     return collision.pin_heights(pins, found, "pin_id").select("pin_id", F.col("float_y").cast("bigint").alias("float_y"))
 
 
 @query("jn28_spawn_altitude", f"""
-    with {HITS_DOWN}, n as (select ray_id, elev_dm from {{fx_rays}} r left join {{fx_pixels}} p on p.tx = ray_id % 8 and p.ty = 0 and p.px = x_cm // 100 and p.py = y_cm // 100)
+    with {HITS_DOWN}, n as (select ray_id, elev_dm from {{fx_rays}} r left join {{fx_pixels}} p on p.tx = ray_id % 8 and p.ty = ray_id // 4000 and p.px = x_cm // 100 and p.py = y_cm // 100)
     select r.ray_id, cast(coalesce(b[1], n.elev_dm, 0) + 80 as bigint) as altitude from {{fx_rays}} r left join down using (ray_id) left join n using (ray_id)""")
 def jn28(spark, sf):
     r = rays(spark, sf)
-    near = raster.sample_nearest(r, pixels(spark, sf), F.col("ray_id") % 8 + F.floor("x") / 6400, F.floor("y") / 6400, N, ["value"]).select("ray_id", F.col("value").alias("elev"))
+    near = raster.sample_nearest(r, pixels(spark, sf), F.col("ray_id") % 8 + F.floor("x") / 6400, F.expr("ray_id div 4000") + F.floor("y") / 6400, N, ["value"]).select("ray_id", F.col("value").alias("elev"))
     return collision.spawn_altitude(r, down(spark, sf), near, "ray_id").select("ray_id", F.col("altitude").cast("bigint").alias("altitude"))
 
 
