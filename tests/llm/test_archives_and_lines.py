@@ -3,8 +3,10 @@
 import base64
 import gzip
 import hashlib
+import io
 import posixpath
 import re
+import time
 import zlib
 
 import pytest
@@ -20,7 +22,7 @@ BODIES = [None, "", "<p>a</p>", "<p>a</p>", "\r\n\r\nWARC/1.1\r\n\r\n", "ä€
 
 @pytest.fixture(scope="module")
 def written(spark):
-    rows = [(i, None if i == 4 else f"http://a/{i}\r\nX: y", b, "clash") for i, b in enumerate(BODIES)] + [(8, "http://a/8", "y\n", "clash"), (None, "u", "z", "clash")]
+    rows = [(i, None if i == 4 else f"http://a/{i}\r\nX: y", b, "clash") for i, b in enumerate(BODIES)] + [(8, "http://a/8", "y\n", "clash"), (None, "u", "z", "clash"), (None, "v", "<p>a</p>", "clash"), (None, None, "z", "clash")]
     raw, out = shared_folder(spark, "test-raw"), shared_folder(spark, "test-archives")
     archives.write_archives(spark.createDataFrame(rows, "fetch_id long, url string, body string, record_type string"), raw)
     archives.normalise_archives(spark, raw, out)
@@ -32,8 +34,8 @@ def test_archives(spark, written):
     for i, b in enumerate(BODIES):
         latest[b or ""] = i
     want = []
-    for i, b in [*enumerate(BODIES), (8, "y\n")]:
-        data, last = (b or "").encode(), latest[b or ""]
+    for i, b in [*enumerate(BODIES), (8, "y\n"), (None, "z"), (None, "z"), (None, "<p>a</p>")]:
+        data, last = (b or "").encode(), latest.get(b or "")
         want.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if last == i else "revisit", None if last == i else last))
     got = [tuple(r) for r in archives.read_archives(spark, written[1]).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
@@ -43,7 +45,7 @@ def test_each_record_is_a_member(spark, written):
     raw, out = written
     fs, base = file_system(out)
     index = spark.read.parquet(f"{out}/index").collect()
-    assert len(index) == len(BODIES) + 1
+    assert len(index) == len(BODIES) + 4
     by_archive = {}
     for r in index:
         data = fs.open_input_file(posixpath.join(base, r.archive)).read_at(r.n_bytes, r.offset)
@@ -76,6 +78,22 @@ def test_several_members_and_damage(spark, tmp_path):
     (tmp_path / "bad/a.warc.gz").write_bytes(gzip.compress(record[:-6]))
     with pytest.raises(Exception, match="within a record"):
         archives.normalise_archives(spark, f"file://{tmp_path}/bad", f"file://{tmp_path}/out2")
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut/a.warc.gz").write_bytes(gzip.compress(record)[:-6])
+    with pytest.raises(Exception, match="within a member"):
+        archives.normalise_archives(spark, f"file://{tmp_path}/cut", f"file://{tmp_path}/out3")
+
+
+def test_inflating_is_linear_and_bounded():
+    """2,000 records of 58 KB that compress over 300-fold: never more than two chunks are held."""
+    record = b"WARC/1.1\r\nContent-Length: 58000\r\n\r\n" + (b"<td>ab</td>" * 5273)[:58000] + b"\r\n\r\n"
+    packed = gzip.compress(record * 1000) + gzip.compress(b"") + gzip.compress(record * 1000)
+    source, n, most, began = archives._Inflated(io.BytesIO(packed)), 0, 0, time.perf_counter()
+    while (header := source.until(b"\r\n\r\n")) is not None:
+        body = b"".join(source.take(58004))
+        assert header + body == record
+        n, most = n + 1, max(most, len(source.buffer))
+    assert n == 2000 and most <= 2 * archives.CHUNK and time.perf_counter() - began < 5
 
 
 def test_no_fetches(spark):

@@ -40,20 +40,21 @@ def write_archives(fetches: DataFrame, folder: str, date: str = "1970-01-01T00:0
     Of fetches with equal bodies, that with the largest id is the response and the others
     are revisits that refer to it. Equal bodies are found by their SHA-1 with a grouped
     maximum; the join back is salted, since one body may hold a third of all rows.
-    Spark's text writer makes and commits the files. Rows without an id are left out;
-    fetches repeated with the same id and body are all written. Line ends in addresses are
+    Spark's text writer makes and commits the files. Rows without an id are written as well:
+    they refer to the largest id of their body, or are responses where no fetch of it has one.
+    Fetches repeated with the same id and body are all written. Line ends in addresses are
     escaped. Other columns are ignored. An empty table writes no records.
     """
-    rows = fetches.filter("fetch_id is not null").select(F.col("fetch_id").cast("long").alias("fetch_id"), "url", F.coalesce("body", F.lit("")).alias("body"))
+    rows = fetches.select(F.col("fetch_id").cast("long").alias("fetch_id"), "url", F.coalesce("body", F.lit("")).alias("body"))
     keyed = rows.withColumn("_sha", F.unhex(F.sha1(F.encode("body", "UTF-8"))))
     shared = (keyed.groupBy("_sha").agg(F.max("fetch_id").alias("_latest"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_sha", "_latest"))
-    roles = salted_join(keyed, shared, ["_sha"], F.col("fetch_id"), "left").withColumn("_refers", F.when(F.col("_latest") != F.col("fetch_id"), F.col("_latest")))
+    roles = salted_join(keyed, shared, ["_sha"], F.struct("fetch_id", "url"), "left").withColumn("_refers", F.when(~F.col("_latest").eqNullSafe(F.col("fetch_id")), F.col("_latest")))
     made = roles.select("fetch_id", "url", "body", "_refers", base32_sha1(F.encode("body", "UTF-8")).alias("_digest"), F.octet_length("body").alias("_n"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("_n"), F.lit(END))
     block = made.withColumn("_block", F.concat(http, F.when(F.col("_refers").isNull(), F.col("body")).otherwise("")))
     record = F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.when(F.col("_refers").isNull(), "response").otherwise("revisit"),
-        F.lit(f"{CRLF}WARC-Record-ID: <urn:x-fetch:"), F.col("fetch_id"), F.lit(f">{CRLF}WARC-Date: {date}{CRLF}"),
+        F.lit(f"{CRLF}WARC-Record-ID: <urn:x-fetch:"), F.coalesce(F.col("fetch_id").cast("string"), F.lit("")), F.lit(f">{CRLF}WARC-Date: {date}{CRLF}"),
         F.coalesce(F.concat(F.lit("WARC-Target-URI: "), F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit(CRLF)), F.lit("")),
         F.coalesce(F.concat(F.lit(f"WARC-Profile: {REVISIT}{CRLF}WARC-Refers-To: <urn:x-fetch:"), F.col("_refers"), F.lit(f">{CRLF}")), F.lit("")),
         F.lit("WARC-Payload-Digest: sha1:"), F.col("_digest"),
@@ -62,36 +63,50 @@ def write_archives(fetches: DataFrame, folder: str, date: str = "1970-01-01T00:0
 
 
 class _Inflated:
-    """The bytes of a gzip stream (of one or more members), inflated once and in order."""
+    """The bytes of a gzip stream (of one or more members), inflated once and in order.
+
+    At most CHUNK bytes are inflated at a time, however well the stream compresses, and a
+    position moves through them, so memory is bounded and the work is linear in the bytes.
+    """
 
     def __init__(self, stream):
-        self.stream, self.inflate, self.buffer, self.raw = stream, zlib.decompressobj(31), b"", b""
+        self.stream, self.inflate = stream, zlib.decompressobj(31)
+        self.raw, self.started, self.buffer, self.at = b"", False, bytearray(), 0
 
     def more(self) -> bool:
         if self.inflate.eof:
-            self.raw, self.inflate = self.inflate.unused_data, zlib.decompressobj(31)
+            self.raw, self.started, self.inflate = self.inflate.unused_data, False, zlib.decompressobj(31)
         data = self.raw or self.stream.read(CHUNK)
-        self.raw = b""
-        if data:
-            self.buffer += self.inflate.decompress(data)
-        return bool(data)
+        if not data:
+            if self.started:
+                raise ValueError("archive ends within a member")
+            return False
+        del self.buffer[:self.at]
+        self.buffer += self.inflate.decompress(data, CHUNK)
+        self.raw, self.started, self.at = self.inflate.unconsumed_tail, True, 0
+        return True
 
     def until(self, mark: bytes) -> bytes | None:
         """The bytes up to and with the mark; None at the end of the stream."""
-        while (at := self.buffer.find(mark)) < 0:
+        seen = 0  # bytes after the position that are known not to begin a mark
+        while (found := self.buffer.find(mark, self.at + seen)) < 0:
+            seen = max(0, len(self.buffer) - self.at - len(mark) + 1)
             if not self.more():
-                if self.buffer.strip():
+                if self.buffer[self.at:].strip():
                     raise ValueError("archive ends within a record")
                 return None
-        out, self.buffer = self.buffer[:at + len(mark)], self.buffer[at + len(mark):]
+        end = found + len(mark)
+        out, self.at = bytes(self.buffer[self.at:end]), end
         return out
 
     def take(self, n: int) -> Iterator[bytes]:
         while n:
-            if not self.buffer and not self.more():
-                raise ValueError("archive ends within a record")
-            out, self.buffer = self.buffer[:n], self.buffer[n:]
-            n -= len(out)
+            if self.at == len(self.buffer):
+                if not self.more():
+                    raise ValueError("archive ends within a record")
+                continue
+            out = bytes(self.buffer[self.at:self.at + n])
+            self.at, n = self.at + len(out), n - len(out)
             yield out
 
 
@@ -103,8 +118,8 @@ def _fields(header: bytes) -> dict[str, str]:
 def normalise_archives(spark: SparkSession, folder: str, out: str, level: int = 6) -> None:
     """Rewrite every record of the gzip archives in `folder` as a gzip member of its own.
 
-    Each archive is one task's work: its stream is inflated once, in chunks, and records are
-    passed on as they come, so memory does not grow with archives or records. The new file
+    Each archive is one task's work: its stream is inflated once, at most CHUNK bytes at a time,
+    and records are passed on as they come, so memory does not grow with archives or records. The new file
     holds the same records in the same order. `out/index` (Parquet, written by Spark) is the
     sidecar: archive, offset, n_bytes, record id, type and target of each record. File names
     are new for each attempt and the index names only those of tasks that succeeded, so a
@@ -141,15 +156,15 @@ def normalise_archives(spark: SparkSession, folder: str, out: str, level: int =
     archives.mapInPandas(rewrite, INDEX).write.mode("overwrite").parquet(f"{out}/index")
 
 
-def read_record(member: bytes) -> tuple[int, int, str, str, int | None]:
-    """(fetch_id, payload_bytes, payload_digest, record_type, refers_to) of one gzip member; checks length and digest."""
+def read_record(member: bytes) -> tuple[int | None, int, str, str, int | None]:
+    """(fetch_id, payload_bytes, payload_digest, record_type, refers_to) of one gzip member; checks length and digest. A record without an id gives None."""
     data = zlib.decompress(member, 31)
     header, _, rest = data.partition(END.encode())
     fields = _fields(header)
     block = rest[:int(fields["content-length"])]
     head, _, payload = block.partition(END.encode())
     n, digest, kind = int(_fields(head)["content-length"]), fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"]
-    number = lambda uri: int(uri.strip("<>").rpartition(":")[2])
+    number = lambda uri: int(n) if (n := uri.strip("<>").rpartition(":")[2]) else None
     if kind == "response" and (len(payload) != n or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
         raise ValueError(f"damaged record {fields['warc-record-id']}")
     return number(fields["warc-record-id"]), n, digest, kind, number(fields["warc-refers-to"]) if "warc-refers-to" in fields else None
@@ -170,7 +185,7 @@ def read_archives(spark: SparkSession, out: str) -> DataFrame:
                 if archive != name:
                     opened, name = fs.open_input_file(posixpath.join(base, archive)), archive
                 rows.append(read_record(opened.read_at(int(n), int(offset))))
-            frame = pd.DataFrame(rows, columns=["fetch_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-            yield frame.astype({"refers_to": "Int64"})
+            frame = pd.DataFrame(rows, columns=["fetch_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], dtype=object)
+            yield frame.astype({"fetch_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"})
 
     return spark.read.schema(INDEX).parquet(f"{out}/index").mapInPandas(load, RECORDS)

@@ -108,8 +108,8 @@ def op9(spark, sf):
 @query("op1_archives", """
     with d as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as hex from pages),
          e as (select page_id, body, hex, max(page_id) over (partition by hex) as latest from d)
-    select page_id, strlen(body) as payload_bytes, case when page_id = latest then 'response' else 'revisit' end as record_type,
-           case when page_id <> latest then latest end as refers_to,
+    select page_id, strlen(body) as payload_bytes, case when page_id is not distinct from latest then 'response' else 'revisit' end as record_type,
+           case when page_id is distinct from latest then latest end as refers_to,
            array_to_string(flatten([[substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((cast('0x' || hex[5 * i + 1:5 * i + 5] as bigint) >> s) & 31 as bigint) + 1, 1)
                             for s in [15, 10, 5, 0]] for i in range(8)]), '') as payload_digest
     from e""")

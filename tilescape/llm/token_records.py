@@ -60,8 +60,8 @@ def write_token_records(extracts: DataFrame, folder: str, tokenizer_path: str, e
     as the largest id needs), and the ids as little-endian unsigned integers. Rows are dealt out by ranges of their id; each slice becomes one file, streamed
     record by record. The files' names carry the task attempt and `folder/index` (Parquet,
     written by Spark) names only those of tasks that succeeded, so a lost executor's files
-    are never read. Rows with equal ids stay next to each other, ordered by text. Rows
-    without an id are left out. Other columns are ignored; an empty table writes an empty index.
+    are never read. Rows with equal ids stay next to each other, ordered by a hash of
+    their text, then by text. Rows without an id come last. Other columns are ignored; an empty table writes an empty index.
     """
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow as pa
@@ -86,9 +86,12 @@ def write_token_records(extracts: DataFrame, folder: str, tokenizer_path: str, e
         if out is not None:
             out.close()
 
-    rows = extracts.select(F.col("extract_id").cast("long").alias("extract_id"), "text").filter("extract_id is not null")
-    ordered = rows.repartitionByRange("extract_id").sortWithinPartitions("extract_id", "text")
-    ordered.mapInPandas(write, INDEX).write.mode("overwrite").parquet(f"{folder}/index")
+    # The hash lets slices end within rows of equal or no id, which may be a third of all. Ids pass pandas as text, where null stays null.
+    key = [F.col("extract_id").asc_nulls_last(), F.col("_hash").asc()]
+    rows = extracts.select(F.col("extract_id").cast("long").alias("extract_id"), "text").withColumn("_hash", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(*key).sortWithinPartitions(*key, "text").select(F.col("extract_id").cast("string").alias("extract_id"), "text")
+    index = ordered.mapInPandas(write, INDEX.replace("extract_id long", "extract_id string"))
+    index.withColumn("extract_id", F.col("extract_id").cast("long")).write.mode("overwrite").parquet(f"{folder}/index")
 
 
 def read_token_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,5 +119,6 @@ def read_token_records(spark: SparkSession, folder: str) -> DataFrame:
                 crc.append(zlib.crc32(ids))
             yield pd.DataFrame({"slice": batch["slice"], "extract_id": batch["extract_id"], "at": batch["at"], "n_tokens": n, "ids_crc32": crc})
 
-    read = index.mapInPandas(load, "slice int, extract_id long, at long, n_tokens long, ids_crc32 long")
-    return read.join(sizes, "slice").select("extract_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    texts = index.withColumn("extract_id", F.col("extract_id").cast("string"))
+    read = texts.mapInPandas(load, "slice int, extract_id string, at long, n_tokens long, ids_crc32 long")
+    return read.join(sizes, "slice").select(F.col("extract_id").cast("long").alias("extract_id"), (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
