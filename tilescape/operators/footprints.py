@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tilescape.functions import rings
 from tilescape.functions._base import ColumnLike, col, num, whole
 from tilescape.functions.classify import eave_trusted, sane_height
+from tilescape.session import cut
 
 from . import cells, graph
+from .percentiles import percentiles, with_percentiles
 
 BASE_SINK_M, WATER_BUILDING_M, WATER_GREEN_M = 3.0, 0.4, 0.6
 FLAT, GABLE, HIP = 0, 1, 2
@@ -84,45 +86,25 @@ def height_histogram(hits: DataFrame, keys: Sequence[str], x="x", y="y", z="z",
                  F.sum(dx * dx).alias("sxx"), F.sum(dy * dy).alias("syy"), F.sum(dx * dy).alias("sxy")))
 
 
-def weighted_percentile(share: float, keys: Sequence[str], value="h", weight="n") -> tuple[Column, Column, Column]:
-    """(low, high, fraction) pieces of an interpolated percentile over a (value, count) histogram.
-
-    Needs a column `_cum` with the running count and `_total`; see `with_percentiles`.
-    """
-    group = Window.partitionBy(*keys)
-    position = (F.col("_total") - 1) * share
-    at = lambda rank: F.min(F.when(F.col("_cum") > rank, F.col(value))).over(group)
-    return at(F.floor(position)), at(F.ceil(position)), position - F.floor(position)
-
-
-def with_percentiles(hist: DataFrame, keys: Sequence[str], wanted: dict[str, float], value="h", weight="n") -> DataFrame:
-    """Add linear-interpolation percentiles of a histogram; windows hold one row per distinct value."""
-    group = Window.partitionBy(*keys)
-    out = hist.withColumns({"_cum": F.sum(weight).over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)),
-                            "_total": F.sum(weight).over(group)})
-    for name, share in wanted.items():
-        low, high, frac = weighted_percentile(share, keys, value, weight)
-        out = out.withColumns({"_low": low, "_high": high}).withColumn(name, F.col("_low") + (F.col("_high") - F.col("_low")) * frac)
-    return out.drop("_cum", "_low", "_high").withColumnRenamed("_total", f"{weight}_total")
-
-
 def roof_profiles(hist: DataFrame, keys: Sequence[str], rules: RoofRules = RULES) -> DataFrame:
     """Ground, eave, ridge height and ridge-point moments per footprint.
 
     Ground is the 5th percentile; structure lies well above it; eave is its 15th percentile;
     the ridge is the median above its 95th (90th when fewer than five points remain).
     """
-    keys = list(keys)
-    group = Window.partitionBy(*keys)
+    keys, hist = list(keys), cut(hist)
     ground = with_percentiles(hist, keys, {"ground": 0.05}).filter(F.col("n_total") >= rules.min_points)
-    body = ground.drop("n_total").filter(F.col("h") > F.col("ground") + rules.above_ground)
-    body = with_percentiles(body, keys, {"eave": 0.15, "_p95": 0.95, "_p90": 0.90}).filter(F.col("n_total") >= rules.min_structure)
-    enough = F.sum(F.when(F.col("h") >= F.col("_p95"), F.col("n")).otherwise(0)).over(group) >= 5
-    body = body.withColumn("_cutoff", F.when(enough, F.col("_p95")).otherwise(F.col("_p90")))
-    ridge = with_percentiles(body.withColumnRenamed("n_total", "structure").filter(F.col("h") >= F.col("_cutoff")), keys, {"ridge": 0.5})
+    body = cut(ground.drop("n_total").filter(F.col("h") > F.col("ground") + rules.above_ground))
+    eaves = percentiles(body, keys, {"eave": 0.15, "_p95": 0.95, "_p90": 0.90}).filter(F.col("n_total") >= rules.min_structure)
+    body = body.join(eaves.withColumnRenamed("n_total", "structure"), keys)
+    # Both cutoffs are counted before one is chosen; the lower one keeps every height the upper one keeps.
+    body = cut(body.filter(F.col("h") >= F.col("_p90")))
+    above = body.groupBy(*keys).agg((F.sum(F.when(F.col("h") >= F.col("_p95"), F.col("n")).otherwise(0)) >= 5).alias("_enough"))
+    top = body.join(above, keys).filter(~F.col("_enough") | (F.col("h") >= F.col("_p95")))
     moments = [F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
-    return (ridge.groupBy(*keys, "ground", "eave", "ridge", "structure").agg(*moments)
-            .withColumnsRenamed({"n": "top"}))
+    sums = top.groupBy(*keys, "ground", "eave", "structure").agg(*moments)
+    return (sums.join(percentiles(top, keys, {"ridge": 0.5}).select(*keys, "ridge"), keys)
+            .select(*keys, "ground", "eave", "ridge", "structure", "n", "sx", "sy", "sxx", "syy", "sxy").withColumnsRenamed({"n": "top"}))
 
 
 def principal_axis(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:

@@ -11,8 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tilescape.functions._base import clamp, whole
+from tilescape.session import cut
 
 from . import footprints, graph
+from .percentiles import percentiles
 
 # Semantic tags, class codes, thresholds in metres and voxels.
 TAG_GROUND, TAG_VEG, TAG_BUILDING, TAG_BRIDGE, TAG_WATER = 1, 2, 3, 4, 5
@@ -33,12 +35,11 @@ def _long(v) -> Column:
 def vertical_range(points: DataFrame, voxel: float, z="z", unit: float = 1.0, tile: Sequence[str] = TILE) -> DataFrame:
     """Origin and height of each grid from the 1st and 99.9th height percentiles.
 
-    Heights are counted first, so the percentiles see one row per distinct height.
+    Heights are counted first; the percentiles are found by radix refinement.
     """
-    hist = points.groupBy(*tile, F.col(z).alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    p = footprints.with_percentiles(hist, list(tile), {"p_low": 0.01, "p_top": 0.999})
-    origin = F.max("p_low") - 2 * voxel
-    rows = p.groupBy(*tile).agg(origin.alias("origin"), F.max("p_top").alias("_top"))
+    hist = cut(points.groupBy(*tile, F.col(z).alias("h")).agg(F.count(F.lit(1)).alias("n")))
+    p = percentiles(hist, list(tile), {"p_low": 0.01, "p_top": 0.999})
+    rows = p.select(*tile, (F.col("p_low") - 2 * voxel).alias("origin"), F.col("p_top").alias("_top"))
     return rows.select(*tile, "origin", (F.ceil((F.col("_top") + HEADROOM_M * unit - F.col("origin")) / voxel) + 4).cast("bigint").alias("ny"))
 
 
@@ -128,8 +129,8 @@ def infill(voxels: DataFrame, tops: DataFrame, tile: Sequence[str] = TILE) -> Da
 def water_levels(points: DataFrame, cls="cls", tile: Sequence[str] = TILE) -> DataFrame:
     """Median index of water returns, rounded half to even, from index counts."""
     hist = points.filter(F.col(cls) == WATER).groupBy(*tile, F.col("iy").alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    mid = footprints.with_percentiles(hist, list(tile), {"mid": 0.5})
-    return mid.groupBy(*tile).agg(F.bround(F.max("mid"), 0).cast("bigint").alias("sea"))
+    mid = percentiles(cut(hist), list(tile), {"mid": 0.5})
+    return mid.select(*tile, F.bround("mid", 0).cast("bigint").alias("sea"))
 
 
 def flood(voxels: DataFrame, surface: DataFrame, levels: DataFrame, voxel: float, unit: float = 1.0, tile: Sequence[str] = TILE) -> DataFrame:
