@@ -253,6 +253,27 @@ def test_nearest_fill_is_nearest(spark):
             assert (r.fill_d2, r.dem) == (d2, known[cx, cy])
 
 
+@pytest.mark.parametrize("n,reach", [(9, 4), (40, 10)])
+def test_crown_rings_near_edges_and_in_sparse_tiles(spark, n, reach):
+    rnd = random.Random(n)
+    grid = {(t, x, y): rnd.randrange(1, 900) for t in (1, 2) for x in range(n) for y in range(n) if rnd.random() < (0.7 if t == 1 else 0.05)}
+    stems = [(t, x, y, h) for (t, x, y), h in grid.items() if rnd.random() < 0.3] + [(1, 0, 0, 5000), (3, 4, 4, 10)]
+    stems = list({s[:3]: s for s in stems}.values())
+    schema = "tx bigint, cx bigint, cy bigint, chm bigint"
+    cells = spark.createDataFrame([(*k, v) for k, v in grid.items()], schema)
+    rules = trees.TreeRules(crown_max=reach)
+    got = {(r.tx, r.cx, r.cy): r.crown_r for r in trees.with_crowns(spark.createDataFrame(stems, schema), cells, n, n, rules).collect()}
+    want = {}
+    for t, x, y, h in stems:
+        want[t, x, y] = float(reach)
+        for ring in range(1, reach + 1):
+            near = [grid.get((t, x + dx, y + dy), 0) for r, dx, dy in trees.ring_offsets(reach) if r == ring and 0 <= x + dx < n and 0 <= y + dy < n]
+            if near and sum(near) / len(near) < h * rules.crown_share:
+                want[t, x, y] = max(rules.crown_min, float(ring))
+                break
+    assert got == want
+
+
 def test_surface_fill_equals_repeated_maxima(spark):
     rnd = random.Random(6)
     n = 24

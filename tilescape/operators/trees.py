@@ -81,28 +81,50 @@ def ring_offsets(radius: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _row_sums(cells: DataFrame, width: int, tile: Sequence[str]) -> DataFrame:
+    """Raster rows in strips of `width` cells: `_sums`, the running sums from the strip's start (0 first)."""
+    at = F.col("cx") - F.col("_strip") * width
+    sums = [F.sum(F.when(at < i, F.col("chm")).otherwise(0)).alias(f"_s{i}") for i in range(width + 1)]
+    strips = cells.filter("chm <> 0").withColumn("_strip", F.expr(f"cx div {width}")).groupBy(*tile, "cy", "_strip").agg(*sums)
+    return strips.select(*tile, "cy", "_strip", F.array(*[f"_s{i}" for i in range(width + 1)]).alias("_sums"))
+
+
 def with_crowns(stems: DataFrame, cells: DataFrame, nx: int, ny: int, rules: TreeRules = RULES,
                 tile: Sequence[str] = ("tx",)) -> DataFrame:
     """Add `crown_r`: the first ring whose mean height falls below half of the stem's, in cells.
 
-    Ring cells inside the tile count, absent ones as 0. The offsets are a literal array.
+    Ring cells inside the tile count, absent ones as 0. A ring is the difference of two discs
+    and a disc one span per raster row, read from running sums, so a stem meets the rows
+    around it (two strips each) instead of every cell of its rings. Stems are one per cell.
     """
-    tile = list(tile)
-    offsets = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                        for r, dx, dy in ring_offsets(rules.crown_max)])
-    looks = (stems.select(*tile, F.col("cx").alias("sx"), F.col("cy").alias("sy"), F.col("chm").alias("h"),
-                          F.explode(offsets).alias("_o"))
-             .select(*tile, "sx", "sy", "h", "_o.r", (F.col("sx") + F.col("_o.dx")).alias("cx"),
-                     (F.col("sy") + F.col("_o.dy")).alias("cy"))
-             .filter(F.col("cx").between(0, nx - 1) & F.col("cy").between(0, ny - 1)))
-    rings = (looks.join(cells.select(*tile, "cx", "cy", "chm"), [*tile, "cx", "cy"], "left")
-             .groupBy(*tile, "sx", "sy", "h", "r")
-             .agg((F.sum(F.coalesce("chm", F.lit(0))) / F.count(F.lit(1))).alias("mean")))
-    crowns = (rings.groupBy(*tile, "sx", "sy")
-              .agg(F.min(F.when(F.col("mean") < F.col("h") * rules.crown_share, F.col("r"))).alias("_edge"))
-              .select(*tile, F.col("sx").alias("cx"), F.col("sy").alias("cy"),
-                      F.greatest(F.lit(rules.crown_min), F.coalesce("_edge", F.lit(rules.crown_max)).cast("double")).alias("crown_r")))
-    return stems.join(crowns, [*tile, "cx", "cy"])
+    tile, reach = list(tile), rules.crown_max
+    width = 2 * reach + 1
+    rings = ring_offsets(reach)
+    # Half widths of discs 0..reach in the row `dy` away; -1 where the disc does not meet the row.
+    half = [[max([dx for r, dx, y in rings if r <= disc and y == dy] + ([0] if dy == 0 else []), default=-1) for disc in range(reach + 1)] for dy in range(reach + 1)]
+    own = stems.select(*tile, F.col("cx").cast("bigint").alias("sx"), F.col("cy").cast("bigint").alias("sy"))
+    looks = (own.select(*tile, "sx", "sy", F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), F.col("sy") - reach), F.least(F.lit(ny - 1).cast("bigint"), F.col("sy") + reach))).alias("cy"))
+             .withColumn("_strip", F.explode(F.sequence(F.expr(f"greatest(0L, sx - {reach}) div {width}"), F.expr(f"least({nx - 1}L, sx + {reach}) div {width}")))))
+    spans = F.get(F.array(*[F.array(*[F.lit(w) for w in row]) for row in half]), F.abs(F.col("cy") - F.col("sy")).cast("int"))
+    met = (looks.join(_row_sums(cells, width, tile), [*tile, "cy", "_strip"])
+           .select(*tile, "sx", "sy", "_sums", spans.alias("_half"), (F.col("sx") - F.col("_strip") * width).cast("int").alias("_o")))
+    place = lambda v: F.get("_sums", F.greatest(F.lit(0), F.least(F.lit(width), v)))
+    w = lambda disc: F.get("_half", F.lit(disc))
+    discs = [F.sum(F.when(w(d) >= 0, place(F.col("_o") + w(d) + 1) - place(F.col("_o") - w(d))).otherwise(0)).alias(f"_d{d}") for d in range(reach + 1)]
+    sums = met.groupBy(*tile, F.col("sx").alias("cx"), F.col("sy").alias("cy")).agg(*discs)
+    # Cells of each ring inside the tile: a constant, but near its edges.
+    free = F.col("cx").between(reach, nx - 1 - reach) & F.col("cy").between(reach, ny - 1 - reach)
+    inside = lambda o: (F.col("cx") + o["dx"]).between(0, nx - 1) & (F.col("cy") + o["dy"]).between(0, ny - 1)
+    counts = []
+    for ring in range(1, reach + 1):
+        offsets = [(dx, dy) for r, dx, dy in rings if r == ring]
+        listed = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets])
+        counts.append(F.nullif(F.when(free, F.lit(len(offsets))).otherwise(F.size(F.filter(listed, inside))), F.lit(0)).alias(f"_n{ring}"))
+    total = lambda d: F.coalesce(F.col(f"_d{d}"), F.lit(0))
+    edges = [F.when((total(r) - total(r - 1)) / F.col(f"_n{r}") < F.col("chm") * rules.crown_share, F.lit(r)) for r in range(1, reach + 1)]
+    crown = F.greatest(F.lit(rules.crown_min), F.coalesce(*edges, F.lit(reach)).cast("double"))
+    return (stems.join(sums, [*tile, "cx", "cy"], "left").select("*", *counts)
+            .select(*tile, "cx", "cy", *[c for c in stems.columns if c not in (*tile, "cx", "cy")], crown.alias("crown_r")))
 
 
 def building_mask(cells_inside: DataFrame, steps: int = 2, nx: int | None = None, ny: int | None = None,
