@@ -77,6 +77,27 @@ def test_match_equals_sequential_claims(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [1_000_000, 40])
+def test_match_of_chains_and_of_large_components(spark, monkeypatch, limit):
+    """A chain of claims, a crowd around few targets and pairs of equal distance, settled by components or by rounds."""
+    monkeypatch.setattr(graph, "COMPONENT_PAIRS", limit)
+    rnd, n = random.Random(8), 10_000 if limit > 40 else 30
+    rows = [(i, t, d) for i in range(n) for t, d in ((i - 1, 1.0), (i, 2.0)) if t >= 0]
+    rows += [(n + rnd.randrange(60), n + rnd.randrange(15), float(rnd.randrange(3))) for _ in range(400)]
+    rows = list({r[:2]: r for r in rows}.values())
+    taken, want = set(), {}
+    for who, what, _ in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        if who not in want and what not in taken:
+            want[who] = what
+            taken.add(what)
+    df = spark.createDataFrame(rows, "fid long, rec long, d double").repartition(8)
+    cuts = []
+    monkeypatch.setattr(graph, "cut", lambda d, plain=graph.cut: cuts.append(1) or plain(d))
+    assert {r.fid: r.rec for r in graph.match_nearest_once(df, "fid", "rec", "d").collect()} == want
+    assert limit <= 40 or len(cuts) < 60
+    assert graph.match_nearest_once(df.limit(0), "fid", "rec", "d").count() == 0
+
+
 # -- Focal windows on a sparse grid -------------------------------------------
 
 def test_focal_matches_dense_windows(spark):

@@ -71,25 +71,96 @@ def component_stats(cells: DataFrame, value: str, tile: Sequence[str] = ("tx",))
                  (F.max(value) - F.min(value)).alias("span")))
 
 
+#: Candidate pairs of one component that a task settles in one pass; larger components go on by rounds.
+COMPONENT_PAIRS = 1_000_000
+#: Rounds of proposals between two splits into components.
+PROPOSAL_ROUNDS = 2
+
+
+def _linked_seekers(pairs: DataFrame, seeker: str, target: str) -> DataFrame:
+    """(seeker, `_component`): the lowest seeker linked to it through shared targets.
+
+    Nodes hook to their smallest neighbour, pointers are doubled until they end, and roots
+    are contracted. Every step at least halves the nodes, and a chain takes a logarithmic
+    number of doublings.
+    """
+    lowest = pairs.groupBy(target).agg(F.min(seeker).alias("b"))
+    edges = cut(pairs.select(F.col(seeker).alias("a"), target).join(lowest, target).filter(F.col("a") != F.col("b")).select("a", "b").distinct())
+    labels = pairs.select(seeker, F.col(seeker).alias("_component")).distinct()
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parent, moved = cut(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("root"))), True
+        while moved:
+            up = parent.select(F.col("node").alias("root"), F.col("root").alias("_up"))
+            jumped = cut(parent.join(up, "root").select("node", F.col("_up").alias("root"), (F.col("_up") != F.col("root")).alias("_moved")))
+            parent, moved = jumped.drop("_moved"), not jumped.filter("_moved").isEmpty()
+        end = lambda c: parent.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+        labels = (labels.join(parent.select(F.col("node").alias("_component"), "root"), "_component", "left")
+                  .select(seeker, F.coalesce("root", "_component").alias("_component")))
+        edges = cut(edges.join(end("a"), "a").join(end("b"), "b").filter(F.col("_a") != F.col("_b"))
+                    .select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+    return cut(labels)
+
+
+def _claimed(pairs: DataFrame, seeker: str, target: str, distance: str) -> DataFrame:
+    """Pairs won when seekers claim in order. Components do not share targets; a task holds the claims of one at a time."""
+    def claim(batches):
+        import pyarrow as pa
+
+        component, served, taken = None, None, set()
+        for batch in batches:
+            won = []
+            for own, who, what in zip(*(batch.column(c).to_pylist() for c in ("_component", seeker, target))):
+                if own != component:
+                    component, served, taken = own, None, set()
+                wins = who != served and what not in taken
+                if wins:
+                    served = who
+                    taken.add(what)
+                won.append(wins)
+            yield batch.filter(pa.array(won, pa.bool_()))
+
+    ordered = pairs.repartition("_component").sortWithinPartitions("_component", seeker, distance, target)
+    return ordered.mapInArrow(claim, ordered.schema)
+
+
 def match_nearest_once(candidates: DataFrame, seeker: str, target: str, distance: str, keep: Sequence[str] = ()) -> DataFrame:
     """One-to-one matching equal to letting seekers pick, in order, their nearest free target.
 
-    Deferred acceptance: every seeker proposes to its nearest remaining target, a target
-    holds its lowest seeker, and pairs that can no longer win are dropped. Repeats until
-    nothing is dropped. Equal distances prefer the lower target. `candidates` holds the
-    pairs within range, each once.
+    In a round every seeker proposes to its nearest remaining target, a target holds its
+    lowest seeker, and pairs that can no longer win are dropped. After a few rounds the
+    pairs left are split into components of seekers that share targets, and each is settled
+    in one pass in seeker order. So a chain of claims does not cost a round for each of its
+    links; only components of over COMPONENT_PAIRS pairs go on by rounds. Equal distances
+    prefer the lower target. `candidates` holds the pairs within range, each once; ids are
+    not null.
     """
-    pairs = cut(candidates.select(seeker, target, distance, *keep))
+    pairs, settled = cut(candidates.select(seeker, target, distance, *keep)), []
+    columns = pairs.columns
     while True:
-        best = F.min(F.struct(F.col(distance), F.col(target)))
-        proposals = pairs.groupBy(seeker).agg(best.alias("_b")).select(seeker, F.col(f"_b.{target}").alias(target))
-        holders = proposals.groupBy(target).agg(F.min(seeker).alias("_holder"))
-        left = cut(pairs.join(holders, target, "left")
-                   .filter(F.col("_holder").isNull() | (F.col(seeker) <= F.col("_holder")))
-                   .drop("_holder"))
-        if left.count() == pairs.count():
-            return pairs.join(proposals, [seeker, target], "left_semi")
-        pairs = left
+        for _ in range(PROPOSAL_ROUNDS):
+            best = F.min(F.struct(F.col(distance), F.col(target)))
+            proposals = pairs.groupBy(seeker).agg(best.alias("_b")).select(seeker, F.col(f"_b.{target}").alias(target), F.lit(True).alias("_best"))
+            holders = proposals.groupBy(target).agg(F.min(seeker).alias("_holder"))
+            judged = cut(pairs.join(holders, target, "left").join(proposals, [seeker, target], "left")
+                         .withColumn("_lost", F.coalesce(F.col(seeker) > F.col("_holder"), F.lit(False))))
+            if judged.filter("_lost").isEmpty():
+                settled.append(judged.filter("_best").select(*columns))
+                return _union(settled)
+            pairs = judged.filter("not _lost").select(*columns)
+        linked = cut(pairs.join(_linked_seekers(pairs, seeker, target), seeker))
+        large = linked.groupBy("_component").count().filter(F.col("count") > COMPONENT_PAIRS).drop("count")
+        settled.append(cut(_claimed(linked.join(large, "_component", "left_anti"), seeker, target, distance).select(*columns)))
+        pairs = cut(linked.join(large, "_component", "left_semi").select(*columns))
+        if pairs.isEmpty():
+            return _union(settled)
+
+
+def _union(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def walk_hierarchy(entries: DataFrame, root, box, max_depth: int = 32) -> DataFrame:
