@@ -135,3 +135,71 @@ def test_release_stream_joins_gates(spark, batches):
     e = batches[0]
     want = items(e).join(gates(e), "user_id").filter("opened between ts - interval 12 hours and ts + interval 12 hours")
     assert sorted((r.event_id, r.opened) for r in got.collect()) == sorted((r.event_id, r.opened) for r in want.collect())
+
+
+@pytest.fixture(scope="module")
+def disordered(spark, sf):
+    """Events of two seconds each in six files, up to 90 places out of order; then a row days later and one that comes too late."""
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type").filter("event_id < 1000")
+    rows = rows.withColumns({"at": F.timestamp_seconds(F.col("event_id") * 2 + 1_700_000_000), "file": F.expr("(event_id + event_id * 37 % 90) div 200")})
+    folder = f"{checkpoint_dir(spark)}/disordered-{random.randrange(10 ** 9)}"
+    for i in range(6):
+        rows.filter(F.col("file") == i).orderBy(F.rand(i)).coalesce(1).write.mode("append").parquet(f"{folder}/part={i}")
+    extra = lambda n, seconds, user: spark.createDataFrame([(n, user, "error")], "event_id long, user_id long, event_type string").withColumns(
+        {"at": F.timestamp_seconds(F.lit(1_700_000_000 + seconds)), "file": F.expr("0L div 1")}).select([F.col(f.name).cast(f.dataType) for f in rows.schema])
+    extra(10 ** 6, 900_000, -1).coalesce(1).write.parquet(f"{folder}/part=6")
+    extra(5, 10, -2).coalesce(1).write.parquet(f"{folder}/part=7")
+    extra(10 ** 6 + 1, 900_001, -1).coalesce(1).write.parquet(f"{folder}/part=8")
+    return rows, folder
+
+
+def drain_disordered(spark, disordered, build, name):
+    streaming.use_rocksdb(spark)
+    rows, folder = disordered
+    stream = build(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder))
+    out = f"{checkpoint_dir(spark)}/{name}-{random.randrange(10 ** 9)}"
+    q = stream.writeStream.format("parquet").option("path", f"{out}/d").option("checkpointLocation", f"{out}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    states = [p["stateOperators"][0] for p in q.recentProgress if p["stateOperators"]]
+    return spark.read.schema(stream.schema).parquet(f"{out}/d"), states
+
+
+def test_rows_out_of_order_wait_for_the_watermark(spark, disordered):
+    rows = disordered[0]
+    asks = lambda e: e.select((F.col("user_id") % 7).alias("tile"), F.col("event_id").alias("seq"), F.col("event_type").isin("error", "click", "view").alias("failed"), "at")
+    got, states = drain_disordered(spark, disordered, lambda e: streaming.retry_budget_stream(asks(e), "tile", "seq", "failed", ts="at", delay="10 minutes", idle=3600), "late-retry")
+    want = tracks.retry_budget(asks(rows), ["tile"], "seq", F.col("failed"), size=100)
+    key = lambda df: sorted((r.tile, r.seq, r.failures, r.hole) for r in df.collect())
+    assert key(got) == key(want)
+    assert sum(s["numRowsDroppedByWatermark"] for s in states) == 1  # the row that came too late
+    held = [s["numRowsTotal"] for s in states]
+    assert max(held) >= 14 and held[-1] <= 4, held  # seven keys with rows and a count; then only the last key's rows and timers
+
+
+def test_ring_and_stuck_streams_out_of_order(spark, disordered):
+    rows = disordered[0]
+    moves = lambda e: e.select((F.col("user_id") % 5).alias("viewer"), F.col("event_id").alias("seq"), F.expr("event_id div 90").alias("cx"), F.expr("event_id * user_id div 9000").alias("cy"), "at")
+    got, _ = drain_disordered(spark, disordered, lambda e: streaming.ring_events_stream(moves(e), "viewer", "seq", "cx", "cy", ts="at"), "late-ring")
+    want = tracks.ring_events(moves(rows), "viewer", "seq", "cx", "cy", size=100)
+    key = lambda df: sorted((r.viewer, r.tx, r.ty, r.event, r.seq) for r in df.collect())
+    assert key(got) == key(want)
+    poses = lambda e: e.select((F.col("user_id") % 4).alias("track"), F.col("event_id").alias("seq"), (F.col("event_id") * 13 % 100).alias("actual"), F.lit(350).alias("commanded"),
+                               (F.col("event_type") != "signup").alias("contact"), F.lit(0.25).alias("dt"), "at")
+    got, _ = drain_disordered(spark, disordered, lambda e: streaming.stuck_stream(poses(e), "track", "seq", "actual", "commanded", "contact", "dt", ts="at"), "late-stuck")
+    want = tracks.stuck_time(poses(rows), ["track"], "seq", "actual", "commanded", "contact", "dt", size=100)
+    key = lambda df: sorted((r.track, r.seq, round(r.stuck, 6), r.fires) for r in df.collect())
+    assert key(got) == key(want)
+
+
+def test_idle_keys_start_over(spark, tmp_path):
+    """A key without rows for the idle time has no failures left; one in use keeps its count."""
+    asks = "tile long, seq long, failed boolean, at timestamp"
+    for i, group in enumerate([[(1, 1, 0), (1, 2, 1), (2, 3, 2)], [(2, 4, 3000)], [(2, 5, 6000)], [(1, 6, 7000), (2, 7, 7001)], [(3, 8, 20000)], [(3, 9, 20001)]]):
+        df = spark.createDataFrame([(t, n, True, s) for t, n, s in group], "tile long, seq long, failed boolean, s long")
+        df.select("tile", "seq", "failed", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("at")).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
+    streaming.use_rocksdb(spark)
+    source = spark.readStream.schema(asks).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    out = streaming.retry_budget_stream(source, "tile", "seq", "failed", ts="at", delay="1 minute", idle=4000)
+    out.writeStream.format("parquet").option("path", str(tmp_path / "d")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.tile, r.seq, r.failures) for r in spark.read.schema(out.schema).parquet(str(tmp_path / "d")).collect())
+    assert got == [(1, 1, 1), (1, 2, 2), (1, 6, 1), (2, 3, 1), (2, 4, 2), (2, 5, 3), (2, 7, 4)]

@@ -3,6 +3,14 @@
 State is small per key: the resident tiles of a viewer, one counter, or one running sum.
 Rows of a key are put in sequence order inside each micro-batch; limit the batch size with
 the source's maxFilesPerTrigger or maxBytesPerTrigger.
+
+With an event-time column `ts` the three stateful operators also take rows that come in the
+wrong batch: they wait until the watermark (`delay` behind the latest) has passed them and
+are then handled in order, so results are those of the batch operators. The sequence must
+rise with the event time. Rows later than the watermark are left out and counted in the
+query's progress (numRowsDroppedByWatermark). A key whose rows leave a gap of more than `idle`
+seconds of event time starts over behind it, and its state goes as soon as the watermark has passed
+the gap, so state does not grow with keys that have left.
 """
 
 from __future__ import annotations
@@ -59,6 +67,9 @@ class _Ring(StatefulProcessor):
             self.tiles.updateValue(t, (0,))
         yield pd.DataFrame(events, columns=[viewer, "tx", "ty", "event", order])
 
+    def forget(self) -> None:
+        self.tiles.clear()
+
     def close(self) -> None:
         pass
 
@@ -83,6 +94,9 @@ class _Retry(StatefulProcessor):
         self.count.update((int(counts.iloc[-1]),))
         yield pd.DataFrame({self.key: key[0], self.order: pdf[self.order], "failures": counts, "hole": failed & (counts == self.limit)})
 
+    def forget(self) -> None:
+        self.count.clear()
+
     def close(self) -> None:
         pass
 
@@ -108,30 +122,90 @@ class _Stuck(StatefulProcessor):
         self.memory.update((float(stuck), touched))
         yield pd.DataFrame(out, columns=[self.key, self.order, "stuck", "fires"])
 
+    def forget(self) -> None:
+        self.memory.clear()
+
     def close(self) -> None:
         pass
 
 
+class _Waiting(StatefulProcessor):
+    """Rows wait in list state until the watermark has passed them; `step` then handles them in order."""
+
+    def __init__(self, step: StatefulProcessor, waiting: T.StructType, idle_ms: int):
+        self.step, self.waiting, self.idle = step, waiting, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("waiting", self.waiting)
+        self.last = handle.getValueState("last", "last bigint")
+        self.step.init(handle)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first, width = None, len(self.waiting)
+        for pdf in rows:  # by place (key, columns, event time, milliseconds): pandas renames some columns
+            fresh = list(pdf.iloc[:, [*range(1, width), width + 1]].itertuples(index=False, name=None))
+            self.rows.appendList(fresh)
+            first = min(r[-1] for r in fresh) if first is None else min(first, *(r[-1] for r in fresh))
+        if first is not None:
+            self.handle.registerTimer(int(first))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.rows.get(), key=lambda r: r[-1]) if self.rows.exists() else []
+        due, later = [r for r in rows if r[-1] <= now], [r for r in rows if r[-1] > now]
+        last, at = self.last.get()[0] if self.last.exists() else None, 0
+        for i, r in enumerate([*due, None]):
+            gap = r is not None and last is not None and r[-1] - last > self.idle
+            if (gap or r is None) and i > at:
+                yield from self.step.handleInputRows(key, iter([pd.DataFrame(due[at:i], columns=self.waiting.names)]), timerValues)
+                at = i
+            if gap:
+                self.step.forget()
+            last = last if r is None else r[-1]
+        if due:
+            self.rows.put(later) if later else self.rows.clear()
+            self.last.update((last,))
+        ahead = [r[-1] for r in later[:1]]
+        if last is not None and now >= last + self.idle:  # rows to come are all beyond the gap
+            self.last.clear()
+            self.step.forget()
+        elif last is not None:
+            ahead.append(last + self.idle)
+        if ahead:
+            self.handle.registerTimer(int(min(ahead)))
+
+    def close(self) -> None:
+        self.step.close()
+
+
+def _run(stream: DataFrame, key: str, columns: list[str], step: StatefulProcessor, schema: T.StructType, ts: str | None, delay: str, idle: int) -> DataFrame:
+    if ts is None:
+        return stream.select(key, *columns).groupBy(key).transformWithStateInPandas(step, schema, "Append", "None")
+    waiting = T.StructType([stream.schema[c] for c in columns] + [T.StructField("_ms", T.LongType())])
+    timed = _event_time(stream.select(key, *columns, F.col(ts).alias("_at")), "_at", delay).withColumn("_ms", F.ceil(F.unix_micros("_at") / 1000))
+    return timed.groupBy(key).transformWithStateInPandas(_Waiting(step, waiting, idle * 1000), schema, "Append", "EventTime")
+
+
 def ring_events_stream(positions: DataFrame, viewer: str, order: str, cx: str, cy: str, radius: int = tracks.RING_RADIUS,
-                       margin: int = tracks.EVICT_MARGIN) -> DataFrame:
+                       margin: int = tracks.EVICT_MARGIN, ts: str | None = None, delay: str = "10 minutes", idle: int = 86400) -> DataFrame:
     """Load and evict events of moving viewers."""
     schema = T.StructType([positions.schema[viewer], *T.StructType.fromDDL("tx bigint, ty bigint, event string").fields, positions.schema[order]])
-    return positions.select(viewer, order, cx, cy).groupBy(viewer).transformWithStateInPandas(
-        _Ring(viewer, order, cx, cy, radius, margin), schema, "Append", "None")
+    return _run(positions, viewer, [order, cx, cy], _Ring(viewer, order, cx, cy, radius, margin), schema, ts, delay, idle)
 
 
-def retry_budget_stream(requests: DataFrame, key: str, order: str, failed: str, limit: int = tracks.RETRY_LIMIT) -> DataFrame:
+def retry_budget_stream(requests: DataFrame, key: str, order: str, failed: str, limit: int = tracks.RETRY_LIMIT,
+                        ts: str | None = None, delay: str = "10 minutes", idle: int = 86400) -> DataFrame:
     """Failure counts and holes per key."""
-    return requests.select(key, order, failed).groupBy(key).transformWithStateInPandas(
-        _Retry(key, order, failed, limit), _schema(requests, [key, order], "failures bigint, hole boolean"), "Append", "None")
+    return _run(requests, key, [order, failed], _Retry(key, order, failed, limit), _schema(requests, [key, order], "failures bigint, hole boolean"), ts, delay, idle)
 
 
 def stuck_stream(samples: DataFrame, key: str, order: str, actual: str, commanded: str, contact: str, dt: str,
-                 trigger: float = tracks.STUCK_TRIGGER) -> DataFrame:
+                 trigger: float = tracks.STUCK_TRIGGER, ts: str | None = None, delay: str = "10 minutes", idle: int = 86400) -> DataFrame:
     """Stuck time and firings per track."""
     names = (actual, commanded, contact, dt)
-    return samples.select(key, order, *names).groupBy(key).transformWithStateInPandas(
-        _Stuck(key, order, names, trigger), _schema(samples, [key, order], "stuck double, fires boolean"), "Append", "None")
+    return _run(samples, key, [order, *names], _Stuck(key, order, names, trigger), _schema(samples, [key, order], "stuck double, fires boolean"), ts, delay, idle)
 
 
 def _event_time(stream: DataFrame, ts: str, delay: str) -> DataFrame:
