@@ -23,13 +23,11 @@ def scale_of(value: Column) -> Column:
     return F.when(F.abs(v) <= 2.0 ** -1000, 0.0).when(v < 0, -scale).otherwise(scale)
 
 
-def _holding(bins: DataFrame, group: Sequence[str], by: str) -> DataFrame:
-    """Bins that hold wanted ranks, with each rank (`_k`, `_at`) counted from the bin's own start."""
+def _holding(bins: DataFrame, group: Sequence[str], by: str, ranks: Sequence[str]) -> DataFrame:
+    """Bins that hold wanted ranks, with each rank counted from the bin's own start (NULL where it lies elsewhere)."""
     before = F.sum("_w").over(Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w")
-    staged = bins.withColumn("_before", before)
-    inside = F.filter("_ranks", lambda r: (r["at"] >= F.col("_before")) & (r["at"] < F.col("_before") + F.col("_w")))
-    own = F.transform(inside, lambda r: F.struct(r["k"].alias("k"), (r["at"] - F.col("_before")).alias("at")))
-    return staged.withColumn("_ranks", own).filter(F.size("_ranks") > 0).drop("_before", "_w")
+    own = {r: F.when((F.col(r) >= F.col("_before")) & (F.col(r) < F.col("_before") + F.col("_w")), F.col(r) - F.col("_before")) for r in ranks}
+    return bins.withColumn("_before", before).withColumns(own).filter(F.coalesce(*ranks).isNotNull()).drop("_before", "_w")
 
 
 def percentiles(rows: DataFrame, keys: Sequence[str], wanted: Mapping[str, float], value: str = "h", weight: str = "n") -> DataFrame:
@@ -49,13 +47,16 @@ def percentiles(rows: DataFrame, keys: Sequence[str], wanted: Mapping[str, float
     fine = coded.groupBy(*keys, "_fine").agg(F.sum("_w").alias("_w")).withColumn("_coarse", F.shiftright("_fine", FINE_BITS))
     coarse = fine.groupBy(*keys, "_coarse").agg(F.sum("_w").alias("_w")).withColumn("_total", F.sum("_w").over(Window.partitionBy(*keys)))
     place = {n: (F.col("_total") - 1) * float(wanted[n]) for n in names}
-    ranks = [F.struct(F.lit(2 * i + side).alias("k"), end(place[n]).alias("at")) for i, n in enumerate(names) for side, end in enumerate((F.floor, F.ceil))]
-    first = _holding(coarse.withColumn("_ranks", F.array(*ranks)), keys, "_coarse")
-    second = _holding(fine.join(first, [*keys, "_coarse"]), [*keys, "_coarse"], "_fine").drop("_coarse")
-    values = coded.join(second, [*keys, "_fine"]).groupBy(*keys, "_fine", "_v").agg(F.sum("_w").alias("_w"), F.first("_ranks").alias("_ranks"), F.first("_total").alias("_total"))
-    found = _holding(values, [*keys, "_fine"], "_v").select(*keys, "_total", "_v", F.explode("_ranks").alias("_r"))
-    at = found.groupBy(*keys, "_total").agg(*[F.max(F.when(F.col("_r.k") == k, F.col("_v"))).alias(f"_{k}") for k in range(2 * len(names))])
-    mixed = [(F.col(f"_{2 * i}") + (F.col(f"_{2 * i + 1}") - F.col(f"_{2 * i}")) * (place[n] - F.floor(place[n]))).alias(n) for i, n in enumerate(names)]
+    ranks = [f"_r{k}" for k in range(2 * len(names))]
+    asked = {f"_r{2 * i + side}": end(place[n]) for i, n in enumerate(names) for side, end in enumerate((F.floor, F.ceil))}
+    first = _holding(coarse.withColumns(asked), keys, "_coarse", ranks)
+    second = _holding(fine.join(first, [*keys, "_coarse"]), [*keys, "_coarse"], "_fine", ranks).drop("_coarse")
+    kept = [F.first(c).alias(c) for c in ("_total", *ranks)]
+    values = coded.join(second, [*keys, "_fine"]).groupBy(*keys, "_fine", "_v").agg(F.sum("_w").alias("_w"), *kept)
+    found = _holding(values, [*keys, "_fine"], "_v", ranks)
+    at = found.groupBy(*keys).agg(F.first("_total").alias("_total"), *[F.max(F.when(F.col(r).isNotNull(), F.col("_v"))).alias(r) for r in ranks])
+    low, high = (lambda i: F.col(f"_r{2 * i}")), (lambda i: F.col(f"_r{2 * i + 1}"))
+    mixed = [(low(i) + (high(i) - low(i)) * (place[n] - F.floor(place[n]))).alias(n) for i, n in enumerate(names)]
     return at.select(*keys, F.col("_total").alias(f"{weight}_total"), *mixed)
 
 
